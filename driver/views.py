@@ -1,0 +1,77 @@
+"""Tables of the shapes the operators need, derived from the driver's parquet tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SIDE = 64
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def raster_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per image line: channel arrays of 64 values."""
+
+    def channel(shift: int):
+        spots = F.sequence(F.lit(0), F.lit(SIDE - 1))
+        value = lambda i: F.get("embedding", F.pmod(i + shift, F.lit(SIDE))).cast("double")
+        byte = lambda i: F.floor(
+            F.least(F.greatest(value(i) + 0.5, F.lit(0.0)), F.lit(1.0)) * 255
+        ).cast("short")
+        return F.transform(spots, byte)
+
+    return table(spark, folder, "embeddings").select(
+        F.floor(F.col("vec_id") / SIDE).alias("image_id"),
+        F.pmod("vec_id", F.lit(SIDE)).cast("int").alias("y"),
+        channel(0).alias("r"),
+        channel(21).alias("g"),
+        channel(42).alias("b"),
+    )
+
+
+def tiles(spark: SparkSession, folder: str) -> DataFrame:
+    rows = raster_rows(spark, folder).withColumn("ty", F.floor(F.col("y") / 16).cast("int"))
+    bands = rows.groupBy("image_id", "ty").agg(
+        F.array_sort(F.collect_list(F.struct("y", "r", "g", "b"))).alias("rows")
+    )
+
+    def cut(channel: str):
+        part = lambda row: F.slice(row[channel], F.col("tx") * 16 + 1, F.lit(16))
+        return F.flatten(F.transform("rows", part)).alias(channel)
+
+    return bands.withColumn("tx", F.explode(F.array(*[F.lit(i) for i in range(4)]))).select(
+        "image_id",
+        "ty",
+        "tx",
+        F.lit(16).alias("tw"),
+        F.size("rows").alias("th"),
+        cut("r"),
+        cut("g"),
+        cut("b"),
+    )
+
+
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    return (
+        table(spark, folder, "embeddings")
+        .groupBy(F.floor(F.col("vec_id") / SIDE).alias("image_id"))
+        .agg(F.lit(SIDE).alias("width"), F.count("*").cast("int").alias("height"))
+        .withColumn("byte_count", F.col("height").cast("long") * (3 * SIDE))
+    )
+
+
+def pairs(
+    spark: SparkSession, folder: str, threshold: float = 0.55, max_regions: int = 20
+) -> DataFrame:
+    ids = images(spark, folder).select(F.floor(F.col("image_id") / 2).alias("pair_id")).distinct()
+    return ids.select(
+        "pair_id",
+        (F.col("pair_id") * 2).alias("before_id"),
+        (F.col("pair_id") * 2 + 1).alias("after_id"),
+        F.lit(threshold).alias("threshold"),
+        F.lit(max_regions).alias("max_regions"),
+        F.lit(True).alias("include_diff"),
+    )
