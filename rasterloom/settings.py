@@ -75,7 +75,7 @@ MSG_NO_CONTENT = "provider returned no content"
 MSG_NO_BLOCKS = "provider returned no positional blocks"
 MSG_FELL_BACK = "fell back to the local provider after a retryable failure: "
 
-_POLYGON = T.ArrayType(T.DoubleType(), False)
+_POLYGON = T.ArrayType(T.DoubleType())
 
 ERROR = T.StructType(
     [
