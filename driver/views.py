@@ -75,3 +75,25 @@ def pairs(
         F.lit(max_regions).alias("max_regions"),
         F.lit(True).alias("include_diff"),
     )
+
+
+def crops(spark: SparkSession, folder: str) -> DataFrame:
+    part = table(spark, folder, "part")
+    count = table(spark, folder, "embeddings").agg(
+        (F.floor(F.max("vec_id") / SIDE) + 1).alias("_images")
+    )
+    key = F.col("p_partkey")
+    return part.crossJoin(count).select(
+        key.alias("request_id"),
+        F.pmod(key, F.col("_images")).alias("image_id"),
+        F.pmod(key * 7, F.lit(70)).cast("int").alias("x"),
+        F.pmod(key, F.lit(60)).cast("int").alias("y"),
+        (1 + F.pmod("p_size", F.lit(40))).cast("int").alias("width"),
+        (1 + F.pmod(key, F.lit(30))).cast("int").alias("height"),
+        F.lit(16).alias("max_width"),
+        F.lit(16).alias("max_height"),
+        F.lit(80).alias("quality"),
+        F.element_at(
+            F.array(F.lit("png"), F.lit("jpeg"), F.lit("webp")), (F.pmod(key, F.lit(3)) + 1).cast("int")
+        ).alias("output_format"),
+    )
