@@ -97,3 +97,38 @@ def crops(spark: SparkSession, folder: str) -> DataFrame:
             F.array(F.lit("png"), F.lit("jpeg"), F.lit("webp")), (F.pmod(key, F.lit(3)) + 1).cast("int")
         ).alias("output_format"),
     )
+
+
+def assets(spark: SparkSession, folder: str) -> DataFrame:
+    """Uploads of the event log; ``expires_at`` follows from a life of one day."""
+    kind = F.element_at(
+        F.create_map(
+            *[
+                F.lit(v)
+                for v in (
+                    *("click", "image/png"),
+                    *("view", "IMAGE/JPEG; q=1"),
+                    *("purchase", "image/webp"),
+                    *("signup", "application/pdf"),
+                    *("error", "image/png"),
+                )
+            ]
+        ),
+        F.col("event_type"),
+    )
+    artifact = F.pmod("event_id", F.lit(2)) == 1
+    day = F.expr("INTERVAL '86400' SECOND")
+    return table(spark, folder, "events").select(
+        F.concat(
+            F.when(artifact, "a").otherwise(F.lit("i")), F.lpad(F.col("event_id").cast("string"), 12, "0")
+        ).alias("asset_id"),
+        F.when(artifact, "artifact").otherwise(F.lit("input")).alias("kind"),
+        F.concat(F.lit("p_"), F.col("user_id").cast("string")).alias("principal"),
+        kind.alias("content_type"),
+        F.when(F.col("event_type") == "error", F.lit(0))
+        .otherwise(F.floor(F.col("value") * 1000))
+        .cast("long")
+        .alias("byte_count"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+        (F.date_trunc("second", F.col("ts").cast("timestamp")) + day).alias("expires_at"),
+    )
