@@ -1,0 +1,644 @@
+"""The queries the driver checks, over the views of its tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterloom.functions import errors, gates, media
+from rasterloom.functions import pixels as px
+from rasterloom.operators import admission, assets, compare, layout, regions, requests, resample
+from rasterloom.operators.components import BLOCK, label_components
+from rasterloom.plans.extract import extract_layout as extract
+from rasterloom.plans.optimize import optimize_regions
+from rasterloom.session import apply_defaults, fresh_path
+from rasterloom.settings import TILE
+from rasterloom.sources import payloads
+from rasterloom.streaming import jobs
+
+from . import views
+
+AS_OF = "2024-01-15 12:00:00"
+TTL = 86_400
+QUOTA_BYTES = 90_000
+QUOTA_COUNT = 3
+MAX_UPLOAD = 60_000
+MAX_BYTES = 4_000
+ROOTS = ("/en", "/es")
+# The views build images of 64 x 64 at most.
+KNOWN_SIDE = BLOCK * TILE
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _joined(values: Column, separator: str = "|") -> Column:
+    return F.array_join(values, separator)
+
+
+def _naive(column: str) -> Column:
+    return F.col(column).cast("timestamp_ntz").alias(column)
+
+
+# -- image comparison ---------------------------------------------------------
+
+
+def compare_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return compare.compare_totals(
+        views.tiles(spark, folder), views.images(spark, folder), views.pairs(spark, folder)
+    )
+
+
+def compare_totals_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    return compare.compare_totals(
+        views.tiles(spark, folder), views.images(spark, folder), views.pairs(spark, folder, 0.6)
+    )
+
+
+def _stats(spark: SparkSession, folder: str) -> DataFrame:
+    return compare.tile_stats(
+        compare.align_tiles(views.tiles(spark, folder), views.pairs(spark, folder))
+    )
+
+
+def compare_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return _stats(spark, folder)
+
+
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    return label_components(_stats(spark, folder), views.images(spark, folder), KNOWN_SIDE)
+
+
+def compare_regions(spark: SparkSession, folder: str) -> DataFrame:
+    return compare.changed_regions(_labelled(spark, folder))
+
+
+def compare_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return compare.largest_regions(compare.changed_regions(_labelled(spark, folder)), 2)
+
+
+def _compared(spark: SparkSession, folder: str, max_regions: int) -> DataFrame:
+    return compare.compare_images(
+        views.tiles(spark, folder),
+        views.images(spark, folder),
+        views.pairs(spark, folder, max_regions=max_regions),
+        KNOWN_SIDE,
+    )
+
+
+def compare_images(spark: SparkSession, folder: str) -> DataFrame:
+    box = lambda r: F.concat_ws(",", *[r[c] for c in ("x", "y", "width", "height", "changed_pixels")])
+    return _compared(spark, folder, 1).select(
+        *compare.TOTALS,
+        _joined(F.transform("regions", box)).alias("regions"),
+        "has_diff",
+        "truncated",
+        _joined(F.col("warnings")).alias("warnings"),
+        "error_code",
+    )
+
+
+def diff_raster(spark: SparkSession, folder: str) -> DataFrame:
+    tiles = compare.diff_raster(
+        views.tiles(spark, folder), views.images(spark, folder), views.pairs(spark, folder)
+    )
+    at = F.posexplode(F.arrays_zip("r", "g", "b")).alias("_i", "_p")
+    return tiles.select("pair_id", "ty", "tx", "tw", at).select(
+        "pair_id",
+        (F.col("tx") * TILE + F.pmod("_i", "tw")).alias("x"),
+        (F.col("ty") * TILE + F.floor(F.col("_i") / F.col("tw"))).cast("int").alias("y"),
+        *[F.col(f"_p.{c}").cast("int").alias(c) for c in ("r", "g", "b")],
+    )
+
+
+def orient_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = views.raster_rows(spark, folder).join(
+        views.images(spark, folder).select("image_id", "width", "height"), "image_id"
+    )
+    turn = F.pmod("image_id", F.lit(8)).cast("int") + 1
+    at = F.posexplode(F.arrays_zip("r", "g", "b")).alias("_x", "_p")
+    x, y = px.oriented_position(turn, F.col("_x"), F.col("y"), F.col("width"), F.col("height"))
+    return rows.select("image_id", "y", "width", "height", at).select(
+        "image_id", x.alias("x"), y.alias("y"), *[F.col(f"_p.{c}").cast("int").alias(c) for c in ("r", "g", "b")]
+    )
+
+
+# -- crops --------------------------------------------------------------------
+
+
+def _gated(spark: SparkSession, folder: str) -> DataFrame:
+    return regions.box_gate(views.crops(spark, folder), views.images(spark, folder))
+
+
+def box_gate(spark: SparkSession, folder: str) -> DataFrame:
+    return _gated(spark, folder).select(
+        "request_id",
+        F.col("error.code").alias("error_code"),
+        F.col("error.message").alias("message"),
+        F.col("error.details")["imageHeight"].alias("image_height"),
+    )
+
+
+FIT = (
+    "request_id",
+    "output_width",
+    "output_height",
+    "box_x",
+    "box_y",
+    "box_width",
+    "box_height",
+)
+
+
+def fit_scale(spark: SparkSession, folder: str) -> DataFrame:
+    return regions.fit_sizes(_gated(spark, folder)).select(
+        *FIT, "downscaled", _joined(F.col("warnings")).alias("warnings")
+    )
+
+
+def crop_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    fitted = regions.fit_sizes(_gated(spark, folder))
+    return regions.crop_pixels(fitted, views.tiles(spark, folder))
+
+
+def resample_crops(spark: SparkSession, folder: str) -> DataFrame:
+    fitted = regions.fit_sizes(_gated(spark, folder))
+    return resample.strip_pixels(resample.resample(fitted, views.tiles(spark, folder)))
+
+
+def optimize_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return optimize_regions(views.crops(spark, folder), views.images(spark, folder)).select(
+        "request_id",
+        "image_id",
+        "image_width",
+        "image_height",
+        "crop_width",
+        "crop_height",
+        "output_width",
+        "output_height",
+        "byte_count",
+        "original_byte_count",
+        "output_format",
+        F.col("error.code").alias("error_code"),
+    )
+
+
+def changed_crops(spark: SparkSession, folder: str) -> DataFrame:
+    crops = regions.crops_from_changes(
+        _compared(spark, folder, 20), views.pairs(spark, folder), 16, 16
+    )
+    gated = regions.box_gate(crops, views.images(spark, folder))
+    return regions.fit_sizes(gated).select(
+        *FIT, "image_id", "x", "y", "width", "height", "downscaled"
+    )
+
+
+def byte_savings(spark: SparkSession, folder: str) -> DataFrame:
+    return regions.byte_savings(regions.fit_sizes(_gated(spark, folder)))
+
+
+# -- text and layout ----------------------------------------------------------
+
+
+def _managed(spark: SparkSession, folder: str, width: int = 640, height: int = 600) -> DataFrame:
+    sized = (
+        views.managed_payloads(spark, folder)
+        .withColumn("width", F.lit(width))
+        .withColumn("height", F.lit(height))
+    )
+    return payloads.parse_managed(sized)
+
+
+def _block_rows(parsed: DataFrame) -> DataFrame:
+    return payloads.explode_blocks(parsed).select(
+        "image_id",
+        "ord",
+        "text",
+        "block_type",
+        "page",
+        _joined(F.transform("polygon", lambda v: v.cast("int")), ",").alias("polygon"),
+        "confidence",
+    )
+
+
+def ocr_managed(spark: SparkSession, folder: str) -> DataFrame:
+    return _block_rows(_managed(spark, folder, 320, 300))
+
+
+def ocr_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _managed(spark, folder).select(
+        "image_id",
+        "status",
+        "error_code",
+        "state",
+        "markdown",
+        _joined(F.col("warnings")).alias("warnings"),
+        F.size("blocks").alias("block_count"),
+    )
+
+
+def ocr_local(spark: SparkSession, folder: str) -> DataFrame:
+    return _block_rows(payloads.parse_local(views.local_payloads(spark, folder)))
+
+
+def ocr_local_legacy(spark: SparkSession, folder: str) -> DataFrame:
+    saved = views.local_payloads(spark, folder, "legacy")
+    return _block_rows(payloads.parse_local(saved, "legacy"))
+
+
+def reading_order(spark: SparkSession, folder: str) -> DataFrame:
+    ordered = layout.reading_order(views.blocks(spark, folder))
+    return ordered.select("image_id", "position", "ord", "page", "text")
+
+
+def _shaped(spark: SparkSession, folder: str, max_blocks: int = 500) -> DataFrame:
+    ordered = layout.reading_order(views.blocks(spark, folder), max_blocks)
+    return layout.shaped_blocks(ordered, F.lit(640), F.lit(600))
+
+
+def normalized_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    return _shaped(spark, folder).select(
+        "image_id",
+        "id",
+        "type",
+        "page",
+        "confidence",
+        *[F.col(f"box.{c}").alias(f"box_{c}") for c in ("x", "y", "width", "height")],
+        F.element_at("polygon", 5).alias("third_x"),
+        F.element_at("polygon", 6).alias("third_y"),
+        F.length("text").alias("text_length"),
+    )
+
+
+def block_cap(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = views.blocks(spark, folder)
+    shaped = _shaped(spark, folder, 20)
+    kept = shaped.groupBy("image_id").agg(
+        F.count("*").alias("kept"), F.max("id").alias("last_id")
+    )
+    return layout.block_counts(blocks, 20).join(kept, "image_id")
+
+
+def _content(output_format: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return layout.assemble_content(_shaped(spark, folder), output_format)
+
+    return query
+
+
+def _routed(spark: SparkSession, folder: str) -> DataFrame:
+    local = payloads.parse_local(views.local_payloads(spark, folder))
+    return layout.fall_back(_managed(spark, folder), local)
+
+
+def provider_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    code = F.col("error_code")
+    return _routed(spark, folder).select(
+        "image_id",
+        *[F.col(f"provider.{c}").alias(f"provider_{c}") for c in ("name", "mode", "model", "api_version")],
+        "fallback_used",
+        "error_code",
+        errors.error_status(code).alias("http_status"),
+        errors.is_retryable(code).alias("retryable"),
+        _joined(F.col("warnings")).alias("warnings"),
+        F.size("blocks").alias("block_count"),
+    )
+
+
+def extract_layout(spark: SparkSession, folder: str) -> DataFrame:
+    result = extract(_routed(spark, folder), views.page_images(spark, folder), "csv", max_blocks=40)
+    return result.select(
+        "image_id",
+        "content",
+        F.size("blocks").alias("block_count"),
+        "width",
+        "height",
+        F.col("provider.name").alias("provider_name"),
+        "fallback_used",
+        "truncated",
+        _joined(F.col("warnings")).alias("warnings"),
+        "error_code",
+    )
+
+
+# -- gates --------------------------------------------------------------------
+
+
+def sniff(spark: SparkSession, folder: str) -> DataFrame:
+    files = views.headers(views.table(spark, folder, "documents"))
+    return files.select(
+        "path", "byte_count", media.sniff_content_type(F.col("content")).alias("content_type")
+    )
+
+
+def payload_gate(spark: SparkSession, folder: str) -> DataFrame:
+    files = views.headers(views.table(spark, folder, "documents"))
+    code = media.payload_gate(F.col("content"), MAX_BYTES)
+    return files.select(
+        "path",
+        code.alias("error_code"),
+        errors.error_status(code).alias("http_status"),
+        errors.is_retryable(code).alias("retryable"),
+    )
+
+
+def path_gate(spark: SparkSession, folder: str) -> DataFrame:
+    return views.page_paths(spark, folder).select(
+        "page_id", gates.path_gate(F.col("path"), ROOTS, F.col("present")).alias("error_code")
+    )
+
+
+def contained_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Containment in a table of roots: the roots are the language folders in use, without French."""
+    languages = views.table(spark, folder, "documents").where("lang <> 'fr'")
+    roots = languages.select(F.concat(F.lit("/"), "lang").alias("root")).distinct()
+    paths = views.page_paths(spark, folder).where("path LIKE '/%'").select("page_id", "path")
+    return assets.contained_paths(paths, roots).select("page_id")
+
+
+def reference_gate(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = gates.parsed_reference(F.col("reference"))
+    return (
+        views.references(spark, folder)
+        .withColumn("_ref", parsed)
+        .select(
+            "page_id",
+            F.col("_ref.kind").alias("kind"),
+            F.col("_ref.path").alias("path"),
+            F.col("_ref.asset_id").alias("asset_id"),
+            F.when(F.col("_ref").isNull(), "invalid_input").alias("error_code"),
+        )
+    )
+
+
+def param_gate(spark: SparkSession, folder: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    compare_errors = gates.compare_param_errors((size - 5) / 40.0, (size * 3 - 6).cast("int"))
+    crop_errors = gates.crop_param_errors(
+        (size - 3).cast("int"),
+        F.when(size == 7, 2_000_000).otherwise(size),
+        (size - 2).cast("int"),
+        (size - 4).cast("int"),
+        (size * 2).cast("int"),
+        (size * 400).cast("int"),
+        (size * 3).cast("int"),
+    )
+    return views.table(spark, folder, "part").select(
+        key.alias("request_id"),
+        F.size(compare_errors).alias("compare_error_count"),
+        errors.first_errors(compare_errors).alias("compare_errors"),
+        F.size(crop_errors).alias("crop_error_count"),
+        errors.first_errors(crop_errors).alias("crop_errors"),
+    )
+
+
+def language_gate(spark: SparkSession, folder: str) -> DataFrame:
+    asked = F.when(F.pmod("doc_id", F.lit(4)) != 0, F.col("lang"))
+    language = gates.language_or_default(asked)
+    local = F.pmod("doc_id", F.lit(2)) == 0
+    return views.table(spark, folder, "documents").select(
+        "doc_id",
+        language.alias("language"),
+        gates.language_gate(language, ("en", "fr"), local).alias("error_code"),
+        errors.first_errors(
+            gates.language_param_errors(
+                F.when(F.pmod("doc_id", F.lit(5)) == 0, F.substring("lang", 1, 1))
+                .when(F.pmod("doc_id", F.lit(5)) == 1, F.concat(F.col("lang"), F.lit(" !")))
+                .when(F.pmod("doc_id", F.lit(5)) == 2, F.repeat("lang", 9))
+                .otherwise(F.col("lang"))
+            )
+        ).alias("errors"),
+    )
+
+
+def content_type_gate(spark: SparkSession, folder: str) -> DataFrame:
+    gated = assets.gate_uploads(views.assets(spark, folder), MAX_UPLOAD)
+    return gated.select("asset_id", "content_type", "error_code")
+
+
+def quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    gated = assets.gate_uploads(views.assets(spark, folder), MAX_UPLOAD)
+    bad = assets.quarantine(gated)
+    return bad.groupBy(
+        F.col("error.code").alias("code"), F.col("error.retryable").alias("retryable")
+    ).agg(F.count("*").alias("uploads"), F.sum("byte_count").alias("bytes"))
+
+
+def error_details(spark: SparkSession, folder: str) -> DataFrame:
+    """Details of a refused document: its words by position, cut as an error response cuts them."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    keyed = F.transform(
+        words,
+        lambda w, i: F.struct(
+            F.concat(F.lit("word "), F.lpad(i.cast("string"), 6, "0")).alias("key"),
+            F.repeat(w, 40).alias("value"),
+        ),
+    )
+    details = errors.bounded_details(F.map_from_entries(keyed))
+    return views.table(spark, folder, "documents").select(
+        "doc_id",
+        _joined(F.map_keys(details)).alias("keys"),
+        _joined(F.map_values(details)).alias("details"),
+    )
+
+
+# -- assets -------------------------------------------------------------------
+
+
+def asset_expiry(spark: SparkSession, folder: str) -> DataFrame:
+    rows = assets.with_expiry(views.assets(spark, folder).drop("expires_at", "kind"), TTL)
+    return rows.select(
+        "asset_id", "kind", "principal_bucket", _naive("created_at"), _naive("expires_at")
+    )
+
+
+def visible_assets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every asset is asked for once, one time in four by somebody else."""
+    held = views.assets(spark, folder)
+    number = F.substring("asset_id", 2, 12).cast("long")
+    stranger = F.concat("principal", F.lit("x"))
+    asked = held.select(
+        number.alias("request_id"),
+        "asset_id",
+        F.when(F.pmod(number, F.lit(4)) == 0, stranger).otherwise(F.col("principal")).alias("principal"),
+    )
+    return assets.resolve_assets(asked, held, AS_OF).select(
+        "request_id", "asset_id", "byte_count", "error_code"
+    )
+
+
+def resolve_references(spark: SparkSession, folder: str) -> DataFrame:
+    """References of pages to other pages' paths and to the event log's assets."""
+    page = F.col("page_id")
+    files = (
+        views.page_paths(spark, folder)
+        .where("present AND path LIKE '/%' AND page_id % 10 > 4")
+        .groupBy("path")
+        .agg(F.max("page_id").alias("byte_count"))
+    )
+    wanted = F.to_json(
+        F.struct(
+            F.when(F.pmod(page, F.lit(2)) == 0, "local_path").otherwise(F.lit("asset")).alias("kind"),
+            F.when(F.pmod(page, F.lit(2)) == 0, F.col("path")).alias("path"),
+            F.when(
+                F.pmod(page, F.lit(2)) == 1,
+                F.concat(F.lit("a"), F.lpad(page.cast("string"), 12, "0")),
+            ).alias("assetId"),
+        )
+    )
+    owners = views.table(spark, folder, "events").select(
+        F.col("event_id").alias("page_id"),
+        F.concat(F.lit("p_"), F.col("user_id").cast("string")).alias("principal"),
+    )
+    asked = (
+        views.page_paths(spark, folder)
+        .join(owners, "page_id")
+        .select(page.alias("reference_id"), "principal", wanted.alias("reference"))
+    )
+    return assets.resolve_references(
+        asked, files, views.assets(spark, folder), ROOTS, "2024-01-01 18:00:00"
+    ).select("reference_id", "source_kind", "path", "asset_id", "byte_count", "error_code")
+
+
+def quota_usage(spark: SparkSession, folder: str) -> DataFrame:
+    both = assets.quota_usage(views.assets(spark, folder), AS_OF)
+    return both
+
+
+def container_usage(spark: SparkSession, folder: str) -> DataFrame:
+    held = views.assets(spark, folder).drop("kind")
+    artifact = F.col("asset_id").startswith("a")
+    both = assets.catalogue(held.where(~artifact), held.where(artifact))
+    return assets.quota_usage(both, AS_OF, "container")
+
+
+def purge_expired(spark: SparkSession, folder: str) -> DataFrame:
+    return assets.purge_counts(views.assets(spark, folder), AS_OF)
+
+
+def retention(spark: SparkSession, folder: str) -> DataFrame:
+    old = assets.beyond_retention(views.assets(spark, folder), AS_OF, TTL)
+    return old.select("asset_id", "age_days")
+
+
+def orphan_blobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fifth asset lost its metadata."""
+    blobs = views.assets(spark, folder).select("asset_id", "principal", "byte_count")
+    lost = F.pmod(F.substring("asset_id", 2, 12).cast("long"), F.lit(5)) == 0
+    return assets.orphan_blobs(blobs, views.assets(spark, folder).where(~lost))
+
+
+def quota_admission(spark: SparkSession, folder: str) -> DataFrame:
+    decided = admission.quota_admission(
+        views.assets(spark, folder), TTL, QUOTA_BYTES, QUOTA_COUNT, MAX_UPLOAD
+    )
+    return decided.select("asset_id", "principal", "byte_count", _naive("created_at"), "decision")
+
+
+def request_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    rolled = requests.request_rollup(views.requests(views.table(spark, folder, "events")))
+    return rolled.withColumn("window_start", _naive("window_start"))
+
+
+# -- streams ------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    schema = views.table(spark, folder, name).schema
+    # The last letter as a pattern lets one path serve a file and a folder.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
+def stream_intake(spark: SparkSession, folder: str) -> DataFrame:
+    target, mark = fresh_path(spark, "intake"), fresh_path(spark, "intake-mark")
+    gated = jobs.gated_intake(views.headers(_stream(spark, folder, "documents")), MAX_BYTES)
+    jobs.start_intake(gated, target, mark).awaitTermination()
+    columns = ("path", "byte_count", "content_type", "error_code")
+    good = spark.read.parquet(f"{target}/accepted").withColumn(
+        "error_code", F.lit(None).cast("string")
+    )
+    bad = spark.read.parquet(f"{target}/quarantine")
+    return good.select(*columns).unionByName(bad.select(*columns))
+
+
+def stream_quota(spark: SparkSession, folder: str) -> DataFrame:
+    target, mark = fresh_path(spark, "quota"), fresh_path(spark, "quota-mark")
+    uploads = views.uploads(_stream(spark, folder, "events"))
+    decided = jobs.stream_admission(uploads, TTL, QUOTA_BYTES, QUOTA_COUNT, MAX_UPLOAD)
+    jobs.start_table(decided, target, mark).awaitTermination()
+    return spark.read.parquet(target).select(
+        "asset_id", "principal", "byte_count", _naive("created_at"), "decision"
+    )
+
+
+def stream_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    target, mark = fresh_path(spark, "rollup"), fresh_path(spark, "rollup-mark")
+    rolled = jobs.stream_rollup(views.requests(_stream(spark, folder, "events")))
+    jobs.start_table(rolled, target, mark, "complete").awaitTermination()
+    return spark.read.parquet(target).withColumn("window_start", _naive("window_start"))
+
+
+_ALL: dict[str, Query] = {
+    "compare_totals": compare_totals,
+    "compare_totals_sparse": compare_totals_sparse,
+    "compare_tiles": compare_tiles,
+    "compare_regions": compare_regions,
+    "compare_topk": compare_topk,
+    "compare_images": compare_images,
+    "diff_raster": diff_raster,
+    "orient_pixels": orient_pixels,
+    "box_gate": box_gate,
+    "fit_scale": fit_scale,
+    "crop_pixels": crop_pixels,
+    "resample": resample_crops,
+    "optimize_regions": optimize_requests,
+    "changed_crops": changed_crops,
+    "byte_savings": byte_savings,
+    "ocr_managed": ocr_managed,
+    "ocr_documents": ocr_documents,
+    "ocr_local": ocr_local,
+    "ocr_local_legacy": ocr_local_legacy,
+    "reading_order": reading_order,
+    "normalized_boxes": normalized_boxes,
+    "block_cap": block_cap,
+    "content_text": _content("text"),
+    "content_markdown": _content("markdown"),
+    "content_csv": _content("csv"),
+    "provider_fallback": provider_fallback,
+    "extract_layout": extract_layout,
+    "sniff": sniff,
+    "payload_gate": payload_gate,
+    "path_gate": path_gate,
+    "contained_paths": contained_paths,
+    "reference_gate": reference_gate,
+    "param_gate": param_gate,
+    "language_gate": language_gate,
+    "content_type_gate": content_type_gate,
+    "quarantine": quarantine,
+    "error_details": error_details,
+    "asset_expiry": asset_expiry,
+    "visible_assets": visible_assets,
+    "resolve_references": resolve_references,
+    "quota_usage": quota_usage,
+    "container_usage": container_usage,
+    "purge_expired": purge_expired,
+    "retention": retention,
+    "orphan_blobs": orphan_blobs,
+    "quota_admission": quota_admission,
+    "request_rollup": request_rollup,
+    "stream_intake": stream_intake,
+    "stream_quota": stream_quota,
+    "stream_rollup": stream_rollup,
+}
+
+
+def _configured(query: Query) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return query(apply_defaults(spark), folder)
+
+    run.__name__ = query.__name__
+    return run
+
+
+QUERIES = {name: _configured(query) for name, query in _ALL.items()}

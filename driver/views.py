@@ -100,6 +100,10 @@ def crops(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def assets(spark: SparkSession, folder: str) -> DataFrame:
+    return uploads(table(spark, folder, "events"))
+
+
+def uploads(events: DataFrame) -> DataFrame:
     """Uploads of the event log; ``expires_at`` follows from a life of one day."""
     kind = F.element_at(
         F.create_map(
@@ -118,7 +122,7 @@ def assets(spark: SparkSession, folder: str) -> DataFrame:
     )
     artifact = F.pmod("event_id", F.lit(2)) == 1
     day = F.expr("INTERVAL '86400' SECOND")
-    return table(spark, folder, "events").select(
+    return events.select(
         F.concat(
             F.when(artifact, "a").otherwise(F.lit("i")), F.lpad(F.col("event_id").cast("string"), 12, "0")
         ).alias("asset_id"),
@@ -132,3 +136,208 @@ def assets(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("created_at"),
         (F.date_trunc("second", F.col("ts").cast("timestamp")) + day).alias("expires_at"),
     )
+
+
+def _lines():
+    """All lines of a document as structs; blank ones keep their number."""
+    return F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.struct(
+            i.alias("ord"),
+            line.alias("text"),
+            (12 * F.pmod(i * 17, F.lit(50))).cast("double").alias("top"),
+            F.pmod(i * 7, F.lit(40)).cast("double").alias("left"),
+            F.least(F.lit(600), 6 * F.length(line)).cast("double").alias("width"),
+            (F.pmod(F.length(line), F.lit(101)) / 100.0).alias("confidence"),
+        ),
+    )
+
+
+def _corners(line):
+    right, low = line["left"] + line["width"], line["top"] + 10.0
+    return [(line["left"], line["top"]), (right, line["top"]), (right, low), (line["left"], low)]
+
+
+def blocks(spark: SparkSession, folder: str) -> DataFrame:
+    line = F.col("line")
+    return (
+        table(spark, folder, "documents")
+        .select(F.col("doc_id").alias("image_id"), F.explode(_lines()).alias("line"))
+        .where(F.trim("line.text") != "")
+        .select(
+            "image_id",
+            F.col("line.ord").alias("ord"),
+            F.col("line.text").alias("text"),
+            F.lit("line").alias("block_type"),
+            (1 + F.floor(F.col("line.ord") / 50)).cast("int").alias("page"),
+            F.array(*[v for point in _corners(line) for v in point]).alias("polygon"),
+            F.col("line.confidence").alias("confidence"),
+        )
+    )
+
+
+def page_images(spark: SparkSession, folder: str, width: int = 640, height: int = 600) -> DataFrame:
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("image_id"),
+        F.lit(width).alias("width"),
+        F.lit(height).alias("height"),
+        F.col("n_chars").cast("long").alias("byte_count"),
+    )
+
+
+def managed_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """One page per 50 lines; the kind of the items and the status follow from the document id."""
+    doc = F.col("doc_id")
+    item = lambda line: F.struct(
+        line["text"].alias("content"),
+        line["confidence"].alias("confidence"),
+        F.struct(F.array(*[v for p in _corners(line) for v in p]).alias("polygon")).alias("source"),
+    )
+    last = F.floor((F.size("_lines") - 1) / 50).cast("int")
+
+    def page(number):
+        items = F.transform(F.slice("_lines", number * 50 + 1, F.lit(50)), item)
+        return F.struct(
+            F.concat(F.lit("# "), doc.cast("string"), F.lit("."), number.cast("string")).alias("markdown"),
+            *[
+                F.when(F.pmod(doc, F.lit(3)) == i, items).alias(name)
+                for i, name in enumerate(("paragraphs", "lines", "words"))
+            ],
+        )
+
+    body = F.to_json(
+        F.struct(
+            F.lit("Succeeded").alias("status"),
+            F.struct(F.transform(F.sequence(F.lit(0), last), page).alias("contents")).alias("result"),
+        )
+    )
+    status = F.when(F.pmod(doc, F.lit(7)) == 0, 500).when(F.pmod(doc, F.lit(11)) == 0, 401).otherwise(200)
+    return (
+        table(spark, folder, "documents")
+        .withColumn("_lines", _lines())
+        .select(
+            doc.alias("image_id"),
+            F.lit("managed").alias("provider"),
+            status.alias("status"),
+            F.lit(None).cast("string").alias("error_code"),
+            F.when(status == 200, body).alias("body"),
+        )
+    )
+
+
+def local_payloads(spark: SparkSession, folder: str, variant: str = "modern") -> DataFrame:
+    """The same lines from a local engine; every fifth document was throttled."""
+    doc = F.col("doc_id")
+    points = lambda line: F.array(*[F.array(*p) for p in _corners(line)])
+    if variant == "modern":
+        body = F.to_json(
+            F.struct(
+                F.struct(
+                    F.transform("_lines", lambda line: line["text"]).alias("rec_texts"),
+                    F.transform("_lines", lambda line: line["confidence"]).alias("rec_scores"),
+                    F.transform("_lines", points).alias("rec_polys"),
+                ).alias("res")
+            )
+        )
+    else:
+        quoted = lambda line: F.regexp_replace(
+            F.to_json(F.array(line["text"])), r"^\[|\]$", ""
+        )
+        entry = lambda line: F.concat(
+            F.lit("["),
+            F.to_json(points(line)),
+            F.lit(",["),
+            quoted(line),
+            F.lit(","),
+            line["confidence"].cast("string"),
+            F.lit("]]"),
+        )
+        body = F.concat(F.lit("[["), F.array_join(F.transform("_lines", entry), ","), F.lit("]]"))
+    status = F.when(F.pmod(doc, F.lit(5)) == 0, 429).otherwise(200)
+    return (
+        table(spark, folder, "documents")
+        .withColumn("_lines", _lines())
+        .select(
+            doc.alias("image_id"),
+            F.lit("local").alias("provider"),
+            status.alias("status"),
+            F.lit(None).cast("string").alias("error_code"),
+            F.when(status == 200, body).alias("body"),
+        )
+    )
+
+
+def headers(frame: DataFrame) -> DataFrame:
+    """Documents behind the first bytes of an image format, chosen by the document id."""
+    doc = F.col("doc_id")
+    text = F.encode("text", "UTF-8")
+    big = lambda v: F.unhex(F.lpad(F.hex(v), 8, "0"))
+    fixed = lambda digits: F.unhex(F.lit(digits))
+    content = (
+        F.when(
+            F.pmod(doc, F.lit(5)) == 0,
+            F.concat(
+                fixed("89504E470D0A1A0A0000000D49484452"),
+                big(1 + F.pmod(doc * 37, F.lit(9000))),
+                big(1 + F.pmod(doc * 53, F.lit(9000))),
+                text,
+            ),
+        )
+        .when(F.pmod(doc, F.lit(5)) == 1, F.concat(fixed("FFD8FF"), text))
+        .when(F.pmod(doc, F.lit(5)) == 2, F.concat(fixed("524946460000000057454250"), text))
+        .when(F.pmod(doc, F.lit(5)) == 3, F.concat(fixed("474946383961"), text))
+        .otherwise(F.encode(F.lit(""), "UTF-8"))
+    )
+    return frame.select(
+        F.concat(F.lit("/uploads/"), doc.cast("string")).alias("path"), content.alias("content")
+    ).withColumn("byte_count", F.length("content").cast("long"))
+
+
+def requests(frame: DataFrame) -> DataFrame:
+    status = F.array(*[F.lit(s) for s in (200, 200, 200, 200, 400, 404, 413, 429, 503, 504)])
+    return frame.select(
+        F.col("event_id").alias("request_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("/tools/"), F.col("event_type")).alias("path"),
+        F.lit("POST").alias("method"),
+        F.get(status, F.pmod("event_id", F.lit(10)).cast("int")).alias("status"),
+        F.col("value").alias("duration_ms"),
+    )
+
+
+def page_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths of the page addresses; some relative, with a NUL, leaving their root, or missing."""
+    page = F.col("page_id")
+    clean = F.regexp_extract("url", r"^https?://[^/?#]+(/[^?#]*)", 1)
+    path = (
+        F.when(F.pmod(page, F.lit(10)) == 0, F.substr(clean, F.lit(2)))
+        .when(F.pmod(page, F.lit(10)) == 1, F.concat(clean, F.lit("\u0000")))
+        .when(F.pmod(page, F.lit(10)) == 2, F.concat(F.lit("/en/.."), clean))
+        .when(F.pmod(page, F.lit(10)) == 3, F.concat(F.lit("/en/./../private"), clean))
+        .when(F.pmod(page, F.lit(10)) == 4, F.lit("/en"))
+        .otherwise(clean)
+    )
+    return table(spark, folder, "pages").select(
+        "page_id", path.alias("path"), (F.pmod(page, F.lit(7)) != 0).alias("present")
+    )
+
+
+def references(spark: SparkSession, folder: str) -> DataFrame:
+    """Image references in accepted and refused forms, by page id."""
+    page = F.col("page_id")
+    ident = F.concat(F.lit("i"), F.lpad(page.cast("string"), 12, "0"))
+    form = F.pmod(page, F.lit(9))
+    obj = lambda *fields: F.to_json(F.struct(*fields))
+    kind = lambda name: F.lit(name).alias("kind")
+    reference = (
+        F.when(form == 0, obj(kind("local_path"), F.col("url").alias("path")))
+        .when(form == 1, obj(kind("asset"), ident.alias("assetId")))
+        .when(form == 2, obj(kind("base64"), F.lit("aGk=").alias("data")))
+        .when(form == 3, obj(kind("url"), F.col("url").alias("url")))
+        .when(form == 4, F.concat(F.lit('"'), F.col("url"), F.lit('"')))
+        .when(form == 5, obj(kind("asset"), ident.alias("assetId"), F.lit(1).alias("extra")))
+        .when(form == 6, obj(kind("asset"), F.concat(F.lit("../"), ident).alias("assetId")))
+        .when(form == 7, obj(kind("asset"), F.concat(F.lit("i"), page.cast("string")).alias("assetId")))
+        .otherwise(obj(kind("local_path"), page.alias("path")))
+    )
+    return table(spark, folder, "pages").select("page_id", reference.alias("reference"))
