@@ -94,12 +94,14 @@ def stream_admission(
     quota_bytes: int = DEFAULT_QUOTA_BYTES,
     quota_count: int = DEFAULT_QUOTA_COUNT,
     max_bytes: int = DEFAULT_MAX_IMAGE_BYTES,
+    drop_idle: bool = False,
 ) -> DataFrame:
     """Admission decisions with the live uploads of a principal as state.
 
     The state holds at most ``quota_count`` entries. A principal's rows of one micro-batch meet in
     one task, where they are put in order; the trigger limit of the source bounds them. Expiry is
-    judged on the upload's own time; the idle timeout only drops state that has run out.
+    judged on the upload's own time. ``drop_idle`` removes the state of principals that stay away;
+    it belongs to streams that run on, since its timers keep a stream from ending.
     """
     fields = ADMISSIONS.fieldNames()
 
@@ -126,7 +128,8 @@ def stream_admission(
         decision = refusal.astype(object).copy()
         decision[open_rows.index] = [ADMITTED if v else REFUSED for v in verdicts]
         state.update(([e for e, _ in live], [b for _, b in live]))
-        state.setTimeoutDuration(2 * ttl_seconds * 1000)
+        if drop_idle:
+            state.setTimeoutDuration(2 * ttl_seconds * 1000)
         yield pd.DataFrame(
             {
                 "asset_id": rows["asset_id"],
@@ -148,7 +151,11 @@ def stream_admission(
         )
         .groupBy("principal")
         .applyInPandasWithState(
-            decide, ADMISSIONS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+            decide,
+            ADMISSIONS,
+            _STATE,
+            "append",
+            GroupStateTimeout.ProcessingTimeTimeout if drop_idle else GroupStateTimeout.NoTimeout,
         )
     )
 

@@ -474,7 +474,7 @@ def resolve_references(spark: SparkSession, folder: str) -> DataFrame:
     files = (
         views.page_paths(spark, folder)
         .where("present AND path LIKE '/%' AND page_id % 10 > 4")
-        .groupBy("path")
+        .groupBy(F.rtrim("path", F.lit("/")).alias("path"))
         .agg(F.max("page_id").alias("byte_count"))
     )
     wanted = F.to_json(
