@@ -14,6 +14,7 @@ from ..settings import (
     RETRYABLE_CODES,
     STATUS_BY_CODE,
 )
+from .numeric import bind
 
 
 def error_status(code: Column) -> Column:
@@ -40,13 +41,16 @@ def bounded_details(details: Column) -> Column:
             F.substring(e["value"], 1, MAX_DETAIL_CHARS).alias("value"),
         ),
     )
-    last = F.filter(
-        cut,
+    return F.map_from_entries(bind(cut, _last_of_equal_keys))
+
+
+def _last_of_equal_keys(entries: Column) -> Column:
+    return F.filter(
+        entries,
         lambda e, i: ~F.exists(
-            F.slice(cut, i + 2, MAX_DETAIL_ENTRIES), lambda later: later["key"] == e["key"]
+            F.slice(entries, i + 2, MAX_DETAIL_ENTRIES), lambda later: later["key"] == e["key"]
         ),
     )
-    return F.map_from_entries(last)
 
 
 def error_struct(code: Column, message: Column, details: Column | None = None) -> Column:

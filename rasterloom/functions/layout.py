@@ -13,7 +13,7 @@ from ..settings import (
     MAX_CONTENT_CHARS,
     MAX_POLYGON_VALUES,
 )
-from .numeric import clamp, clamp01, round_exact
+from .numeric import bind, clamp, clamp01, round_exact
 
 
 def _axis(polygon: Column, axis: int) -> Column:
@@ -30,26 +30,33 @@ def order_left(polygon: Column) -> Column:
 
 def clamped_polygon(values: Column, width: Column, height: Column) -> Column:
     """Flat polygon inside the image, empty for fewer than three points or an odd count."""
-    usable = (F.size(values) >= 6) & (F.pmod(F.size(values), F.lit(2)) == 0)
-    inside = F.transform(
-        F.slice(values, 1, MAX_POLYGON_VALUES),
-        lambda v, i: clamp(
-            v,
-            F.lit(0.0),
-            F.when(F.pmod(i, F.lit(2)) == 0, width).otherwise(height).cast("double"),
-        ),
-    )
-    return F.when(usable, inside).otherwise(F.array().cast("array<double>"))
+
+    def inside(flat: Column) -> Column:
+        usable = (F.size(flat) >= 6) & (F.pmod(F.size(flat), F.lit(2)) == 0)
+        limit = lambda i: F.when(F.pmod(i, F.lit(2)) == 0, width).otherwise(height)
+        clamped = F.transform(
+            F.slice(flat, 1, MAX_POLYGON_VALUES),
+            lambda v, i: clamp(v, F.lit(0.0), limit(i).cast("double")),
+        )
+        return F.when(usable, clamped).otherwise(F.array().cast("array<double>"))
+
+    return bind(values, inside)
 
 
 def points_flat(points: Column) -> Column:
     """``array<array<double>>`` of points as flat x, y values; one bad point empties the list."""
-    bad = F.exists(
-        points,
-        lambda p: p.isNull() | (F.size(p) < 2) | F.get(p, 0).isNull() | F.get(p, 1).isNull(),
-    )
-    flat = F.flatten(F.transform(points, lambda p: F.slice(p, 1, 2)))
-    return F.when(~F.coalesce(bad, F.lit(True)), flat).otherwise(F.array().cast("array<double>"))
+
+    def flat(given: Column) -> Column:
+        bad = F.exists(
+            given,
+            lambda p: p.isNull() | (F.size(p) < 2) | F.get(p, 0).isNull() | F.get(p, 1).isNull(),
+        )
+        pairs = F.flatten(F.transform(given, lambda p: F.slice(p, 1, 2)))
+        return F.when(~F.coalesce(bad, F.lit(True)), pairs).otherwise(
+            F.array().cast("array<double>")
+        )
+
+    return bind(points, flat)
 
 
 def local_confidence(score: Column) -> Column:
@@ -74,32 +81,32 @@ def block_text(text: Column) -> Column:
 
 def normalized_box(polygon: Column, width: Column, height: Column) -> Column:
     """Bounding fractions of a polygon, null for an empty one."""
-    xs = F.transform(_axis(polygon, 0), lambda v: clamp01(v / width))
-    ys = F.transform(_axis(polygon, 1), lambda v: clamp01(v / height))
-    left, right = F.array_min(xs), F.array_max(xs)
-    top, bottom = F.array_min(ys), F.array_max(ys)
-    return F.when(
-        F.size(polygon) > 0,
-        F.struct(
-            round_exact(left).alias("x"),
-            round_exact(top).alias("y"),
-            round_exact(right - left).alias("width"),
-            round_exact(bottom - top).alias("height"),
-        ),
+
+    def box(axes: Column) -> Column:
+        left, top = F.array_min(axes["xs"]), F.array_min(axes["ys"])
+        edges = F.array(left, top, F.array_max(axes["xs"]) - left, F.array_max(axes["ys"]) - top)
+        return bind(
+            F.transform(edges, lambda v: round_exact(v)),
+            lambda e: F.struct(
+                *[F.get(e, i).alias(n) for i, n in enumerate(("x", "y", "width", "height"))]
+            ),
+        )
+
+    axes = F.struct(
+        F.transform(_axis(polygon, 0), lambda v: clamp01(v / width)).alias("xs"),
+        F.transform(_axis(polygon, 1), lambda v: clamp01(v / height)).alias("ys"),
     )
+    return F.when(F.size(polygon) > 0, bind(axes, box))
 
 
 def normalized_polygon(polygon: Column, width: Column, height: Column) -> Column:
     """Fractions of a polygon; an unpaired last value is dropped."""
     paired = F.slice(polygon, 1, F.size(polygon) - F.pmod(F.size(polygon), F.lit(2)))
     side = lambda i: F.when(F.pmod(i, F.lit(2)) == 0, width).otherwise(height)
+    fractions = F.transform(paired, lambda v, i: clamp01(v / side(i)))
     return F.when(
         F.size(polygon) > 0,
-        F.slice(
-            F.transform(paired, lambda v, i: round_exact(clamp01(v / side(i)))),
-            1,
-            MAX_POLYGON_VALUES,
-        ),
+        F.transform(F.slice(fractions, 1, MAX_POLYGON_VALUES), lambda v: round_exact(v)),
     )
 
 
@@ -141,10 +148,13 @@ def _csv_field(text: Column) -> Column:
     return F.when(special, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def _fixed(value: Column, digits: int) -> Column:
-    return F.when(
-        value.isNotNull(), F.format_string(f"%.{digits}f", round_exact(value, digits))
-    ).otherwise(F.lit(""))
+def _fixed(value: Column, digits: int, rounded: bool = True) -> Column:
+    """A number from 0 on with a fixed count of decimals, empty for null."""
+    exact = value if rounded else round_exact(value, digits)
+    units = F.rint(exact * F.lit(float(10**digits))).cast("long")
+    whole = F.floor(units / 10**digits).cast("string")
+    rest = F.lpad(F.pmod(units, F.lit(10**digits)).cast("string"), digits, "0")
+    return F.when(value.isNotNull(), F.concat(whole, F.lit("."), rest)).otherwise(F.lit(""))
 
 
 def csv_line(
@@ -160,7 +170,7 @@ def csv_line(
         ",",
         block_id,
         _csv_field(text),
-        _fixed(confidence, 4),
+        _fixed(confidence, 4, rounded=False),
         *[_fixed(v, 6) for v in (x, y, width, height)],
     )
 

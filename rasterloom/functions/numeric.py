@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where it would appear several times.
+
+    Inside higher-order functions and branches Spark does not share common subexpressions.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def round_exact(value: Column, digits: int = 6) -> Column:
     """Round a double between -1e6 and 1e6 to ``digits`` (at most 6) decimals.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.errors import capped_warnings, operation_state, provider_error_code
 from ..functions.layout import clamped_polygon, local_confidence, points_flat
+from ..functions.numeric import bind
 from ..settings import (
     BLOCK,
     LOCAL_MODE,
@@ -28,83 +29,115 @@ NON_BLANK = (
 )
 
 
-def _is(value: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+FLAT_NUMBERS = r"^ARRAY<(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))>$"
+NESTED_NUMBERS = r"^ARRAY<ARRAY<(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))>>$"
+_BLOCKS = f"array<{BLOCK.simpleString()}>"
+_NUMBERS = "array<double>"
 
 
-def _is_number(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    return F.coalesce(
-        kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL"),
-        F.lit(False),
-    )
+def _empty(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
 def _at(value: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{name}", kind)
 
 
-def _double(value: Column) -> Column:
-    return F.when(
-        F.schema_of_variant(value) == "BOOLEAN",
-        F.try_variant_get(value, "$", "boolean").cast("double"),
-    ).otherwise(F.try_variant_get(value, "$", "double"))
+def _as(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
 
 
 def _text(value: Column) -> Column:
-    return F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
+    return F.when(_kind(value) == "STRING", _as(value, "string"))
+
+
+def _falsy(value: Column) -> Column:
+    """Null, false, zero, and empty texts and containers."""
+    return F.to_json(value).isin('""', "0", "0.0", "-0.0", "false", "null", "[]", "{}")
 
 
-def _truthy(value: Column) -> Column:
-    """False for what is missing, null, false, zero, empty text and empty containers."""
-    empty = F.to_json(value).isin('""', "0", "0.0", "-0.0", "false", "null", "[]", "{}")
-    return F.coalesce(~empty, F.lit(False))
+def _number(value: Column) -> Column:
+    """A JSON number or boolean as a double, anything else as null."""
+
+    def converted(kind: Column) -> Column:
+        return F.when(kind == "BOOLEAN", _as(value, "boolean").cast("double")).when(
+            kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
+            _as(value, "double"),
+        )
+
+    return bind(_kind(value), converted)
+
+
+def _entry_values(entry: Column) -> Column:
+    """What a polygon entry adds: a number, or the first two numbers of a pair."""
+    pair = _as(entry, "array<variant>")
+    return (
+        F.when(_number(entry).isNotNull(), F.array(_number(entry)))
+        .when(
+            _kind(entry).startswith("ARRAY") & (F.size(pair) >= 2),
+            F.transform(F.slice(pair, 1, 2), lambda v: _number(v)),
+        )
+        .otherwise(_empty(_NUMBERS))
+    )
 
 
 def _managed_polygon(item: Column, width: Column, height: Column) -> Column:
     direct = _at(item, "polygon")
-    absent = direct.isNull() | (F.schema_of_variant(direct) == "VOID")
-    raw = F.when(absent, _at(item, "source.polygon", "array<variant>")).otherwise(
-        _at(item, "polygon", "array<variant>")
+    given = F.when(direct.isNull() | F.is_variant_null(direct), _at(item, "source.polygon")).otherwise(
+        direct
     )
-    none = F.array().cast("array<double>")
 
-    def values(entry: Column) -> Column:
-        pair = F.try_variant_get(entry, "$", "array<variant>")
+    def values(polygon: Column) -> Column:
+        mixed = F.coalesce(_as(polygon, "array<variant>"), _empty("array<variant>"))
         return (
-            F.when(_is_number(entry), F.array(_double(entry)))
+            F.when(_kind(polygon).rlike(FLAT_NUMBERS), _as(polygon, _NUMBERS))
             .when(
-                _is(entry, "ARRAY") & (F.size(pair) >= 2),
-                F.array(_double(F.get(pair, 0)), _double(F.get(pair, 1))),
+                _kind(polygon).startswith("ARRAY"),
+                F.flatten(F.transform(mixed, lambda e: _entry_values(e))),
             )
-            .otherwise(none)
+            .otherwise(_empty(_NUMBERS))
+        )
+
+    return clamped_polygon(bind(given, values), width, height)
+
+
+def _managed_text(item: Column) -> Column:
+    """``content``, or ``text`` where content is falsy; only strings count."""
+
+    def chosen(content: Column) -> Column:
+        written = _text(content)
+        return (
+            F.when(F.length(written) > 0, written)
+            .when(content.isNull() | written.isNotNull() | _falsy(content), _text(_at(item, "text")))
         )
 
-    flat = F.flatten(F.transform(F.coalesce(raw, F.array().cast("array<variant>")), values))
-    return clamped_polygon(flat, width, height)
+    return bind(_at(item, "content"), chosen)
 
 
 def _managed_block(
     item: Column, kind: Column, page: Column, width: Column, height: Column
 ) -> Column:
-    content, text = _at(item, "content"), _at(item, "text")
-    chosen = _text(F.when(_truthy(content), content).otherwise(text))
-    confidence = _at(item, "confidence")
-    usable = _is(item, "OBJECT") & chosen.rlike(NON_BLANK)
-    return F.when(
-        F.coalesce(usable, F.lit(False)),
-        F.struct(
-            chosen.alias("text"),
-            kind.alias("block_type"),
-            page.alias("page"),
-            _managed_polygon(item, width, height).alias("polygon"),
-            F.when(_is_number(confidence), _double(confidence)).alias("confidence"),
-        ),
-    ).cast(BLOCK)
+    def block(text: Column) -> Column:
+        return F.when(
+            text.rlike(NON_BLANK),
+            F.struct(
+                text.alias("text"),
+                kind.alias("block_type"),
+                page.alias("page"),
+                _managed_polygon(item, width, height).alias("polygon"),
+                _number(_at(item, "confidence")).alias("confidence"),
+            ),
+        ).cast(BLOCK)
+
+    return bind(_managed_text(item), block)
 
 
 def _page(content: Column, index: Column, width: Column, height: Column) -> Column:
-    """Markdown, blocks and the missing-blocks flag of one page.
+    """Markdown, blocks and the missing-blocks flag of one page, null for what is no page.
 
     The first kind with a non-empty list wins, even if all its items are blank.
     """
@@ -116,22 +149,33 @@ def _page(content: Column, index: Column, width: Column, height: Column) -> Colu
             for name, kind in (("paragraphs", "paragraph"), ("lines", "line"), ("words", "word"))
         ]
     )
-    first = F.get(F.filter(wanted, lambda w: F.size(w["items"]) > 0), 0)
-    blocks = F.filter(
-        F.transform(
-            first["items"],
-            lambda item: _managed_block(item, first["kind"], index + 1, width, height),
-        ),
-        lambda b: b.isNotNull(),
-    )
-    return F.when(
-        _is(content, "OBJECT"),
-        F.struct(
-            _text(_at(content, "markdown")).alias("markdown"),
-            F.coalesce(blocks, F.array().cast(f"array<{BLOCK.simpleString()}>")).alias("blocks"),
-            first.isNull().alias("bare"),
-        ),
+    filled = F.slice(F.filter(wanted, lambda w: F.size(w["items"]) > 0), 1, 1)
+
+    def blocks(group: Column) -> Column:
+        return F.filter(
+            F.transform(
+                group["items"],
+                lambda item: _managed_block(item, group["kind"], index + 1, width, height),
+            ),
+            lambda b: b.isNotNull(),
+        )
+
+    def page(parts: Column) -> Column:
+        empty = (F.size(parts["groups"]) == 0) & parts["markdown"].isNull()
+        return F.when(
+            ~empty | _kind(content).startswith("OBJECT"),
+            F.struct(
+                parts["markdown"].alias("markdown"),
+                F.flatten(parts["groups"]).alias("blocks"),
+                (F.size(parts["groups"]) == 0).alias("bare"),
+            ),
+        )
+
+    parts = F.struct(
+        _text(_at(content, "markdown")).alias("markdown"),
+        F.transform(filled, blocks).alias("groups"),
     )
+    return bind(parts, page)
 
 
 def parse_managed(payloads: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
@@ -140,95 +184,101 @@ def parse_managed(payloads: DataFrame, width: str = "width", height: str = "heig
     ``payloads`` carries the image dimensions, because polygons are clamped to the image. The page
     number is the position in the page list, malformed pages included.
     """
-    document = F.try_parse_json("body")
+    document = F.col("_document")
+    saved = F.col("status")
+    is_object = F.coalesce(document.isNotNull() & F.ltrim("body").startswith("{"), F.lit(False))
     own = _at(document, "result")
     result = F.when(own.isNull(), document).otherwise(own)
-    malformed = ~_is(document, "OBJECT") | ~_is(result, "OBJECT")
+    contents = F.col("_contents")
+    malformed = contents.isNull() & ~_kind(result).startswith("OBJECT")
+    # A synchronous 200 answer carries no operation status.
+    pending = (saved != 200) | _at(document, "status").isNotNull()
+    done = F.col("state") == "ok"
+    sound = done & ~malformed
     pages = F.filter(
         F.transform(
-            _at(F.col("_result"), "contents", "array<variant>"),
-            lambda content, i: _page(content, i, F.col(width), F.col(height)),
+            F.when(sound, contents), lambda c, i: _page(c, i, F.col(width), F.col(height))
         ),
         lambda p: p.isNotNull(),
     )
-    empty = F.coalesce(F.size(_at(F.col("_result"), "contents", "array<variant>")), F.lit(0)) <= 0
-    bare = F.filter(F.col("_pages"), lambda p: p["bare"])
-    warnings = F.when(empty, F.array(F.lit(MSG_NO_CONTENT))).otherwise(
-        F.transform(bare, lambda p: F.lit(MSG_NO_BLOCKS))
-    )
+    bare = F.transform(F.filter("_pages", lambda p: p["bare"]), lambda p: F.lit(MSG_NO_BLOCKS))
+    empty = F.coalesce(F.size(contents), F.lit(0)) <= 0
+    notes = F.when(empty, F.array(F.lit(MSG_NO_CONTENT))).otherwise(bare)
     markdown = F.array_join(F.transform("_pages", lambda p: p["markdown"]), "\n\n")
-    saved = F.col("status")
-    code = provider_error_code(saved)
-    state = operation_state(_at(document, "status", "string"))
-    # A synchronous 200 answer carries no operation status.
-    pending = (saved != 200) | _at(document, "status").isNotNull()
     return (
-        payloads.withColumn("_code", F.coalesce(F.col("error_code"), code))
+        payloads.withColumn("_document", F.try_parse_json("body"))
+        .withColumn("_code", F.coalesce(F.col("error_code"), provider_error_code(saved)))
         .withColumn(
             "state",
             F.when(F.col("_code").isNotNull(), "failed")
-            .when(~_is(document, "OBJECT"), "provider_error")
-            .when(pending, state)
+            .when(~is_object, "provider_error")
+            .when(pending, operation_state(_at(document, "status", "string")))
             .otherwise("ok"),
         )
-        .withColumn("_result", F.when(~malformed & (F.col("state") == "ok"), result))
+        .withColumn("_contents", F.when(done, _at(result, "contents", "array<variant>")))
+        .withColumn("_sound", sound)
         .withColumn("_pages", pages)
-        .withColumn("warnings", F.when(F.col("_result").isNotNull(), capped_warnings(warnings)))
+        .withColumn("warnings", F.when(F.col("_sound"), capped_warnings(notes)))
         .withColumn("blocks", F.flatten(F.transform("_pages", lambda p: p["blocks"])))
-        .withColumn("blocks", _known_blocks(F.col("_result").isNotNull()))
+        .withColumn("blocks", _known_blocks(F.col("_sound")))
         .withColumn("markdown", F.nullif(markdown, F.lit("")))
         .withColumn(
             "error_code",
             F.coalesce(
                 F.col("_code"),
                 F.when(
-                    (F.col("state") == "provider_error")
-                    | ((F.col("state") == "ok") & F.col("_result").isNull()),
+                    (F.col("state") == "provider_error") | (done & ~F.col("_sound")),
                     "provider_error",
                 ),
             ),
         )
-        .drop("_code", "_result", "_pages")
+        .drop("_document", "_code", "_contents", "_sound", "_pages")
     )
 
 
 def _known_blocks(known: Column) -> Column:
-    return F.when(
-        known, F.coalesce(F.col("blocks"), F.array().cast(f"array<{BLOCK.simpleString()}>"))
-    )
+    return F.when(known, F.coalesce(F.col("blocks"), _empty(_BLOCKS)))
 
 
 def _points(polygon: Column) -> Column:
     """Flat points of a polygon given as a list of lists."""
-    points = F.try_variant_get(polygon, "$", "array<variant>")
     nested = F.transform(
-        points,
+        _as(polygon, "array<variant>"),
         lambda p: F.when(
-            _is(p, "ARRAY"),
+            _kind(p).startswith("ARRAY"),
             F.transform(
-                F.slice(F.try_variant_get(p, "$", "array<variant>"), 1, 2),
-                lambda v: F.try_variant_get(v, "$", "string").try_cast("double"),
+                F.slice(_as(p, "array<variant>"), 1, 2),
+                lambda v: _as(v, "string").try_cast("double"),
             ),
         ),
     )
-    return points_flat(nested)
+    plain = _kind(polygon).rlike(NESTED_NUMBERS)
+    return points_flat(F.when(plain, _as(polygon, "array<array<double>>")).otherwise(nested))
 
 
 def _local_block(text: Column, score: Column, polygon: Column) -> Column:
-    flat = _points(polygon)
-    written = F.when(_is(text, "STRING"), F.try_variant_get(text, "$", "string")).otherwise(
-        F.to_json(text)
+    written = F.when(_kind(text) == "STRING", _as(text, "string")).when(
+        ~_falsy(text), F.to_json(text)
     )
-    return F.when(
-        _truthy(text) & (F.size(flat) > 0),
-        F.struct(
-            written.alias("text"),
-            F.lit("line").alias("block_type"),
-            F.lit(1).alias("page"),
-            flat.alias("polygon"),
-            local_confidence(F.try_variant_get(score, "$", "string")).alias("confidence"),
-        ),
-    ).cast(BLOCK)
+
+    def block(parts: Column) -> Column:
+        return F.when(
+            (F.length(parts["text"]) > 0) & (F.size(parts["polygon"]) > 0),
+            F.struct(
+                parts["text"].alias("text"),
+                F.lit("line").alias("block_type"),
+                F.lit(1).alias("page"),
+                parts["polygon"].alias("polygon"),
+                parts["confidence"].alias("confidence"),
+            ),
+        ).cast(BLOCK)
+
+    parts = F.struct(
+        written.alias("text"),
+        _points(polygon).alias("polygon"),
+        bind(_as(score, "string"), local_confidence).alias("confidence"),
+    )
+    return bind(parts, block)
 
 
 def _kept(blocks: Column) -> Column:
@@ -236,52 +286,71 @@ def _kept(blocks: Column) -> Column:
 
 
 def _modern_result(result: Column) -> Column:
-    inner = F.coalesce(_at(result, "res"), result)
-    texts = _at(inner, "rec_texts", "array<variant>")
-    scores = _at(inner, "rec_scores", "array<variant>")
-    polygons = F.when(
-        _at(inner, "rec_polys").isNotNull(), _at(inner, "rec_polys", "array<variant>")
-    ).otherwise(_at(inner, "dt_polys", "array<variant>"))
-    shortest = F.array_min(F.array(F.size(texts), F.size(scores), F.size(polygons)))
-    whole = texts.isNotNull() & scores.isNotNull() & polygons.isNotNull()
-    spots = F.when(whole & (shortest > 0), F.sequence(F.lit(0), shortest - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return _kept(
-        F.transform(
-            spots,
-            lambda i: _local_block(F.get(texts, i), F.get(scores, i), F.get(polygons, i)),
+    """Blocks of one result: its three lists side by side, as far as the shortest goes."""
+
+    def blocks(lists: Column) -> Column:
+        shortest = F.least(*[F.size(lists[c]) for c in ("texts", "scores", "polygons")])
+        whole = (
+            lists["texts"].isNotNull()
+            & lists["scores"].isNotNull()
+            & lists["polygons"].isNotNull()
+        )
+        side_by_side = F.slice(
+            F.arrays_zip(lists["texts"], lists["scores"], lists["polygons"]), 1, shortest
+        )
+        return F.when(
+            whole,
+            _kept(
+                F.transform(
+                    side_by_side, lambda z: _local_block(z["texts"], z["scores"], z["polygons"])
+                )
+            ),
+        ).otherwise(_empty(_BLOCKS))
+
+    def lists(inner: Column) -> Column:
+        polygons = F.when(
+            _at(inner, "rec_polys").isNotNull(), _at(inner, "rec_polys", "array<variant>")
+        ).otherwise(_at(inner, "dt_polys", "array<variant>"))
+        return F.struct(
+            _at(inner, "rec_texts", "array<variant>").alias("texts"),
+            _at(inner, "rec_scores", "array<variant>").alias("scores"),
+            polygons.alias("polygons"),
         )
-    )
 
+    inner = F.coalesce(_at(result, "res"), result)
+    return bind(bind(inner, lists), blocks)
 
-def _legacy_page(page: Column) -> Column:
-    lines = F.coalesce(
-        F.try_variant_get(page, "$", "array<variant>"), F.array().cast("array<variant>")
-    )
 
+def _legacy_page(page: Column) -> Column:
     def block(line: Column) -> Column:
-        parts = F.try_variant_get(line, "$", "array<variant>")
-        recognition = F.try_variant_get(F.get(parts, 1), "$", "array<variant>")
-        return F.when(
-            (F.size(parts) == 2) & (F.size(recognition) == 2),
-            _local_block(F.get(recognition, 0), F.get(recognition, 1), F.get(parts, 0)),
-        )
+        def pair(parts: Column) -> Column:
+            recognition = _as(F.get(parts, 1), "array<variant>")
+            return F.when(
+                F.size(parts) == 2,
+                bind(
+                    recognition,
+                    lambda r: F.when(
+                        F.size(r) == 2, _local_block(F.get(r, 0), F.get(r, 1), F.get(parts, 0))
+                    ),
+                ),
+            )
 
+        return bind(_as(line, "array<variant>"), pair)
+
+    lines = F.coalesce(_as(page, "array<variant>"), _empty("array<variant>"))
     return _kept(F.transform(lines, block))
 
 
 def parse_local(payloads: DataFrame, variant: str = "modern") -> DataFrame:
     """Local engine payloads, ``modern`` (text, score and polygon lists) or ``legacy`` (nested)."""
     document = F.try_parse_json("body")
-    listed = F.coalesce(
-        F.try_variant_get(document, "$", "array<variant>"), F.array().cast("array<variant>")
-    )
     if variant == "modern":
-        results = F.when(_is(document, "ARRAY"), listed).otherwise(F.array(document))
+        listed = F.when(F.ltrim("body").startswith("["), _as(document, "array<variant>"))
+        results = F.coalesce(listed, F.array(document))
         blocks = F.flatten(F.transform(results, _modern_result))
     else:
-        blocks = F.flatten(F.transform(listed, _legacy_page))
+        pages = F.coalesce(_as(document, "array<variant>"), _empty("array<variant>"))
+        blocks = F.flatten(F.transform(pages, _legacy_page))
     code = F.coalesce(F.col("error_code"), provider_error_code(F.col("status")))
     return (
         payloads.withColumn("error_code", code)
@@ -308,8 +377,10 @@ def provenance(provider: Column) -> Column:
 
 
 def explode_blocks(results: DataFrame) -> DataFrame:
-    """One row per block with its position in the provider's list."""
-    return results.select("image_id", F.posexplode("blocks").alias("ord", "_block")).select(
-        "image_id", "ord", "_block.*"
-    )
+    """One row per block with its position in the provider's list.
 
+    The outer form keeps Spark from deriving a filter on the array, which would parse every payload
+    once more to test it.
+    """
+    rows = results.select("image_id", F.posexplode_outer("blocks").alias("ord", "_block"))
+    return rows.where("_block IS NOT NULL").select("image_id", "ord", "_block.*")

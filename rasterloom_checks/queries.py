@@ -326,14 +326,14 @@ def extract_layout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sniff(spark: SparkSession, folder: str) -> DataFrame:
-    files = views.headers(views.table(spark, folder, "documents"))
+    files = views.headers(views.documents(spark, folder))
     return files.select(
         "path", "byte_count", media.sniff_content_type(F.col("content")).alias("content_type")
     )
 
 
 def payload_gate(spark: SparkSession, folder: str) -> DataFrame:
-    files = views.headers(views.table(spark, folder, "documents"))
+    files = views.headers(views.documents(spark, folder))
     code = media.payload_gate(F.col("content"), MAX_BYTES)
     return files.select(
         "path",
@@ -351,7 +351,7 @@ def path_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 def contained_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Containment in a table of roots: the roots are the language folders in use, without French."""
-    languages = views.table(spark, folder, "documents").where("lang <> 'fr'")
+    languages = views.documents(spark, folder).where("lang <> 'fr'")
     roots = languages.select(F.concat(F.lit("/"), "lang").alias("root")).distinct()
     paths = views.page_paths(spark, folder).where("path LIKE '/%'").select("page_id", "path")
     return assets.contained_paths(paths, roots).select("page_id")
@@ -397,7 +397,7 @@ def language_gate(spark: SparkSession, folder: str) -> DataFrame:
     asked = F.when(F.pmod("doc_id", F.lit(4)) != 0, F.col("lang"))
     language = gates.language_or_default(asked)
     local = F.pmod("doc_id", F.lit(2)) == 0
-    return views.table(spark, folder, "documents").select(
+    return views.documents(spark, folder).select(
         "doc_id",
         language.alias("language"),
         gates.language_gate(language, ("en", "fr"), local).alias("error_code"),
@@ -436,7 +436,7 @@ def error_details(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     details = errors.bounded_details(F.map_from_entries(keyed))
-    return views.table(spark, folder, "documents").select(
+    return views.documents(spark, folder).select(
         "doc_id",
         _joined(F.map_keys(details)).alias("keys"),
         _joined(F.map_values(details)).alias("details"),

@@ -12,6 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, spread over the cores where they lie in fewer splits than there are cores."""
+    rows = table(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def raster_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One row per image line: channel arrays of 64 values."""
 
@@ -161,7 +168,7 @@ def _corners(line):
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
     line = F.col("line")
     return (
-        table(spark, folder, "documents")
+        documents(spark, folder)
         .select(F.col("doc_id").alias("image_id"), F.explode(_lines()).alias("line"))
         .where(F.trim("line.text") != "")
         .select(
@@ -177,7 +184,7 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_images(spark: SparkSession, folder: str, width: int = 640, height: int = 600) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("image_id"),
         F.lit(width).alias("width"),
         F.lit(height).alias("height"),
@@ -213,7 +220,7 @@ def managed_payloads(spark: SparkSession, folder: str) -> DataFrame:
     )
     status = F.when(F.pmod(doc, F.lit(7)) == 0, 500).when(F.pmod(doc, F.lit(11)) == 0, 401).otherwise(200)
     return (
-        table(spark, folder, "documents")
+        documents(spark, folder)
         .withColumn("_lines", _lines())
         .select(
             doc.alias("image_id"),
@@ -255,7 +262,7 @@ def local_payloads(spark: SparkSession, folder: str, variant: str = "modern") ->
         body = F.concat(F.lit("[["), F.array_join(F.transform("_lines", entry), ","), F.lit("]]"))
     status = F.when(F.pmod(doc, F.lit(5)) == 0, 429).otherwise(200)
     return (
-        table(spark, folder, "documents")
+        documents(spark, folder)
         .withColumn("_lines", _lines())
         .select(
             doc.alias("image_id"),
