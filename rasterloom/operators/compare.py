@@ -15,7 +15,7 @@ from ..settings import (
     TILE,
 )
 from .components import label_components
-from .spread import ROWS_PER_SLOT, spread_join
+from .spread import ROWS_PER_SLOT, hot_keys, spread_join
 
 CHANNELS = ("r", "g", "b")
 TOTALS = (
@@ -50,9 +50,9 @@ def pair_dims(pairs: DataFrame, images: DataFrame) -> DataFrame:
         pairs.join(sized("before"), "before_id", "left")
         .join(sized("after"), "after_id", "left")
         .withColumn("dimensions_changed", (bw != aw) | (bh != ah))
-        .withColumn("comparison_width", F.least(bw, aw))
-        .withColumn("comparison_height", F.least(bh, ah))
         .withColumn("union_area", px.union_area(*dims))
+        .withColumn("comparison_width", F.when(F.col("union_area").isNotNull(), F.least(bw, aw)))
+        .withColumn("comparison_height", F.when(F.col("union_area").isNotNull(), F.least(bh, ah)))
         .withColumn("outside", px.union_area(*dims) - px.overlap_area(*dims))
     )
 
@@ -60,11 +60,16 @@ def pair_dims(pairs: DataFrame, images: DataFrame) -> DataFrame:
 def align_tiles(
     tiles: DataFrame, pairs: DataFrame, rows_per_slot: int = ROWS_PER_SLOT
 ) -> DataFrame:
-    """Both rasters of every pair on one canvas: a full outer join on the tile position."""
+    """Both rasters of every pair on one canvas: a full outer join on the tile position.
+
+    Both sides share the table of hot images, so they also share one shuffle of the tiles.
+    """
+    used = pairs.select(F.explode(F.array("before_id", "after_id")).alias("image_id"))
+    hot = hot_keys(used, ["image_id"], rows_per_slot)
 
     def side(name: str) -> DataFrame:
         wanted = pairs.select("pair_id", "threshold", F.col(f"{name}_id").alias("image_id"))
-        placed = spread_join(wanted, tiles, ["image_id"], F.col("pair_id"), rows_per_slot)
+        placed = spread_join(wanted, tiles, ["image_id"], F.col("pair_id"), hot)
         return placed.select(
             "pair_id",
             "ty",
@@ -153,7 +158,8 @@ def _with_totals(dims: DataFrame, sums: DataFrame) -> DataFrame:
             "changed_ratio", F.when(known, px.changed_ratio(changed, F.col("union_area")))
         )
         .withColumn(
-            "similarity", px.similarity(channel_sum, F.col("outside"), F.col("union_area"))
+            "similarity",
+            F.when(known, px.similarity(channel_sum, F.col("outside"), F.col("union_area"))),
         )
     )
 

@@ -11,7 +11,7 @@ from ..functions import pixels as px
 from ..functions.errors import error_struct
 from ..functions.gates import box_error
 from ..settings import MSG_DOWNSCALED, TILE
-from .spread import ROWS_PER_SLOT, spread_join
+from .spread import ROWS_PER_SLOT, hot_keys, spread_join
 
 CHANNELS = ("r", "g", "b")
 CROP_DEFAULTS = {"max_width": 1024, "max_height": 1024, "quality": 80, "output_format": "webp"}
@@ -97,9 +97,9 @@ def crop_segments(
     ).select(
         "*", F.explode(_tile_span(F.col("y"), F.col("height"))).alias("ty")
     ).select("*", F.explode(_tile_span(F.col("x"), F.col("width"))).alias("tx"))
-    hit = spread_join(
-        keyed, tiles, ["image_id", "ty", "tx"], F.col("request_id"), rows_per_slot
-    )
+    place = ["image_id", "ty", "tx"]
+    hot = hot_keys(keyed, place, rows_per_slot)
+    hit = spread_join(keyed, tiles, place, F.col("request_id"), hot)
     top, left = F.col("ty") * TILE, F.col("tx") * TILE
     first_y = F.greatest(F.col("y") - top, F.lit(0))
     last_y = F.least(F.col("y") + F.col("height") - top, F.col("th")) - 1

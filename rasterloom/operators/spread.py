@@ -10,26 +10,30 @@ from pyspark.sql import functions as F
 ROWS_PER_SLOT = 10_000
 
 
-def spread_join(
-    many: DataFrame,
-    one: DataFrame,
-    keys: Sequence[str],
-    identity: Column,
-    rows_per_slot: int = ROWS_PER_SLOT,
+def hot_keys(
+    many: DataFrame, keys: Sequence[str], rows_per_slot: int = ROWS_PER_SLOT
 ) -> DataFrame:
-    """Inner join of ``many`` with ``one`` on ``keys``.
+    """Keys with more than ``rows_per_slot`` rows and the number of slots each needs.
 
-    Keys with more than ``rows_per_slot`` rows in ``many`` are cut into slots by a hash of
-    ``identity``; only the ``one`` rows of those keys are repeated, once per slot. The table of hot
-    keys has at most rows / rows_per_slot entries and Spark picks its join by its size at run time.
+    There are at most rows / rows_per_slot of them.
     """
-    keys = list(keys)
-    hot = (
+    return (
         many.groupBy(*keys)
         .count()
         .where(F.col("count") > rows_per_slot)
         .select(*keys, F.ceil(F.col("count") / rows_per_slot).cast("int").alias("_slots"))
     )
+
+
+def spread_join(
+    many: DataFrame, one: DataFrame, keys: Sequence[str], identity: Column, hot: DataFrame
+) -> DataFrame:
+    """Inner join of ``many`` with ``one`` on ``keys``.
+
+    Rows of hot keys are cut into slots by a hash of ``identity``; only the ``one`` rows of those
+    keys are repeated, once per slot. Spark picks the join with the hot keys by their size.
+    """
+    keys = list(keys)
     slots = F.coalesce(F.col("_slots"), F.lit(1))
     left = (
         many.withColumn("_identity", F.xxhash64(identity))

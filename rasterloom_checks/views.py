@@ -73,7 +73,8 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 def pairs(
     spark: SparkSession, folder: str, threshold: float = 0.55, max_regions: int = 20
 ) -> DataFrame:
-    ids = images(spark, folder).select(F.floor(F.col("image_id") / 2).alias("pair_id")).distinct()
+    number = F.floor(F.col("vec_id") / (2 * SIDE)).alias("pair_id")
+    ids = table(spark, folder, "embeddings").select(number).distinct()
     return ids.select(
         "pair_id",
         (F.col("pair_id") * 2).alias("before_id"),
