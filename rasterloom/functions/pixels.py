@@ -8,26 +8,6 @@ from pyspark.sql import functions as F
 from .numeric import round_exact
 
 
-def max_delta(before: tuple[Column, Column, Column], after: tuple[Column, Column, Column]) -> Column:
-    return F.greatest(*[F.abs(b - a) for b, a in zip(before, after, strict=True)])
-
-
-def sum_delta(before: tuple[Column, Column, Column], after: tuple[Column, Column, Column]) -> Column:
-    red, green, blue = [F.abs(b - a) for b, a in zip(before, after, strict=True)]
-    return red + green + blue
-
-
-def pixel_changed(delta: Column, threshold: Column) -> Column:
-    """The largest channel delta must exceed the fraction of 255; a threshold of 1 never fires."""
-    return delta > threshold * F.lit(255.0)
-
-
-def luma(red: Column, green: Column, blue: Column) -> Column:
-    """ITU-R 601 grey in 16-bit fixed point, rounded."""
-    weighted = red * F.lit(19595) + green * F.lit(38470) + blue * F.lit(7471) + F.lit(32768)
-    return F.shiftright(weighted, 16)
-
-
 def oriented_position(
     orientation: Column, x: Column, y: Column, width: Column, height: Column
 ) -> tuple[Column, Column]:

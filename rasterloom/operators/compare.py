@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import pixels as px
 from ..functions.errors import capped_warnings, present
@@ -15,6 +16,7 @@ from ..settings import (
     TILE,
 )
 from .components import label_components
+from .pixelwise import measure_tiles, paint_tiles
 from .spread import ROWS_PER_SLOT, hot_keys, spread_join
 
 CHANNELS = ("r", "g", "b")
@@ -86,65 +88,33 @@ def align_tiles(
     )
 
 
-def _inside(side: str, dx: Column, dy: Column) -> Column:
-    return F.coalesce((dx < F.col(f"{side}_tw")) & (dy < F.col(f"{side}_th")), F.lit(False))
-
-
-def _sample(side: str, channel: str, dx: Column, dy: Column) -> Column:
-    at = dy * F.col(f"{side}_tw") + dx
-    return F.get(F.col(f"{side}_{channel}"), at).cast("int")
-
-
-def pair_pixels(aligned: DataFrame) -> DataFrame:
-    """One row per position that exists in at least one image of the pair, with its verdict."""
-    span_w = F.greatest("before_tw", "after_tw")
-    span_h = F.greatest("before_th", "after_th")
-    spot = F.col("_spot")
-    dx = F.pmod(spot, F.col("_span_w"))
-    dy = F.floor(spot / F.col("_span_w")).cast("int")
-    spread = (
-        aligned.withColumn("_span_w", span_w)
-        .withColumn("_spot", F.explode(F.sequence(F.lit(0), span_w * span_h - 1)))
-        .withColumn("_dx", dx)
-        .withColumn("_dy", dy)
-    )
-    dx, dy = F.col("_dx"), F.col("_dy")
-    in_before, in_after = _inside("before", dx, dy), _inside("after", dx, dy)
-    both = in_before & in_after
-    before = tuple(_sample("before", c, dx, dy) for c in CHANNELS)
-    after = tuple(_sample("after", c, dx, dy) for c in CHANNELS)
-    return spread.where(in_before | in_after).select(
-        "pair_id",
-        "ty",
-        "tx",
-        (F.col("tx") * TILE + dx).alias("x"),
-        (F.col("ty") * TILE + dy).alias("y"),
-        F.when(both, px.sum_delta(before, after)).otherwise(F.lit(0)).alias("channel_sum"),
-        F.when(both, px.pixel_changed(px.max_delta(before, after), F.col("threshold")))
-        .otherwise(F.lit(True))
-        .alias("changed"),
-    )
-
-
 def tile_stats(aligned: DataFrame) -> DataFrame:
     """Changed count, bounds of the changed pixels and channel sum per tile that differs at all.
 
-    The grouping key is the key of the alignment join, so no further shuffle is needed.
+    Tiles with equal pixels are dropped by Spark; only the others travel to the pixel arithmetic,
+    and those that lie in one image alone travel without their pixels.
     """
-    changed = F.col("changed")
-    return (
-        pair_pixels(aligned)
-        .groupBy("pair_id", "ty", "tx")
-        .agg(
-            F.count(F.when(changed, 1)).alias("n"),
-            F.min(F.when(changed, F.col("x"))).alias("min_x"),
-            F.min(F.when(changed, F.col("y"))).alias("min_y"),
-            F.max(F.when(changed, F.col("x"))).alias("max_x"),
-            F.max(F.when(changed, F.col("y"))).alias("max_y"),
-            F.sum(F.col("channel_sum").cast("long")).alias("channel_sum"),
-        )
-        .where((F.col("n") > 0) | (F.col("channel_sum") > 0))
+    both = F.col("before_tw").isNotNull() & F.col("after_tw").isNotNull()
+    same = both
+    for name in ("tw", "th", *CHANNELS):
+        same = same & (F.col(f"before_{name}") == F.col(f"after_{name}"))
+    # A missing side is not the same.
+    different = aligned.where(~F.coalesce(same, F.lit(False)))
+    slim = different.withColumns(
+        {f"{s}_{c}": F.when(both, F.col(f"{s}_{c}")) for s in ("before", "after") for c in CHANNELS}
     )
+    schema = T.StructType(
+        [
+            aligned.schema["pair_id"],
+            aligned.schema["ty"],
+            aligned.schema["tx"],
+            T.StructField("n", T.LongType()),
+            *[T.StructField(c, T.IntegerType()) for c in ("min_x", "min_y", "max_x", "max_y")],
+            T.StructField("channel_sum", T.LongType()),
+        ]
+    )
+    measured = slim.mapInArrow(measure_tiles(TILE), schema)
+    return measured.where((F.col("n") > 0) | (F.col("channel_sum") > 0))
 
 
 def _with_totals(dims: DataFrame, sums: DataFrame) -> DataFrame:
@@ -169,12 +139,9 @@ def compare_totals(
 ) -> DataFrame:
     """Similarity, changed pixels and ratio per pair; partial sums before the only shuffle by pair."""
     sums = (
-        pair_pixels(align_tiles(tiles, pairs, rows_per_slot))
+        tile_stats(align_tiles(tiles, pairs, rows_per_slot))
         .groupBy("pair_id")
-        .agg(
-            F.count(F.when(F.col("changed"), 1)).alias("n"),
-            F.sum(F.col("channel_sum").cast("long")).alias("channel_sum"),
-        )
+        .agg(F.sum("n").alias("n"), F.sum("channel_sum").alias("channel_sum"))
     )
     return _with_totals(pair_dims(pairs, images), sums).select(*TOTALS)
 
@@ -326,47 +293,22 @@ def diff_raster(
         F.least(F.lit(TILE), F.col("canvas_width") - F.col("tx") * TILE).alias("tw"),
         F.least(F.lit(TILE), F.col("canvas_height") - F.col("ty") * TILE).alias("th"),
     )
-    placed = aligned.select("*", *shape)
-
-    def painted(spot: Column) -> Column:
-        dx = F.pmod(spot, F.col("tw"))
-        dy = F.floor(spot / F.col("tw")).cast("int")
-        in_before, in_after = _inside("before", dx, dy), _inside("after", dx, dy)
-        before = tuple(_sample("before", c, dx, dy) for c in CHANNELS)
-        after = tuple(_sample("after", c, dx, dy) for c in CHANNELS)
-        hit = F.when(
-            in_before & in_after,
-            px.pixel_changed(px.max_delta(before, after), F.col("threshold")),
-        ).otherwise(in_before != in_after)
-        # -1 stands for red, so that one array carries the whole tile.
-        return (
-            F.when(hit, F.lit(-1))
-            .when(in_after, px.luma(*after))
-            .otherwise(F.lit(0))
-            .cast("short")
-        )
-
-    spots = F.sequence(F.lit(0), F.col("tw") * F.col("th") - 1)
-    mixed = placed.select(
-        "pair_id", "ty", "tx", "tw", "th", F.transform(spots, painted).alias("_grey")
-    )
-    red, rest = F.lit(255).cast("short"), F.lit(0).cast("short")
-    coloured = mixed.select(
-        "pair_id",
-        "ty",
-        "tx",
-        "tw",
-        "th",
-        F.transform("_grey", lambda v: F.when(v < 0, red).otherwise(v)).alias("r"),
-        F.transform("_grey", lambda v: F.when(v < 0, rest).otherwise(v)).alias("g"),
-        F.transform("_grey", lambda v: F.when(v < 0, rest).otherwise(v)).alias("b"),
+    channel = T.ArrayType(T.ShortType())
+    schema = T.StructType(
+        [
+            aligned.schema["pair_id"],
+            *[T.StructField(c, T.IntegerType()) for c in ("ty", "tx", "tw", "th")],
+            *[T.StructField(c, channel) for c in CHANNELS],
+        ]
     )
+    coloured = aligned.select("*", *shape).mapInArrow(paint_tiles, schema)
+    none = F.lit(0).cast("short")
     rows = F.sequence(F.lit(0), F.floor((F.col("canvas_height") - 1) / TILE).cast("int"))
     cols = F.sequence(F.lit(0), F.floor((F.col("canvas_width") - 1) / TILE).cast("int"))
     top, left = F.col("ty") * TILE, F.col("tx") * TILE
     in_before = (top < F.col("before_height")) & (left < F.col("before_width"))
     in_after = (top < F.col("after_height")) & (left < F.col("after_width"))
-    black = F.array_repeat(rest, F.col("tw") * F.col("th"))
+    black = F.array_repeat(none, F.col("tw") * F.col("th"))
     corners = (
         canvas.where("(before_width - after_width) * (before_height - after_height) < 0")
         .withColumn("ty", F.explode(rows))
