@@ -39,8 +39,8 @@ def _geometries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, tuple[int,
 
 def _changed(
     batch: pa.RecordBatch, rows: np.ndarray, shape: tuple[int, int, int, int], size: tuple[int, int]
-) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Mask of changed positions on a canvas of ``size``, channel sums, and the after-image."""
+) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of changed positions on a canvas of ``size``, and channel sums of the overlap."""
     before_h, before_w, after_h, after_w = shape
     lone = np.zeros(size, dtype=bool)
     lone[:before_h, :before_w] = True
@@ -48,14 +48,14 @@ def _changed(
     mask = np.broadcast_to(lone, (len(rows), *size)).copy()
     sums = np.zeros(len(rows), dtype=np.int64)
     height, width = min(before_h, after_h), min(before_w, after_w)
-    after = _stack(batch, "after", rows, after_h, after_w) if after_h else None
     if height and width:
+        after = _stack(batch, "after", rows, after_h, after_w)
         before = _stack(batch, "before", rows, before_h, before_w)
         delta = np.abs(before[:, :, :height, :width] - after[:, :, :height, :width])
         cutoff = _numbers(batch, "threshold")[rows] * 255.0
         mask[:, :height, :width] = delta.max(axis=1) > cutoff[:, None, None]
         sums = delta.sum(axis=(1, 2, 3), dtype=np.int64)
-    return mask, sums, after
+    return mask, sums
 
 
 def _edges(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def measure_tiles(tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             bounds = np.zeros((4, count), np.int32)
             for rows, shape in _geometries(batch):
                 size = (max(shape[0], shape[2]), max(shape[1], shape[3]))
-                mask, sums[rows], _ = _changed(batch, rows, shape, size)
+                mask, sums[rows] = _changed(batch, rows, shape, size)
                 n[rows] = mask.sum(axis=(1, 2))
                 bounds[0, rows], bounds[2, rows] = _edges(mask.any(axis=1))
                 bounds[1, rows], bounds[3, rows] = _edges(mask.any(axis=2))
@@ -112,9 +112,10 @@ def paint_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes, which = np.unique(canvas[rows], axis=0, return_inverse=True)
             for number, size in enumerate(sizes):
                 some = rows[which.ravel() == number]
-                mask, _, after = _changed(batch, some, shape, (int(size[0]), int(size[1])))
+                mask, _ = _changed(batch, some, shape, (int(size[0]), int(size[1])))
                 grey = np.zeros(mask.shape, np.int16)
-                if after is not None:
+                if shape[2]:
+                    after = _stack(batch, "after", some, shape[2], shape[3])
                     grey[:, : shape[2], : shape[3]] = luma(after)
                 order.append(some)
                 planes[0].append(np.where(mask, 255, grey).astype(np.int16).ravel())
