@@ -87,13 +87,11 @@ def pairs(
 
 def crops(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
-    count = table(spark, folder, "embeddings").agg(
-        (F.floor(F.max("vec_id") / SIDE) + 1).alias("_images")
-    )
+    last = table(spark, folder, "embeddings").agg(F.floor(F.max("vec_id") / SIDE)).scalar()
     key = F.col("p_partkey")
-    return part.crossJoin(count).select(
+    return part.select(
         key.alias("request_id"),
-        F.pmod(key, F.col("_images")).alias("image_id"),
+        F.pmod(key, last + 1).alias("image_id"),
         F.pmod(key * 7, F.lit(70)).cast("int").alias("x"),
         F.pmod(key, F.lit(60)).cast("int").alias("y"),
         (1 + F.pmod("p_size", F.lit(40))).cast("int").alias("width"),

@@ -207,3 +207,25 @@ def test_only_the_first_thousand_components_count(spark):
     assert regions.count() == 1000
     top = compare.largest_regions(regions, 3).orderBy("rank").collect()
     assert [(r.y, r.changed_pixels) for r in top] == [(0, 1), (32, 1), (64, 1)]
+
+
+def test_results_do_not_depend_on_partitions(spark, results):
+    tiles, images, manifest = results[1]
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    answers = []
+    for count in ("1", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", count)
+        rows = compare.compare_totals(tiles, images, manifest).orderBy("pair_id").collect()
+        answers.append([tuple(r) for r in rows])
+    spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert answers[0] == answers[1]
+
+
+def test_region_limits_are_applied_before_the_shuffle(spark):
+    labelled = spark.createDataFrame(
+        [],
+        "pair_id int, ty int, tx int, n long, min_x int, min_y int, max_x int, max_y int, "
+        "channel_sum long, label long",
+    )
+    plan = compare.changed_regions(labelled)._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -53,6 +53,20 @@ def test_scan_gate_and_decode(spark, folder):
         assert np.array_equal(assembled(rows, wanted.shape), wanted)
 
 
+def test_the_gate_decides_over_the_decoder(spark, folder):
+    root, _ = folder
+    gated = sources.gate_files(sources.scan_images(spark, [str(root)], 5000), 5000)
+    decoded = sources.decode_images(spark, [str(root)], gated=gated)
+    codes = {r.path: r.error_code for r in sources.image_dimensions(decoded).collect()}
+    assert codes == {
+        f"{root}/a.png": None,
+        f"{root}/sub/b.png": "invalid_input",
+        f"{root}/c.gif": "unsupported_media",
+        f"{root}/big.png": "payload_too_large",
+    }
+    assert {t.image_id for t in sources.raster_tiles(decoded).collect()} == {f"{root}/a.png"}
+
+
 def test_decoder_and_engine_hooks(spark):
     raster = solid(20, 17, (1, 2, 3))
     files = spark.createDataFrame([("x", b"ok"), ("y", b"bad")], "image_id string, content binary")

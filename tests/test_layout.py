@@ -286,3 +286,9 @@ def test_unpaired_values_do_not_shift_axes(spark):
         lay.normalized_polygon(F.array(*map(F.lit, (10.0, 10.0, 20.0))), F.lit(100), F.lit(50)).alias("p")
     ).first()
     assert row.p == [0.1, 0.2]
+
+
+def test_block_limit_is_applied_before_the_shuffle(spark):
+    ordered = layout.reading_order(blocks_frame(spark, [(1, i, *FIRST) for i in range(9)]))
+    plan = ordered._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
