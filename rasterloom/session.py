@@ -1,8 +1,7 @@
-"""Session defaults and the shared folder for checkpoints and streams."""
+"""Session defaults and the shared folder for checkpoints, tables between steps and streams."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,14 +34,15 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a local one only where none is configured."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one below the warehouse."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if configured is None:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        configured = f"{warehouse}/_{spark.sparkContext.appName}-checkpoints"
     if context.getCheckpointDir() is None:
-        if configured is None:
-            configured = tempfile.mkdtemp(prefix="rasterloom-")
         context.setCheckpointDir(configured)
-    return configured or context.getCheckpointDir()
+    return configured
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -52,3 +52,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(frame: DataFrame) -> DataFrame:
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: lineage is cut, and lost executors cost nothing."""
+    path = fresh_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

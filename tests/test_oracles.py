@@ -5,7 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
-from check_oracles import connect, differences, entry
+from check_oracles import connect, differences
+
+from rasterloom_checks.oracles import ORACLES
+from rasterloom_checks.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,9 +21,9 @@ def connection():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, connection, name):
     assert differences(spark, connection, FOLDER, name) is None
