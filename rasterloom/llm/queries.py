@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, simhash, toxicity
+from . import (
+    decontaminate,
+    exact_dedup,
+    html_template,
+    katz,
+    language,
+    line_dedup,
+    piece_sampling,
+    secret_scan,
+    simhash,
+    toxicity,
+)
 from .text import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +40,77 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, folder, "documents"), keep="largest")
 
 
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = language.train(docs.where(remainder("doc_id", 3) != 1))
+    return language.identify(docs, model).select(
+        "doc_id",
+        (remainder("doc_id", 3) == 1).alias("held_out"),
+        "lang_pred",
+        "score",
+        F.size("spans").alias("n_spans"),
+    )
+
+
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    )
+
+
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_template.extract(_table(spark, folder, "pages"))
+
+
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    def line(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    found = secret_scan.secret_scan(_table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    count = {
+        f"n_{kind}": F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long")
+        for kind in secret_scan.BASE_KINDS
+    }
+    return found.select(
+        "doc_id",
+        *[column.alias(name) for name, column in count.items()],
+        F.sha2(line(base), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
+def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    both = piece_sampling.decode(piece_sampling.encode(docs))
+    return both.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        "pieces",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
     )
 
 
+def op9_katz(spark: SparkSession, folder: str) -> DataFrame:
+    scored = katz.score(_table(spark, folder, "documents"), train=remainder("doc_id", 7) != 2)
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 7) == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -44,7 +120,13 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language": op3_language,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_html": op5_html,
+    "op6_secrets": op6_secrets,
+    "op7_pieces": op7_pieces,
     "op8_line_dedup": op8_line_dedup,
+    "op9_katz": op9_katz,
     "op10_simhash": op10_simhash,
 }
 
@@ -57,6 +139,23 @@ ORACLES: dict[str, str] = {
             doc_id = max(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY body)
     """,
+    "op4_decontaminate": r"""
+        WITH w AS (
+            SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS words,
+                false AS item FROM documents
+            UNION ALL
+            SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+'), true FROM benchmark
+        ), s AS (
+            SELECT DISTINCT id, item, unnest(list_transform(range(len(words) - 4),
+                lambda i: array_to_string(words[i + 1 : i + 5], ' '))) AS shingle FROM w
+        ), q AS (
+            SELECT id AS item_id, shingle, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE item
+        )
+        SELECT s.id AS doc_id, item_id, count(*)::INTEGER AS n_shared, any_value(n_item)::INTEGER AS n_item,
+            count(*) / any_value(n_item) AS containment
+        FROM q JOIN s USING (shingle) WHERE NOT s.item
+        GROUP BY s.id, item_id HAVING count(*) >= 0.8 * any_value(n_item)
+    """,
     "op8_line_dedup": r"""
         WITH split AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
