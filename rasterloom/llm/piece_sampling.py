@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .text import mix, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Weight of a piece: (1 + rank) ** -SHARPNESS; a greater value samples closer to the best segmentation.
-SHARPNESS = 1.0
+#: Weight of a piece: (1 + rank) ** -SHARPNESS; greater values stay closer to the best segmentation.
+SHARPNESS = 0.3
 SEED = 1
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
 #: Distinct words a worker remembers before it starts anew.

@@ -18,7 +18,7 @@ from .text import LOWER, NO_WORD, documents, flat, hash_spans, mix, pieces, word
 #: Labelled rows of each label that the model sees at most, those with the least hash of their id.
 SAMPLE = 6_000
 BITS = 20
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 1.0
+ALPHA, BETA, L1, L2 = 0.2, 1.0, 15.0, 1.0
 EPOCHS = 4
 #: Pairs of words at these distances: 1 is the bigram, others are skip-grams.
 DISTANCES = (1, 2, 3)
