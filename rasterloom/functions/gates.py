@@ -11,6 +11,7 @@ from ..settings import (
     DEFAULT_LANGUAGE,
     MAX_REGIONS,
     MSG_BOX_BEYOND,
+    MSG_BOX_EMPTY,
     MSG_BOX_OUTSIDE,
 )
 
@@ -51,8 +52,9 @@ def path_form_gate(path: Column, any_roots: bool = True) -> Column:
 
 
 def inside_roots(path: Column, roots: Sequence[str]) -> Column:
-    """True when a normalized path is one of the configured roots or lies below one."""
-    return F.arrays_overlap(path_ancestors(path), F.array(*[F.lit(r) for r in roots]))
+    """True when a normalized path is one of the configured roots or lies below one; roots may be written loosely."""
+    clean = [normalized_path(F.lit(r)) for r in roots]
+    return F.arrays_overlap(path_ancestors(path), F.array(*clean))
 
 
 def path_gate(path: Column, roots: Sequence[str], exists: Column | None = None) -> Column:
@@ -68,6 +70,12 @@ def asset_id_valid(asset_id: Column) -> Column:
     return asset_id.rlike(ASSET_ID_PATTERN) & F.length(asset_id).between(8, 128)
 
 
+def object_id_gate(asset_id: Column) -> Column:
+    """What the object store refuses: an id needs a letter or digit, dashes and underscores apart, and nothing else."""
+    good = asset_id.rlike("^[\\p{L}\\p{N}_-]+\\z") & asset_id.rlike("[\\p{L}\\p{N}]")
+    return F.when(~F.coalesce(good, F.lit(False)), "not_found")
+
+
 def stored_id_gate(asset_id: Column) -> Column:
     """What a store itself refuses to look up."""
     bad = (
@@ -94,7 +102,10 @@ def language_gate(
 def box_error(
     x: Column, y: Column, width: Column, height: Column, image_width: Column, image_height: Column
 ) -> Column:
-    return F.when((x >= image_width) | (y >= image_height), MSG_BOX_OUTSIDE).when(
+    """A box starts inside the image, has an area, and ends inside it."""
+    return F.when(
+        (x < 0) | (y < 0) | (x >= image_width) | (y >= image_height), MSG_BOX_OUTSIDE
+    ).when((width <= 0) | (height <= 0), MSG_BOX_EMPTY).when(
         (x.cast("long") + width > image_width) | (y.cast("long") + height > image_height),
         MSG_BOX_BEYOND,
     )

@@ -29,7 +29,10 @@ def order_left(polygon: Column) -> Column:
 
 
 def clamped_polygon(values: Column, width: Column, height: Column) -> Column:
-    """Flat polygon inside the image, empty for fewer than three points or an odd count."""
+    """Flat polygon inside the image, empty for fewer than three points or an odd count.
+
+    A value that could not be read leaves one null.
+    """
 
     def inside(flat: Column) -> Column:
         usable = (F.size(flat) >= 6) & (F.pmod(F.size(flat), F.lit(2)) == 0)
@@ -38,7 +41,12 @@ def clamped_polygon(values: Column, width: Column, height: Column) -> Column:
             F.slice(flat, 1, MAX_POLYGON_VALUES),
             lambda v, i: clamp(v, F.lit(0.0), limit(i).cast("double")),
         )
-        return F.when(usable, clamped).otherwise(F.array().cast("array<double>"))
+        unread = F.array(F.lit(None).cast("double"))
+        return (
+            F.when(F.exists(flat, lambda v: v.isNull()), unread)
+            .when(usable, clamped)
+            .otherwise(F.array().cast("array<double>"))
+        )
 
     return bind(values, inside)
 

@@ -43,7 +43,8 @@ def round_exact(value: Column, digits: int = 6) -> Column:
 
 
 def clamp(value: Column, low: Column, high: Column) -> Column:
-    return F.greatest(low, F.least(high, value))
+    """The value within bounds; null stays null, which ``greatest`` and ``least`` would skip."""
+    return F.when(value.isNotNull(), F.greatest(low, F.least(high, value)))
 
 
 def clamp01(value: Column) -> Column:

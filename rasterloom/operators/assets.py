@@ -158,7 +158,8 @@ def contained_paths(paths: DataFrame, roots: DataFrame) -> DataFrame:
     offered = keyed.select(
         "_clean", F.explode(gates.path_ancestors(F.col("_clean"))).alias("root")
     ).distinct()
-    inside = offered.join(roots.select("root").distinct(), "root", "left_semi")
+    clean = roots.select(gates.normalized_path(F.col("root")).alias("root")).distinct()
+    inside = offered.join(clean, "root", "left_semi")
     return keyed.join(inside.select("_clean").distinct(), "_clean", "left_semi").drop("_clean")
 
 

@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 from ..functions import pixels as px
 from ..functions.errors import capped_warnings, present
+from ..functions.gates import compare_param_errors
+from ..session import cut_lineage
 from ..settings import (
     MAX_COMPONENTS,
+    MAX_REGIONS,
     MSG_NO_DIFF,
     MSG_REGIONS_TRUNCATED,
     MSG_SIZE_DIFFERS,
@@ -59,6 +62,20 @@ def pair_dims(pairs: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
+def gated_pairs(pairs: DataFrame, images: DataFrame) -> DataFrame:
+    """Pairs with ``error_code``: broken parameters first, then the code of the first image that was refused."""
+    broken = F.size(compare_param_errors(F.col("threshold"), F.col("max_regions"))) > 0
+    code = F.when(broken, "invalid_input")
+    if "error_code" in images.columns:
+        for side in ("before", "after"):
+            refused = images.where("error_code IS NOT NULL").select(
+                F.col("image_id").alias(f"{side}_id"), F.col("error_code").alias(f"_{side}_code")
+            )
+            pairs = pairs.join(refused, f"{side}_id", "left")
+        code = code.otherwise(F.coalesce("_before_code", "_after_code"))
+    return pairs.withColumn("error_code", code).drop("_before_code", "_after_code")
+
+
 def align_tiles(
     tiles: DataFrame, pairs: DataFrame, rows_per_slot: int = ROWS_PER_SLOT
 ) -> DataFrame:
@@ -164,19 +181,14 @@ def _discovery() -> Column:
     )
 
 
-def _by_size() -> Column:
-    kept = F.when(F.col("discovery") <= MAX_COMPONENTS, F.col("n"))
-    return F.row_number().over(
-        Window.partitionBy("pair_id").orderBy(
-            F.when(F.col("label").isNotNull(), kept).desc_nulls_last(), "y", "x", "label"
-        )
-    )
-
-
 def changed_regions(labelled: DataFrame) -> DataFrame:
     """Regions of every pair: the first 1000 components in row-major order."""
+    return first_regions(component_stats(labelled))
+
+
+def first_regions(components: DataFrame) -> DataFrame:
     return (
-        component_stats(labelled.where("label IS NOT NULL"))
+        components.where("label IS NOT NULL")
         .withColumn("discovery", _discovery())
         .where(F.col("discovery") <= MAX_COMPONENTS)
         .select(
@@ -198,46 +210,42 @@ def largest_regions(regions: DataFrame, max_regions: int) -> DataFrame:
 
 
 def compare_images(
-    tiles: DataFrame,
-    images: DataFrame,
-    pairs: DataFrame,
-    max_side: int | None = None,
-    rows_per_slot: int = ROWS_PER_SLOT,
+    tiles: DataFrame, images: DataFrame, pairs: DataFrame, rows_per_slot: int = ROWS_PER_SLOT
 ) -> DataFrame:
     """One row per pair: totals, ordered regions, truncation flag and warnings.
 
-    Pixels are read once: tile statistics feed both the totals and the regions. ``max_side`` is an
-    upper bound of every image side where the caller knows one.
+    Pixels are read once: tile statistics feed both the totals and the regions. Both ranks are filters, so
+    Spark cuts every group before its shuffle. A pair whose parameters break a rule, or whose image was refused
+    (``images.error_code``, where that column exists), answers with that code and nothing else.
     """
-    stats = tile_stats(align_tiles(tiles, pairs, rows_per_slot))
-    components = component_stats(label_components(stats, images, max_side))
-    limit = pairs.select("pair_id", F.col("max_regions").alias("_limit"))
-    region = F.col("label").isNotNull() & (F.col("discovery") <= MAX_COMPONENTS)
-    ranked = (
-        components.withColumn("discovery", _discovery())
-        .withColumn("_rank", _by_size())
+    pairs = gated_pairs(pairs, images)
+    usable = pairs.where("error_code IS NULL").drop("error_code")
+    stats = tile_stats(align_tiles(tiles, usable, rows_per_slot))
+    components = cut_lineage(component_stats(label_components(stats)))
+    limit = usable.select("pair_id", F.col("max_regions").alias("_limit"))
+    listed = (
+        largest_regions(first_regions(components), MAX_REGIONS)
         .join(limit, "pair_id")
+        .where("rank <= _limit")
+        .groupBy("pair_id")
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct("rank", "x", "y", "width", "height", "changed_pixels"))
+            ).alias("_listed")
+        )
     )
-    listed = F.when(
-        region & (F.col("_rank") <= F.col("_limit")),
-        F.struct(
-            F.col("_rank").alias("rank"),
-            "x",
-            "y",
-            "width",
-            "height",
-            F.col("n").alias("changed_pixels"),
-        ),
-    )
-    sums = ranked.groupBy("pair_id").agg(
-        F.sum("n").alias("n"),
-        F.sum("channel_sum").alias("channel_sum"),
-        F.count(F.when(region, 1)).alias("_regions"),
-        F.array_sort(F.collect_list(listed)).alias("_listed"),
+    sums = (
+        components.groupBy("pair_id")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum("channel_sum").alias("channel_sum"),
+            F.least(F.count("label"), F.lit(MAX_COMPONENTS)).alias("_regions"),
+        )
+        .join(listed, "pair_id", "left")
     )
     totals = _with_totals(pair_dims(pairs, images), sums)
     found = F.coalesce(F.col("_regions"), F.lit(0).cast("long"))
-    missing = F.col("union_area").isNull()
+    missing = F.col("error_code").isNotNull() | F.col("union_area").isNull()
     truncated = found > F.col("max_regions")
     unchanged = F.col("changed_pixels") == 0
     warnings = present(
@@ -256,12 +264,13 @@ def compare_images(
         ),
     )
     return totals.select(
-        *TOTALS,
+        "pair_id",
+        *[F.when(~missing, F.col(c)).alias(c) for c in TOTALS if c != "pair_id"],
         F.when(~missing, regions).alias("regions"),
-        (F.col("include_diff") & ~unchanged).alias("has_diff"),
+        F.when(~missing, F.col("include_diff") & ~unchanged).alias("has_diff"),
         F.when(~missing, truncated).alias("truncated"),
         F.when(~missing, capped_warnings(warnings)).alias("warnings"),
-        F.when(missing, "not_found").alias("error_code"),
+        F.when(missing, F.coalesce("error_code", F.lit("not_found"))).alias("error_code"),
     )
 
 

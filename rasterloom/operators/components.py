@@ -1,8 +1,7 @@
 """4-connected components of changed tiles.
 
-Components are first found inside blocks of 64 x 64 tiles, one bounded row per block. Only where an
-image is larger than a block do touching border tiles become edges of a small graph, whose
-components are found by alternating star contractions (Kiveris et al., 2014) over DataFrames.
+Components are first found inside blocks of 64 x 64 tiles, one bounded row per block. Touching border
+tiles of different blocks become edges of a small graph, whose components are found by alternating star contractions (Kiveris et al., 2014) over DataFrames.
 
 A label is ``ty * 2^20 + tx`` of the first tile in row-major order, so labels are also the discovery
 order.
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from ..settings import TILE
 
 BLOCK = 64
 ROW_STRIDE = 2**20
@@ -164,6 +162,8 @@ def contract(edges: DataFrame) -> DataFrame:
 
     current = cut_lineage(edges)
     mark = fingerprint(current)
+    if not mark[0]:
+        return current
     while True:
         current = cut_lineage(_small_star(_large_star(current).distinct()).distinct())
         seen, mark = mark, fingerprint(current)
@@ -171,16 +171,12 @@ def contract(edges: DataFrame) -> DataFrame:
             return current
 
 
-def label_components(
-    stats: DataFrame, images: DataFrame, max_side: int | None = None
-) -> DataFrame:
-    """Tile statistics with the component label of every changed tile, null for the others."""
-    labelled = label_blocks(stats)
-    if max_side is None:
-        max_side = images.agg(F.max(F.greatest("width", "height"))).first()[0] or 0
-    if max_side <= BLOCK * TILE:
-        return labelled
-    labelled = cut_lineage(labelled)
+def label_components(stats: DataFrame) -> DataFrame:
+    """Tile statistics with the component label of every changed tile, null for the others.
+
+    Whether blocks touch is read off the tiles themselves; without a touching pair no round runs.
+    """
+    labelled = cut_lineage(label_blocks(stats))
     roots = contract(tile_adjacency(labelled)).select(
         "pair_id", F.col("u").alias("label"), F.col("v").alias("_root")
     )

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
-from ..functions.errors import error_struct
-from ..functions.gates import box_error
+from ..functions.errors import error_struct, first_errors
+from ..functions.gates import box_error, crop_param_errors
 from ..settings import MSG_DOWNSCALED, TILE
 from .spread import ROWS_PER_SLOT, hot_keys, spread_join
 
@@ -22,12 +22,26 @@ def field(name: str) -> Callable[[Column], Column]:
 
 
 def box_gate(crops: DataFrame, images: DataFrame) -> DataFrame:
-    """Requests with image dimensions and an ``error`` struct; boxes are never clamped."""
+    """Requests with image dimensions and an ``error`` struct; boxes are never clamped.
+
+    Parameters out of range come first, then the code of an image that was refused (``images.error_code``), then
+    the box. ``images.byte_count`` and ``images.error_code`` may be absent.
+    """
+
+    def known(column: str, kind: str) -> Column:
+        return F.col(column) if column in images.columns else F.lit(None).cast(kind)
+
     dims = images.select(
         "image_id",
         F.col("width").alias("image_width"),
         F.col("height").alias("image_height"),
-        F.col("byte_count").alias("original_byte_count"),
+        known("byte_count", "long").alias("original_byte_count"),
+        known("error_code", "string").alias("_image_code"),
+    )
+    limits = [c for c in ("max_width", "max_height", "quality") if c in crops.columns]
+    broken = crop_param_errors(
+        *[F.col(c) for c in ("x", "y", "width", "height")],
+        *[F.col(c) if c in limits else F.lit(None).cast("int") for c in ("max_width", "max_height", "quality")],
     )
     message = box_error(
         *[F.col(c) for c in ("x", "y", "width", "height", "image_width", "image_height")]
@@ -42,16 +56,26 @@ def box_gate(crops: DataFrame, images: DataFrame) -> DataFrame:
             F.col("image_height").cast("string"),
         ),
     )
-    code = F.when(absent, "not_found").when(message.isNotNull(), "invalid_input")
+    refused = F.col("_image_code")
+    code = (
+        F.when(F.size("_broken") > 0, "invalid_input")
+        .when(refused.isNotNull(), refused)
+        .when(absent, "not_found")
+        .when(message.isNotNull(), "invalid_input")
+    )
     beyond = (F.col("x") < F.col("image_width")) & (F.col("y") < F.col("image_height"))
-    return crops.join(dims, "image_id", "left").withColumn(
+    gated = crops.withColumn("_broken", broken).join(dims, "image_id", "left")
+    return gated.withColumn(
         "error",
         error_struct(
             code,
-            F.when(absent, "Image was not found").otherwise(message),
-            F.when(beyond, details),
+            F.when(F.size("_broken") > 0, first_errors(F.col("_broken")))
+            .when(refused.isNotNull(), "Image was refused")
+            .when(absent, "Image was not found")
+            .otherwise(message),
+            F.when(beyond & (F.size("_broken") == 0), details),
         ),
-    )
+    ).drop("_broken", "_image_code")
 
 
 def fit_sizes(gated: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ def extract_layout(
 ) -> DataFrame:
     """``results(image_id, blocks, markdown, warnings, provider, fallback_used, error_code)`` of the
     payload parsers or the fallback rule, as one response row per image."""
-    dims = images.select("image_id", "width", "height")
+    refused = F.col("error_code") if "error_code" in images.columns else F.lit(None).cast("string")
+    dims = images.select("image_id", "width", "height", refused.alias("_image_code"))
     width, height = F.col("width"), F.col("height")
     many = F.size("blocks") > max_blocks
     shaped = lay.text_blocks(
@@ -41,7 +42,8 @@ def extract_layout(
     )
     # A confidence outside 0..1 does not fit the response and fails the whole answer.
     invalid = F.exists("_shaped", lambda b: (b["confidence"] < 0) | (b["confidence"] > 1))
-    code = F.when(width.isNull(), "not_found").when(
+    refused = F.col("_image_code")
+    code = F.when(refused.isNotNull(), refused).when(width.isNull(), "not_found").when(
         F.col("error_code").isNull() & F.coalesce(invalid, F.lit(False)), "internal"
     )
     answered = F.coalesce(code, F.col("error_code")).isNull()

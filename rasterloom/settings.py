@@ -70,6 +70,7 @@ MSG_BLOCKS_TRUNCATED = "block list truncated to %d entries"
 MSG_CONTENT_TRUNCATED = "formatted content truncated"
 MSG_DOWNSCALED = "crop was downscaled to fit the requested maximum dimensions"
 MSG_BOX_OUTSIDE = "Bounding box starts outside the image"
+MSG_BOX_EMPTY = "Bounding box has no area"
 MSG_BOX_BEYOND = "Bounding box extends beyond the image; boxes are never clamped"
 MSG_NO_CONTENT = "provider returned no content"
 MSG_NO_BLOCKS = "provider returned no positional blocks"

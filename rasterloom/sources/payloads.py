@@ -72,14 +72,18 @@ def _number(value: Column) -> Column:
     return bind(_kind(value), converted)
 
 
+def _written_number(value: Column) -> Column:
+    return _text(value).try_cast("double")
+
+
 def _entry_values(entry: Column) -> Column:
-    """What a polygon entry adds: a number, or the first two numbers of a pair."""
+    """What a polygon entry adds: a number, or the first two numbers of a pair, null for what is none."""
     pair = _as(entry, "array<variant>")
     return (
         F.when(_number(entry).isNotNull(), F.array(_number(entry)))
         .when(
             _kind(entry).startswith("ARRAY") & (F.size(pair) >= 2),
-            F.transform(F.slice(pair, 1, 2), lambda v: _number(v)),
+            F.transform(F.slice(pair, 1, 2), lambda v: F.coalesce(_number(v), _written_number(v))),
         )
         .otherwise(_empty(_NUMBERS))
     )
@@ -190,6 +194,8 @@ def parse_managed(payloads: DataFrame, width: str = "width", height: str = "heig
     own = _at(document, "result")
     result = F.when(own.isNull(), document).otherwise(own)
     contents = F.col("_contents")
+    # A pair that holds no number fails the whole answer.
+    unreadable = F.exists("blocks", lambda b: F.exists(b["polygon"], lambda v: v.isNull()))
     malformed = contents.isNull() & ~_kind(result).startswith("OBJECT")
     # A synchronous 200 answer carries no operation status.
     pending = (saved != 200) | _at(document, "status").isNotNull()
@@ -221,6 +227,9 @@ def parse_managed(payloads: DataFrame, width: str = "width", height: str = "heig
         .withColumn("warnings", F.when(F.col("_sound"), capped_warnings(notes)))
         .withColumn("blocks", F.flatten(F.transform("_pages", lambda p: p["blocks"])))
         .withColumn("blocks", _known_blocks(F.col("_sound")))
+        .withColumn("_bad", F.coalesce(unreadable, F.lit(False)))
+        .withColumn("blocks", F.when(~F.col("_bad"), F.col("blocks")))
+        .withColumn("warnings", F.when(~F.col("_bad"), F.col("warnings")))
         .withColumn("markdown", F.nullif(markdown, F.lit("")))
         .withColumn(
             "error_code",
@@ -230,9 +239,10 @@ def parse_managed(payloads: DataFrame, width: str = "width", height: str = "heig
                     (F.col("state") == "provider_error") | (done & ~F.col("_sound")),
                     "provider_error",
                 ),
+                F.when(F.col("_bad"), "internal"),
             ),
         )
-        .drop("_document", "_code", "_contents", "_sound", "_pages")
+        .drop("_document", "_code", "_contents", "_sound", "_pages", "_bad")
     )
 
 

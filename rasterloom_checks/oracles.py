@@ -407,14 +407,14 @@ ORACLES: dict[str, str] = {
 listed AS (
   SELECT pair_id, count(*) AS found,
          string_agg(concat_ws(',', x, y, width, height, changed_pixels), '|' ORDER BY rank)
-           FILTER (rank <= 1) AS regions
+           FILTER (rank <= 20) AS regions
   FROM ranked GROUP BY pair_id
 )
 SELECT t.*, coalesce(regions, '') AS regions, changed_pixels > 0 AS has_diff,
-       coalesce(found, 0) > 1 AS truncated,
+       coalesce(found, 0) > 20 AS truncated,
        concat_ws('|',
          CASE WHEN dimensions_changed THEN 'images differ in size; non-overlapping pixels count as changed' END,
-         CASE WHEN coalesce(found, 0) > 1 THEN 'changed region list truncated to 1 entries' END,
+         CASE WHEN coalesce(found, 0) > 20 THEN 'changed region list truncated to 20 entries' END,
          CASE WHEN changed_pixels = 0 THEN 'diff image was not produced because no pixels changed' END
        ) AS warnings,
        CAST(NULL AS VARCHAR) AS error_code
@@ -539,7 +539,7 @@ sh AS (
          confidence, {_r6("lft / 640")} AS box_x, {_r6("top / 600")} AS box_y,
          {_r6("(lft + width) / 640 - lft / 640")} AS box_width,
          {_r6("(top + 10) / 600 - top / 600")} AS box_height
-  FROM od WHERE position < 40
+  FROM od WHERE position < 500
 ),
 js AS (
   SELECT image_id, string_agg({CSV_LINE}, chr(10) ORDER BY position) || chr(10) AS lines,
@@ -555,9 +555,9 @@ al AS (
 SELECT image_id, CASE WHEN error_code IS NULL THEN substr(content, 1, 200000) END AS content,
        CASE WHEN error_code IS NULL THEN kept END AS block_count, 640 AS width, 600 AS height,
        CASE WHEN fallback_used THEN 'local_paddleocr' ELSE 'azure_content_understanding' END AS provider_name,
-       fallback_used, CASE WHEN error_code IS NULL THEN n > 40 OR length(content) > 200000 END AS truncated,
+       fallback_used, CASE WHEN error_code IS NULL THEN n > 500 OR length(content) > 200000 END AS truncated,
        CASE WHEN error_code IS NULL THEN concat_ws('|', CASE WHEN fallback_used THEN '{FELL_BACK}' END,
-         CASE WHEN n > 40 THEN 'block list truncated to 40 entries' END,
+         CASE WHEN n > 500 THEN 'block list truncated to 500 entries' END,
          CASE WHEN length(content) > 200000 THEN 'formatted content truncated' END) END AS warnings,
        error_code
 FROM al""",

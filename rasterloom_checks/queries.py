@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from rasterloom.functions import errors, gates, media
 from rasterloom.functions import pixels as px
 from rasterloom.operators import admission, assets, compare, layout, regions, requests, resample
-from rasterloom.operators.components import BLOCK, label_components
+from rasterloom.operators.components import label_components, tile_adjacency
 from rasterloom.plans.extract import extract_layout as extract
 from rasterloom.plans.optimize import optimize_regions
 from rasterloom.session import apply_defaults, fresh_path
-from rasterloom.settings import TILE
+from rasterloom.settings import MAX_DETAIL_ENTRIES, TILE
 from rasterloom.sources import payloads
 from rasterloom.streaming import jobs
 
@@ -27,8 +27,6 @@ QUOTA_COUNT = 3
 MAX_UPLOAD = 60_000
 MAX_BYTES = 4_000
 ROOTS = ("/en", "/es")
-# The views build images of 64 x 64 at most.
-KNOWN_SIDE = BLOCK * TILE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,7 +65,7 @@ def compare_tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
-    return label_components(_stats(spark, folder), views.images(spark, folder), KNOWN_SIDE)
+    return label_components(_stats(spark, folder))
 
 
 def compare_regions(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,13 +81,12 @@ def _compared(spark: SparkSession, folder: str, max_regions: int) -> DataFrame:
         views.tiles(spark, folder),
         views.images(spark, folder),
         views.pairs(spark, folder, max_regions=max_regions),
-        KNOWN_SIDE,
     )
 
 
 def compare_images(spark: SparkSession, folder: str) -> DataFrame:
     box = lambda r: F.concat_ws(",", *[r[c] for c in ("x", "y", "width", "height", "changed_pixels")])
-    return _compared(spark, folder, 1).select(
+    return _compared(spark, folder, 20).select(
         *compare.TOTALS,
         _joined(F.transform("regions", box)).alias("regions"),
         "has_diff",
@@ -307,7 +304,7 @@ def provider_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extract_layout(spark: SparkSession, folder: str) -> DataFrame:
-    result = extract(_routed(spark, folder), views.page_images(spark, folder), "csv", max_blocks=40)
+    result = extract(_routed(spark, folder), views.page_images(spark, folder), "csv")
     return result.select(
         "image_id",
         "content",
@@ -429,7 +426,7 @@ def error_details(spark: SparkSession, folder: str) -> DataFrame:
     """Details of a refused document: its words by position, cut as an error response cuts them."""
     words = F.filter(F.split("text", " "), lambda w: w != "")
     keyed = F.transform(
-        words,
+        F.slice(words, 1, MAX_DETAIL_ENTRIES),  # the keys are ordered: later ones would be cut
         lambda w, i: F.struct(
             F.concat(F.lit("word "), F.lpad(i.cast("string"), 6, "0")).alias("key"),
             F.repeat(w, 40).alias("value"),

@@ -13,10 +13,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents, spread over the cores where they lie in fewer splits than there are cores."""
-    rows = table(spark, folder, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return table(spark, folder, "documents")
 
 
 def raster_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -175,8 +175,7 @@ def test_components_across_blocks_match_brute_force(spark):
         "pair_id int, ty int, tx int, n long, min_x int, min_y int, max_x int, max_y int, "
         "channel_sum long",
     )
-    images = spark.createDataFrame([(3200, 2400)], "width int, height int")
-    labelled = label_components(stats, images)
+    labelled = label_components(stats)
     got = {
         (r.pair_id, r.label): r.n
         for r in labelled.groupBy("pair_id", "label").agg(F.sum("n").alias("n")).collect()
