@@ -106,6 +106,35 @@ ranked AS (
   FROM reg
 )"""
 
+# Cells of 64 x 64 tiles are labelled by themselves; ``reach`` may cross them or not.
+WIDE = """
+rn AS (
+  SELECT l_orderkey // 100 AS ty, l_orderkey % 100 AS tx, l_linenumber % 16 AS row,
+         1 + CAST(max(l_quantity) AS INTEGER) % 16 AS run
+  FROM lineitem WHERE (l_orderkey * 7 + l_orderkey // 13 * 5) % 9 < 4 GROUP BY 1, 2, 3
+),
+ct AS (
+  SELECT CAST(0 AS BIGINT) AS pair_id, CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx, sum(run) AS n,
+         CAST(tx * 16 AS INTEGER) AS min_x, CAST(ty * 16 + min(row) AS INTEGER) AS min_y,
+         CAST(tx * 16 + max(run) - 1 AS INTEGER) AS max_x, CAST(ty * 16 + max(row) AS INTEGER) AS max_y
+  FROM rn GROUP BY ty, tx
+)"""
+
+
+def _reach(inside: str = "") -> str:
+    return f"""
+reach AS (
+  SELECT pair_id, ty, tx, ty AS sy, tx AS sx FROM ct
+  UNION
+  SELECT r.pair_id, t.ty, t.tx, r.sy, r.sx FROM reach r JOIN ct t
+    ON t.pair_id = r.pair_id AND (t.ty = r.ty AND t.tx IN (r.tx - 1, r.tx + 1)
+      OR t.tx = r.tx AND t.ty IN (r.ty - 1, r.ty + 1)) {inside}
+)"""
+
+
+LISTED = REGIONS[REGIONS.index("lab AS (") :]
+WIDE_REGIONS = f"{WIDE}, {_reach()}, {LISTED}"
+
 CROPS = f"""{PIXELS},
 cr AS (
   SELECT p_partkey AS request_id, p_partkey % (SELECT max(vec_id) // 64 + 1 FROM embeddings) AS image_id,
@@ -419,6 +448,31 @@ SELECT t.*, coalesce(regions, '') AS regions, changed_pixels > 0 AS has_diff,
        ) AS warnings,
        CAST(NULL AS VARCHAR) AS error_code
 FROM totals t LEFT JOIN listed USING (pair_id)""",
+    "compare_regions_wide": f"WITH RECURSIVE {WIDE_REGIONS} SELECT * FROM reg",
+    "compare_images_wide": f"""WITH RECURSIVE {WIDE_REGIONS},
+size AS (SELECT (max(l_orderkey) // 100 + 1) * 16 AS h FROM lineitem),
+total AS (SELECT sum(n) AS n, sum(n) * 255 AS channel_sum FROM ct),
+listed AS (
+  SELECT count(*) AS found,
+         string_agg(concat_ws(',', x, y, width, height, changed_pixels), '|' ORDER BY rank)
+           FILTER (rank <= 20) AS regions
+  FROM ranked
+)
+SELECT CAST(0 AS BIGINT) AS pair_id, 1600 AS before_width, CAST(h AS INTEGER) AS before_height, 1600 AS after_width,
+       CAST(h AS INTEGER) AS after_height, false AS dimensions_changed, 1600 AS comparison_width,
+       CAST(h AS INTEGER) AS comparison_height, CAST(n AS BIGINT) AS changed_pixels,
+       {_r6("n / (1600 * h)")} AS changed_ratio,
+       {_r6("greatest(0.0, 1.0 - (channel_sum / 3.0) / (1600 * h * 255.0))")} AS similarity,
+       regions, false AS has_diff, found > 20 AS truncated,
+       CASE WHEN found > 20 THEN 'changed region list truncated to 20 entries' ELSE '' END AS warnings,
+       CAST(NULL AS VARCHAR) AS error_code
+FROM size, total, listed""",
+    "tile_adjacency": f"""WITH RECURSIVE {WIDE},
+{_reach("AND t.ty // 64 = r.ty // 64 AND t.tx // 64 = r.tx // 64")},
+lab AS (SELECT pair_id, ty, tx, min(sy * 1048576 + sx) AS label FROM reach GROUP BY 1, 2, 3)
+SELECT DISTINCT a.pair_id, CAST(greatest(a.label, b.label) AS BIGINT) AS upper, CAST(least(a.label, b.label) AS BIGINT) AS lower
+FROM lab a JOIN lab b ON b.ty = a.ty + 1 AND b.tx = a.tx AND b.ty % 64 = 0
+                      OR b.tx = a.tx + 1 AND b.ty = a.ty AND b.tx % 64 = 0""",
     "diff_raster": f"""WITH {_compared()}
 SELECT pair_id, x, y,
        CASE WHEN changed THEN 255 ELSE (ar * 19595 + ag * 38470 + ab * 7471 + 32768) >> 16 END AS r,
@@ -438,6 +492,17 @@ FROM o""",
 SELECT request_id, CASE WHEN message IS NOT NULL THEN 'invalid_input' END AS error_code, message,
        CASE WHEN message LIKE '%beyond%' THEN CAST(ih AS VARCHAR) END AS image_height
 FROM bx""",
+    "gated_requests": f"""WITH {CROPS},
+rq AS (
+  SELECT request_id, request_id % 5 AS shift, image_id, iw, ih, width, height,
+         CASE WHEN request_id % 5 = 1 THEN -x - 1 ELSE x END AS x, y
+  FROM bx
+)
+SELECT request_id,
+       CASE WHEN shift IN (1, 2, 3) THEN 'invalid_input' WHEN shift = 4 THEN 'not_found'
+            WHEN image_id % 3 = 1 THEN 'payload_too_large'
+            WHEN x >= iw OR y >= ih OR x + width > iw OR y + height > ih THEN 'invalid_input' END AS error_code
+FROM rq""",
     "fit_scale": f"""WITH {CROPS}
 SELECT {FIT_COLUMNS}, scale < 1 AS downscaled, CASE WHEN scale < 1 THEN '{DOWNSCALED}' ELSE '' END AS warnings
 FROM ft""",

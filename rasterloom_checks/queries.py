@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import errors, gates, media
 from rasterloom.functions import pixels as px
 from rasterloom.operators import admission, assets, compare, layout, regions, requests, resample
-from rasterloom.operators.components import label_components, tile_adjacency
+from rasterloom.operators.components import label_blocks, label_components, tile_adjacency
 from rasterloom.plans.extract import extract_layout as extract
 from rasterloom.plans.optimize import optimize_regions
 from rasterloom.session import apply_defaults, fresh_path
@@ -84,9 +84,9 @@ def _compared(spark: SparkSession, folder: str, max_regions: int) -> DataFrame:
     )
 
 
-def compare_images(spark: SparkSession, folder: str) -> DataFrame:
+def _answer(found: DataFrame) -> DataFrame:
     box = lambda r: F.concat_ws(",", *[r[c] for c in ("x", "y", "width", "height", "changed_pixels")])
-    return _compared(spark, folder, 20).select(
+    return found.select(
         *compare.TOTALS,
         _joined(F.transform("regions", box)).alias("regions"),
         "has_diff",
@@ -96,6 +96,49 @@ def compare_images(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def compare_images(spark: SparkSession, folder: str) -> DataFrame:
+    return _answer(_compared(spark, folder, 20))
+
+
+def _wide(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = compare.align_tiles(views.wide_tiles(spark, folder), views.wide_pairs(spark))
+    return compare.tile_stats(aligned)
+
+
+def compare_regions_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Regions of a large pair: they cross the borders of blocks."""
+    return compare.changed_regions(label_components(_wide(spark, folder)))
+
+
+def adjacent_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Changed tiles that touch across the border of a block, as edges between components of blocks."""
+    edges = tile_adjacency(label_blocks(_wide(spark, folder)))
+    return edges.select("pair_id", F.col("u").alias("upper"), F.col("v").alias("lower"))
+
+
+def compare_images_wide(spark: SparkSession, folder: str) -> DataFrame:
+    found = compare.compare_images(
+        views.wide_tiles(spark, folder), views.wide_images(spark, folder), views.wide_pairs(spark)
+    )
+    return _answer(found)
+
+
+def gated_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Crop requests with every kind of bad box, and images that were refused before."""
+    images = views.images(spark, folder).withColumn(
+        "error_code", F.when(F.pmod("image_id", F.lit(3)) == 1, "payload_too_large")
+    )
+    shift = F.pmod("request_id", F.lit(5)).cast("int")
+    crops = (
+        views.crops(spark, folder)
+        .withColumn("x", F.when(shift == 1, -F.col("x") - 1).otherwise(F.col("x")))
+        .withColumn("width", F.when(shift == 2, 0).otherwise(F.col("width")))
+        .withColumn("quality", F.when(shift == 3, 101).otherwise(F.col("quality")))
+        .withColumn("image_id", F.when(shift == 4, F.lit(-1)).otherwise(F.col("image_id")))
+    )
+    return optimize_regions(crops, images).select("request_id", F.col("error.code").alias("error_code"))
+
+
 def diff_raster(spark: SparkSession, folder: str) -> DataFrame:
     tiles = compare.diff_raster(
         views.tiles(spark, folder), views.images(spark, folder), views.pairs(spark, folder)
@@ -583,9 +626,13 @@ _ALL: dict[str, Query] = {
     "compare_regions": compare_regions,
     "compare_topk": compare_topk,
     "compare_images": compare_images,
+    "compare_regions_wide": compare_regions_wide,
+    "compare_images_wide": compare_images_wide,
+    "tile_adjacency": adjacent_tiles,
     "diff_raster": diff_raster,
     "orient_pixels": orient_pixels,
     "box_gate": box_gate,
+    "gated_requests": gated_requests,
     "fit_scale": fit_scale,
     "crop_pixels": crop_pixels,
     "resample": resample_crops,

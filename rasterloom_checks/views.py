@@ -344,3 +344,69 @@ def references(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(obj(kind("local_path"), page.alias("path")))
     )
     return table(spark, folder, "pages").select("page_id", reference.alias("reference"))
+
+
+# -- large rasters: one pair, a tile per order, more than one block of tiles on a side ------------
+
+WIDE_TILES = 100
+
+
+def wide_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of changed pixels: an order is a tile, a line of it a pixel row, its quantity the run's length.
+
+    Tiles of four ninths of the orders change, so components are many and of all sizes.
+    """
+    spot = F.col("l_orderkey").cast("long")
+    return (
+        table(spark, folder, "lineitem")
+        .where(F.pmod(F.col("l_orderkey") * 7 + F.floor(F.col("l_orderkey") / 13) * 5, F.lit(9)) < 4)
+        .groupBy(
+            F.floor(spot / WIDE_TILES).cast("int").alias("ty"),
+            F.pmod(spot, F.lit(WIDE_TILES)).cast("int").alias("tx"),
+            F.pmod(F.col("l_linenumber"), F.lit(16)).cast("int").alias("row"),
+        )
+        .agg((1 + F.pmod(F.max("l_quantity").cast("int"), F.lit(16))).alias("run"))
+    )
+
+
+def wide_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Image 0 is black; image 1 is red along the runs."""
+    grouped = wide_runs(spark, folder).groupBy("ty", "tx").agg(
+        F.map_from_entries(F.collect_list(F.struct("row", "run"))).alias("runs")
+    )
+    places = F.sequence(F.lit(0), F.lit(255))
+    black = F.array_repeat(F.lit(0).cast("short"), 256)
+    red = F.transform(
+        places,
+        lambda i: F.when(
+            F.pmod(i, F.lit(16)) < F.coalesce(F.try_element_at("runs", F.floor(i / 16).cast("int")), F.lit(0)), 255
+        )
+        .otherwise(0)
+        .cast("short"),
+    )
+    shape = ["ty", "tx", F.lit(16).alias("tw"), F.lit(16).alias("th")]
+    one = grouped.select(F.lit(0).cast("long").alias("image_id"), *shape, *[black.alias(c) for c in ("r", "g", "b")])
+    two = grouped.select(
+        F.lit(1).cast("long").alias("image_id"), *shape, red.alias("r"), black.alias("g"), black.alias("b")
+    )
+    return one.unionByName(two)
+
+
+def wide_images(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem").agg(F.floor(F.max("l_orderkey") / WIDE_TILES).alias("last"))
+    return rows.select(
+        F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("image_id"),
+        F.lit(WIDE_TILES * 16).alias("width"),
+        ((F.col("last") + 1) * 16).cast("int").alias("height"),
+    )
+
+
+def wide_pairs(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(
+        F.col("id").alias("pair_id"),
+        F.lit(0).cast("long").alias("before_id"),
+        F.lit(1).cast("long").alias("after_id"),
+        F.lit(0.5).alias("threshold"),
+        F.lit(20).alias("max_regions"),
+        F.lit(False).alias("include_diff"),
+    )

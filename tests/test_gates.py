@@ -153,3 +153,24 @@ def test_error_table_and_details(spark):
     details = spark.range(1).select(errors.bounded_details(given).alias("d")).first().d
     assert details[long_key] == "2" * 200
     assert sorted(details) == sorted([long_key, *[f"d{i}" for i in range(7)]])
+
+
+def test_roots_may_be_written_loosely(spark):
+    gate = lambda p: gates.path_gate(p, ["/data/", "/srv/./x/../y"])
+    assert one(spark, "/data/x.png", gate) is None
+    assert one(spark, "/srv/y/z.png", gate) is None
+    assert one(spark, "/database/x.png", gate) == "forbidden"
+
+
+@pytest.mark.parametrize(
+    ("box", "wrong"),
+    [((0, 0, 10, 10), False), ((-1, 0, 5, 5), True), ((0, 0, 0, 5), True), ((3, 3, 5, -1), True), ((6, 6, 5, 5), True)],
+)
+def test_boxes(spark, box, wrong):
+    sides = [F.lit(v) for v in (*box, 10, 10)]
+    assert (spark.range(1).select(gates.box_error(*sides)).first()[0] is not None) == wrong
+
+
+def test_object_ids(spark):
+    for text, code in (("abc-1_2", None), ("-_-", "not_found"), ("a/b", "not_found"), ("", "not_found"), ("a b", "not_found")):
+        assert one(spark, text, gates.object_id_gate) == code
