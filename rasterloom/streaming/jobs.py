@@ -12,9 +12,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.media import payload_gate, sniff_content_type, upload_gate
-from ..functions.numeric import round_exact
 from ..operators.admission import ADMITTED, REFUSED, admit
-from ..operators.requests import RETRYABLE_STATUS
+from ..operators.requests import request_rollup
 from ..settings import (
     ADMISSIONS,
     DEFAULT_MAX_IMAGE_BYTES,
@@ -163,30 +162,9 @@ def stream_admission(
 def stream_rollup(
     requests: DataFrame, window: str = "1 hour", delay: str = "1 hour"
 ) -> DataFrame:
-    """Calls, shares and durations per tumbling window; a window closes ``delay`` after its end."""
-    failed = (F.col("status") >= 400).cast("int")
-    retry = F.col("status").isin(*RETRYABLE_STATUS).cast("int")
-    return (
-        requests.withWatermark("ts", delay)
-        .groupBy(F.window("ts", window).alias("_w"), "path", "status")
-        .agg(
-            F.count("*").alias("calls"),
-            F.avg(failed).alias("error_share"),
-            F.avg(retry).alias("retryable_share"),
-            F.avg("duration_ms").alias("_mean"),
-            F.max("duration_ms").alias("max_ms"),
-        )
-        .select(
-            F.col("_w.start").alias("window_start"),
-            "path",
-            "status",
-            "calls",
-            "error_share",
-            "retryable_share",
-            round_exact(F.col("_mean"), 4).alias("mean_ms"),
-            "max_ms",
-        )
-    )
+    """The batch roll-up over a stream: in append mode a window is written, and its state dropped, once the
+    watermark, ``delay`` behind the last request, passes its end."""
+    return request_rollup(requests.withWatermark("ts", delay), window)
 
 
 def start_table(

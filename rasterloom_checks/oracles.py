@@ -362,12 +362,9 @@ SELECT el.asset_id, el.principal, el.byte_count, el.created_at,
 FROM fold JOIN el ON el.principal = fold.principal AND el.step = fold.step"""
 
 
-def _rollup(quantiles: bool) -> str:
-    extra = (
-        ", quantile_disc(duration_ms, 0.5) AS p50_ms, quantile_disc(duration_ms, 0.95) AS p95_ms"
-        if quantiles
-        else ""
-    )
+def _rollup(closed: bool) -> str:
+    """``closed``: the windows that a stream has closed, an hour behind the last request it saw."""
+    seen = "WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('ms', max(ts)) - INTERVAL 1 HOUR FROM rq)"
     return f"""WITH rq AS (
   SELECT ts, '/tools/' || event_type AS path, value AS duration_ms,
          [200, 200, 200, 200, 400, 404, 413, 429, 503, 504][event_id % 10 + 1] AS status
@@ -376,8 +373,9 @@ def _rollup(quantiles: bool) -> str:
 SELECT date_trunc('hour', ts) AS window_start, path, status, count(*) AS calls,
        avg(CASE WHEN status >= 400 THEN 1 ELSE 0 END) AS error_share,
        avg(CASE WHEN status IN (503, 504) THEN 1 ELSE 0 END) AS retryable_share,
-       CAST(printf('%.4f', avg(duration_ms)) AS DOUBLE) AS mean_ms, max(duration_ms) AS max_ms{extra}
-FROM rq GROUP BY 1, 2, 3"""
+       CAST(printf('%.4f', avg(duration_ms)) AS DOUBLE) AS mean_ms, max(duration_ms) AS max_ms,
+       quantile_disc(duration_ms, 0.5) AS p50_ms, quantile_disc(duration_ms, 0.95) AS p95_ms
+FROM rq {seen if closed else ""} GROUP BY 1, 2, 3"""
 
 
 def _param_rules(rules: list[tuple[str, str, str]]) -> str:
@@ -724,8 +722,8 @@ SELECT asset_id, CAST(floor(epoch(TIMESTAMP '{AS_OF}' - created_at) / 86400) AS
 FROM up WHERE floor(epoch(TIMESTAMP '{AS_OF}' - created_at) / 86400) > 1""",
     "orphan_blobs": f"WITH {UPLOADS} SELECT asset_id, principal, byte_count FROM up WHERE event_id % 5 = 0",
     "quota_admission": ADMISSION,
-    "request_rollup": _rollup(True),
+    "request_rollup": _rollup(False),
     "stream_intake": f"WITH {FILES} SELECT path, byte_count, content_type, error_code FROM pg",
     "stream_quota": ADMISSION,
-    "stream_rollup": _rollup(False),
+    "stream_rollup": _rollup(True),
 }

@@ -615,7 +615,7 @@ def stream_quota(spark: SparkSession, folder: str) -> DataFrame:
 def stream_rollup(spark: SparkSession, folder: str) -> DataFrame:
     target, mark = fresh_path(spark, "rollup"), fresh_path(spark, "rollup-mark")
     rolled = jobs.stream_rollup(views.requests(_stream(spark, folder, "events")))
-    jobs.start_table(rolled, target, mark, "complete").awaitTermination()
+    jobs.start_table(rolled, target, mark).awaitTermination()
     return spark.read.parquet(target).withColumn("window_start", _naive("window_start"))
 
 

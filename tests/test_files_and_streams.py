@@ -154,6 +154,6 @@ def test_rollup_stream_equals_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(source)
     rolled = jobs.stream_rollup(stream)
     jobs.start_table(rolled, str(tmp_path / "out"), str(tmp_path / "mark"), "complete").awaitTermination()
-    columns = ["window_start", "path", "status", "calls", "error_share", "retryable_share", "mean_ms", "max_ms"]
+    columns = ["window_start", "path", "status", "calls", "error_share", "retryable_share", "mean_ms", "max_ms", "p50_ms", "p95_ms"]
     got = set(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()))
     assert got == set(map(tuple, request_rollup(rows).select(*columns).collect()))
