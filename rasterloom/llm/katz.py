@@ -32,7 +32,7 @@ from .text import LOWER, documents, flat, hash_spans, mix, pack, pack_sorted, pi
 RELIABLE = 5
 TRIFLE = 0.01
 #: Text of a batch, and keys a bucket receives, about.
-BATCH_BYTES, BUCKET_KEYS = 12 << 20, 2_000_000
+BATCH_BYTES, BUCKET_KEYS = 5 << 20, 1_000_000
 END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 _PARTS = "batch long, bucket int, kind int, p binary, q binary, r binary"
 _ROW = ["batch", "bucket", "kind", "p", "q", "r"]
