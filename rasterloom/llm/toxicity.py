@@ -133,7 +133,7 @@ def train(
 
     kind = docs.schema[id_col].dataType.simpleString()
     packed = rows.mapInArrow(extract, f"doc_id {kind}, y int, x binary")
-    fitted = packed.coalesce(1).mapInArrow(fit, "keys binary, weights binary, bias double").first()
+    fitted = packed.repartition(1).mapInArrow(fit, "keys binary, weights binary, bias double").first()
     if fitted is None:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
     return np.frombuffer(fitted[0], np.int32).astype(np.int64), np.frombuffer(fitted[1]), fitted[2]
