@@ -68,13 +68,13 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
     found = secret_scan.secret_scan(_table(spark, folder, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
-    count = {
-        f"n_{kind}": F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long")
-        for kind in secret_scan.BASE_KINDS
-    }
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *[column.alias(name) for name, column in count.items()],
+        *[number(kind) for kind in secret_scan.BASE_KINDS],
         F.sha2(line(base), 256).alias("base_sha256"),
         line(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
