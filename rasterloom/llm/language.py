@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -46,9 +45,16 @@ _STARTS = np.array([start for start, _ in SCRIPTS])
 _KIND = np.array([_NAMES.index(name) for _, name in SCRIPTS], dtype=np.int8)
 
 
-@cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Letters(NamedTuple):
     """By code point: 1 for a letter, 2 for a mark inside words; lower case; script."""
+
+    kind: np.ndarray
+    lower: np.ndarray
+    script: np.ndarray
+
+
+def letters() -> Letters:
+    """Made once by the caller; the tables go to the tasks with the functions."""
     kind = np.zeros(_TOP + 1, np.uint8)
     lower = np.arange(_TOP + 1, dtype=np.uint32)
     for c in range(_TOP):
@@ -61,7 +67,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         elif unicodedata.category(char)[0] == "M":
             kind[c] = 2
     script = _KIND[np.searchsorted(_STARTS, np.arange(_TOP + 1), "right") - 1]
-    return kind, lower, script
+    return Letters(kind, lower, script)
 
 
 class Words(NamedTuple):
@@ -75,9 +81,9 @@ class Words(NamedTuple):
     inside: np.ndarray
 
 
-def _words(texts: pa.Array) -> Words:
+def _words(texts: pa.Array, tables: Letters) -> Words:
     """Runs of letters (with their marks), in code points; no word spans two texts."""
-    kind, lower, script = _tables()
+    kind, lower, script = tables
     data, _ = flat(texts)
     points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     points = np.minimum(points, _TOP)
@@ -107,16 +113,19 @@ class Model(NamedTuple):
     languages: list[str]
     logp: np.ndarray  # trigram bin x language
     allowed: np.ndarray  # script x language
+    tables: Letters
 
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Counts over all rows with a language and a text; the rest teaches nothing. No rows: no languages."""
 
+    tables = letters()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         size = (1 << BITS) + len(_NAMES)
         for part in pieces(batches, limit=PIECE):
-            w = _words(part.column("text"))
+            w = _words(part.column("text"), tables)
             langs = part.column("lang").dictionary_encode()
             code = langs.indices.to_numpy(zero_copy_only=False)
             bounds = np.zeros(len(w.inside), np.int32)
@@ -150,7 +159,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     grams, scripts = table[: 1 << BITS] + SMOOTHING, table[1 << BITS :]
     logp = np.log(grams / grams.sum(axis=0)).astype(np.float32)
     share = scripts / np.maximum(scripts.sum(axis=0), 1)
-    return Model(languages, logp, share >= SCRIPT_SHARE)
+    return Model(languages, logp, share >= SCRIPT_SHARE, tables)
 
 
 def _scores(w: Words, model: Model) -> np.ndarray:
@@ -205,7 +214,7 @@ def label(texts: pa.Array, model: Model, switch: float) -> tuple[pa.Array, np.nd
     """Spans of every text (a list array), number of its main language, and that language's share of the letters."""
     n, n_lang = len(texts), len(model.languages)
     names = np.array([*model.languages, UNKNOWN], dtype=object)
-    w = _words(texts)
+    w = _words(texts, model.tables)
     keep = w.letters > 0
     if not n_lang:
         keep[:] = False
