@@ -150,11 +150,12 @@ def resolve_references(
 
 
 def contained_paths(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """``paths(path)`` that are or lie below one of ``roots(root)``.
+    """``paths(path)`` that are or lie below one of ``roots(root)``; relative paths and paths with a NUL never do.
 
     Every path offers its ancestors as join keys, so the containment test is an equi semi-join.
     """
-    keyed = paths.withColumn("_clean", gates.normalized_path(F.col("path")))
+    formed = paths.where(gates.path_form_gate(F.col("path")).isNull())
+    keyed = formed.withColumn("_clean", gates.normalized_path(F.col("path")))
     offered = keyed.select(
         "_clean", F.explode(gates.path_ancestors(F.col("_clean"))).alias("root")
     ).distinct()

@@ -633,14 +633,9 @@ SELECT page_id, CASE WHEN form <= 1 THEN 'invalid_input' WHEN NOT present THEN '
   ELSE 'forbidden' END AS error_code
 FROM np""",
     "contained_paths": f"""WITH {PATHS},
-roots AS (SELECT DISTINCT '/' || lang AS root FROM documents WHERE lang <> 'fr'),
-kp AS (
-  SELECT page_id, CASE WHEN form = 1 THEN regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) || chr(0)
-                       ELSE path END AS path
-  FROM np JOIN pages USING (page_id) WHERE form <> 0
-)
-SELECT page_id FROM kp WHERE EXISTS (
-  SELECT 1 FROM roots WHERE kp.path = root OR starts_with(kp.path, root || '/'))""",
+roots AS (SELECT DISTINCT '/' || lang AS root FROM documents)
+SELECT page_id FROM np WHERE form > 1 AND EXISTS (
+  SELECT 1 FROM roots WHERE np.path = root OR starts_with(np.path, root || '/'))""",
     "reference_gate": """WITH f AS (
   SELECT page_id, url, page_id % 9 AS form, 'i' || lpad(CAST(page_id AS VARCHAR), 12, '0') AS ident FROM pages
 )
@@ -717,6 +712,8 @@ FROM up WHERE expires_at > TIMESTAMP '{AS_OF}' GROUP BY 1, 2""",
 SELECT kind, count(*) FILTER (expires_at <= TIMESTAMP '{AS_OF}') AS removed,
        count(*) FILTER (expires_at > TIMESTAMP '{AS_OF}') AS kept
 FROM up GROUP BY 1""",
+    "purge_survivors": f"""WITH {UPLOADS}
+SELECT asset_id, principal, kind, byte_count FROM up WHERE expires_at > TIMESTAMP '{AS_OF}'""",
     "retention": f"""WITH {UPLOADS}
 SELECT asset_id, CAST(floor(epoch(TIMESTAMP '{AS_OF}' - created_at) / 86400) AS INTEGER) AS age_days
 FROM up WHERE floor(epoch(TIMESTAMP '{AS_OF}' - created_at) / 86400) > 1""",

@@ -390,10 +390,10 @@ def path_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contained_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Containment in a table of roots: the roots are the language folders in use, without French."""
-    languages = views.documents(spark, folder).where("lang <> 'fr'")
-    roots = languages.select(F.concat(F.lit("/"), "lang").alias("root")).distinct()
-    paths = views.page_paths(spark, folder).where("path LIKE '/%'").select("page_id", "path")
+    """Containment in a table of roots: the roots are the language folders in use, loosely written."""
+    languages = views.documents(spark, folder)
+    roots = languages.select(F.concat(F.lit("//"), "lang", F.lit("/./")).alias("root")).distinct()
+    paths = views.page_paths(spark, folder).select("page_id", "path")
     return assets.contained_paths(paths, roots).select("page_id")
 
 
@@ -557,6 +557,12 @@ def purge_expired(spark: SparkSession, folder: str) -> DataFrame:
     return assets.purge_counts(views.assets(spark, folder), AS_OF)
 
 
+def purge_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    """What a rewrite of the ledger keeps."""
+    kept = assets.purge_expired(views.assets(spark, folder), AS_OF)
+    return kept.select("asset_id", "principal", "kind", "byte_count")
+
+
 def retention(spark: SparkSession, folder: str) -> DataFrame:
     old = assets.beyond_retention(views.assets(spark, folder), AS_OF, TTL)
     return old.select("asset_id", "age_days")
@@ -667,6 +673,7 @@ _ALL: dict[str, Query] = {
     "quota_usage": quota_usage,
     "container_usage": container_usage,
     "purge_expired": purge_expired,
+    "purge_survivors": purge_survivors,
     "retention": retention,
     "orphan_blobs": orphan_blobs,
     "quota_admission": quota_admission,

@@ -22,8 +22,8 @@ def tables(spark, rasters):
     """``tiles`` and ``images`` of a dict from image id to raster."""
     rows = []
     for image_id, raster in rasters.items():
-        for tile in cut_tiles(image_id, raster):
-            rows.append(tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in tile.values()))
+        for tile in cut_tiles(str(image_id), raster):
+            rows += [tuple(row.values()) for row in tile.to_pylist()]
     tiles = spark.createDataFrame(rows, TILES)
     images = spark.createDataFrame(
         [(i, r.shape[1], r.shape[0], int(r.size)) for i, r in rasters.items()],

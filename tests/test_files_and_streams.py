@@ -93,7 +93,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_content(content, str(tmp_path / "content"))
     assert spark.read.parquet(str(tmp_path / "content")).where("output_format = 'csv'").first().content == "c"
     sinks.write_content_text(content, str(tmp_path / "texts"))
-    assert (next((tmp_path / "texts" / "image_id=1").glob("*.txt"))).read_text() == "a\nb\n"
+    assert next((tmp_path / "texts").glob("bucket=*/image_id=1/*.txt")).read_text() == "a\nb\n"
     sinks.write_json(content, str(tmp_path / "json"))
     assert "imageId" in spark.read.json(str(tmp_path / "json")).columns
     mixed = spark.createDataFrame([(1, None), (2, "busy")], "id int, error_code string")
