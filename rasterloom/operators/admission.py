@@ -3,29 +3,26 @@
 The rule depends on every earlier decision: expired assets are dropped, then an upload is refused if
 it would exceed the count or the bytes; a refused upload uses nothing.
 
-Principals with few uploads are folded in one row each. For the others
-
-* uploads that no state could admit are refused first: an asset expires on a whole second, so within
-  one second nothing is freed, and an upload behind ``quota_count`` earlier ones of the same second
-  that are no larger can never be admitted;
-* the rest is cut into chunks of bounded size, all chunks are folded at once from an assumed start,
-  and chunks whose assumed start turns out wrong are folded again with the right one.
+Uploads that no state could admit are refused first, spread over salted groups: an asset expires on a whole
+second, so within one second nothing is freed, and an upload behind ``quota_count`` earlier ones of the same second
+that are no larger can never be admitted. The others are decided in one pass over partitions sorted by owner and time; all
+that is carried from row to row, and from batch to batch, is the owner's live assets, ``quota_count`` at most
+besides those it held before.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import deque
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.media import upload_gate
-from ..session import cut_lineage
+from ..session import written
 from ..settings import (
     ADMISSIONS,
     DEFAULT_MAX_IMAGE_BYTES,
@@ -34,21 +31,12 @@ from ..settings import (
     DEFAULT_TTL_SECONDS,
 )
 
-FOLD_ROWS = 20_000
 SALTS = 32
-SPECULATIVE_PASSES = 4
 SECOND = 1_000_000
-DAY = 86_400 * SECOND
+NEVER = 2**62
 ADMITTED = "accepted"
 REFUSED = "quota_exceeded"
 
-_LIVE = T.ArrayType(
-    T.StructType(
-        [T.StructField("expires", T.LongType()), T.StructField("bytes", T.LongType())]
-    )
-)
-
-
 def admit(
     moments: Iterable[int],
     sizes: Iterable[int],
@@ -71,149 +59,81 @@ def admit(
     return decisions
 
 
-def _folder(ttl_seconds: int, quota_bytes: int, quota_count: int) -> Callable:
-    """UDF over arrays: start state, moments and sizes to decisions and end state."""
-    result = T.StructType(
-        [
-            T.StructField("admitted", T.ArrayType(T.BooleanType())),
-            T.StructField("end_expires", T.ArrayType(T.LongType())),
-            T.StructField("end_bytes", T.ArrayType(T.LongType())),
-        ]
-    )
-
-    @F.pandas_udf(result)
-    def fold(
-        start_expires: pd.Series, start_bytes: pd.Series, moments: pd.Series, sizes: pd.Series
-    ) -> pd.DataFrame:
-        admitted, expires, held = [], [], []
-        for first, second, times, amounts in zip(
-            start_expires, start_bytes, moments, sizes, strict=True
-        ):
-            live = deque(zip(np.asarray(first).tolist(), np.asarray(second).tolist(), strict=True))
-            admitted.append(
-                admit(
-                    np.asarray(times).tolist(),
-                    np.asarray(amounts).tolist(),
-                    live,
-                    ttl_seconds,
-                    quota_bytes,
-                    quota_count,
-                )
-            )
-            expires.append([entry[0] for entry in live])
-            held.append([entry[1] for entry in live])
-        return pd.DataFrame({"admitted": admitted, "end_expires": expires, "end_bytes": held})
-
-    return fold
-
-
-def _contenders(
+def _hopeless(
     uploads: DataFrame, group: Sequence[str], quota_count: int, quota_bytes: int
 ) -> DataFrame:
-    """Drop uploads that no state admits; ``group`` lies within one second of one owner.
+    """Mark uploads that no state admits; ``group`` lies within one second of one owner.
 
-    Sorted partitions are streamed; only the smallest ``quota_count`` sizes of a group are kept.
+    Sorted partitions are streamed; only the smallest ``quota_count`` sizes of a group are kept. Rows marked
+    before are passed on.
     """
     group = list(group)
 
-    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, smallest = None, []
         for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
+            lost = batch["hopeless"].to_numpy(dtype=bool, copy=True)
             owners = zip(*[batch[c] for c in group], strict=True)
             for row, (owner, size) in enumerate(zip(owners, batch["byte_count"], strict=True)):
                 if owner != current:
                     current, smallest = owner, []
-                if size > quota_bytes:
+                if lost[row]:
                     continue
-                if len(smallest) < quota_count:
+                if size > quota_bytes:
+                    lost[row] = True
+                elif len(smallest) < quota_count:
                     heapq.heappush(smallest, -size)
-                elif size < -smallest[0]:
+                elif quota_count and size < -smallest[0]:
                     heapq.heapreplace(smallest, -size)
                 else:
-                    continue
-                keep[row] = True
-            yield batch[keep]
+                    lost[row] = True
+            yield batch.assign(hopeless=lost)
 
     return (
         uploads.repartition(*group)
         .sortWithinPartitions(*group, "moment", "asset_id")
-        .mapInPandas(prune, uploads.schema)
+        .mapInPandas(mark, uploads.schema)
     )
 
 
-def _chunked(uploads: DataFrame, owner: list[str], fold_rows: int) -> DataFrame:
-    """One row per owner and chunk with the uploads in order; chunks end at seconds and days."""
-    day = F.floor(F.col("moment") / DAY)
-    per_second = (
-        uploads.groupBy(*owner, "second").count().withColumn("_day", F.floor(F.col("second") / DAY))
-    )
-    so_far = F.sum("count").over(Window.partitionBy(*owner, "_day").orderBy("second"))
-    chunk = day * F.lit(2**20) + F.floor((F.col("_so_far") - 1) / fold_rows)
-    places = per_second.withColumn("_so_far", so_far).select(*owner, "second", "_so_far")
-    return (
-        uploads.join(places, [*owner, "second"])
-        .withColumn("chunk", chunk)
-        .groupBy(*owner, "chunk")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("moment", "asset_id", "byte_count"))).alias(
-                "uploads"
-            )
-        )
-    )
+def _decided(
+    rows: DataFrame, owner: list[str], ttl_seconds: int, quota_bytes: int, quota_count: int
+) -> DataFrame:
+    """Held assets (``order`` 0, ``moment`` their expiry) and contenders (``order`` 1), decided as streams of rows."""
 
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current = None
+        held: deque[tuple[int, int]] = deque()
+        live: deque[tuple[int, int]] = deque()
+        for batch in batches:
+            keys = list(zip(*[batch[c] for c in owner], strict=True))
+            verdicts = np.zeros(len(batch), dtype=bool)
+            data = zip(keys, batch["order"], batch["moment"], batch["byte_count"], strict=True)
+            for row, (key, order, now, size) in enumerate(data):
+                if key != current:
+                    current, held, live = key, deque(), deque()
+                    used = 0
+                if order == 0:
+                    held.append((now, size))
+                    used += size
+                    continue
+                for stock in (held, live):
+                    while stock and stock[0][0] <= now:
+                        used -= stock.popleft()[1]
+                if len(held) + len(live) < quota_count and used + size <= quota_bytes:
+                    live.append((now // SECOND * SECOND + ttl_seconds * SECOND, size))
+                    used += size
+                    verdicts[row] = True
+            out = batch[["asset_id", "principal", "byte_count", "moment"]].assign(admitted=verdicts)
+            yield out[batch["order"] == 1]
 
-def _fold_columns(fold: Callable, start: Column) -> Column:
-    uploads = F.col("uploads")
-    return fold(
-        F.transform(start, lambda s: s["expires"]),
-        F.transform(start, lambda s: s["bytes"]),
-        F.transform(uploads, lambda u: u["moment"]),
-        F.transform(uploads, lambda u: u["byte_count"]),
+    return (
+        rows.repartition(*owner)
+        .sortWithinPartitions(*owner, "order", "moment", "asset_id")
+        .mapInPandas(decide, "asset_id string, principal string, byte_count long, moment long, admitted boolean")
     )
 
 
-def _end_state() -> Column:
-    return F.transform(
-        F.arrays_zip("_fold.end_expires", "_fold.end_bytes"),
-        lambda z: F.struct(
-            z["end_expires"].alias("expires"), z["end_bytes"].alias("bytes")
-        ),
-    ).cast(_LIVE)
-
-
-def _settled_starts(chunks: DataFrame, owner: list[str], fold: Callable) -> DataFrame:
-    """The true start state of every chunk."""
-    key = [*owner, "chunk"]
-    nothing = F.array().cast(_LIVE)
-    chunks = chunks.withColumn("_first", F.get("uploads", 0)["moment"])
-
-    def folded(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("_fold", _fold_columns(fold, F.col("start"))).select(
-            *key, "_first", "start", _end_state().alias("end")
-        )
-
-    states = cut_lineage(folded(chunks.withColumn("start", nothing)))
-    line = Window.partitionBy(*owner).orderBy("chunk")
-    passes = 0
-    while True:
-        before = F.coalesce(F.lag("end").over(line), nothing)
-        # What expired before the first upload of a chunk makes no difference to it.
-        checked = states.withColumn("_before", before).withColumn(
-            "_before", F.filter("_before", lambda s: s["expires"] > F.col("_first"))
-        )
-        wrong = checked.where(F.col("_before") != F.col("start"))
-        if passes >= SPECULATIVE_PASSES:
-            # The first wrong chunk of an owner follows settled ones only.
-            wrong = wrong.withColumn("_place", F.row_number().over(line)).where("_place = 1")
-        wrong = cut_lineage(wrong.select(*key, F.col("_before").alias("start")))
-        if wrong.isEmpty():
-            return states.select(*key, "start")
-        again = folded(chunks.join(wrong, key))
-        states = cut_lineage(states.join(wrong, key, "left_anti").unionByName(again))
-        passes += 1
-
-
 def quota_admission(
     uploads: DataFrame,
     ttl_seconds: int = DEFAULT_TTL_SECONDS,
@@ -221,73 +141,50 @@ def quota_admission(
     quota_count: int = DEFAULT_QUOTA_COUNT,
     max_bytes: int = DEFAULT_MAX_IMAGE_BYTES,
     scope: str = "principal",
-    fold_rows: int = FOLD_ROWS,
+    held: DataFrame | None = None,
 ) -> DataFrame:
     """Every upload with its decision: accepted, or the code it is refused with.
 
     ``scope`` is ``principal`` where inputs and artifacts share one quota and ``container`` where
-    each kind has its own. Uploads of one owner at the same instant follow the asset id.
+    each kind has its own. Uploads of one owner at the same instant follow the asset id. ``held(principal, kind,
+    byte_count, expires_at)`` is what the store has before: live assets, and orphans or blobs without a readable expiry
+    (null), which use quota for good. Like the expiries that admission gives, theirs lie on whole seconds.
     """
     owner = ["principal"] if scope == "principal" else ["principal", "kind"]
     gate = upload_gate(F.col("content_type"), F.col("byte_count"), max_bytes)
     judged = uploads.withColumn("decision", gate)
-    fields = ADMISSIONS.fieldNames()
-    refused = judged.where("decision IS NOT NULL").select(*fields)
+    refused = judged.where("decision IS NOT NULL").select(*ADMISSIONS.fieldNames())
     moment = F.unix_micros("created_at")
+    size = F.col("byte_count").cast("long").alias("byte_count")
     eligible = judged.where("decision IS NULL").select(
         *owner,
         "asset_id",
-        F.col("byte_count").cast("long").alias("byte_count"),
+        size,
         moment.alias("moment"),
+        (F.floor(moment / SECOND) * SECOND).alias("second"),
+        F.pmod(F.xxhash64("asset_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.lit(False).alias("hopeless"),
     )
-    fold = _folder(ttl_seconds, quota_bytes, quota_count)
-    hot = cut_lineage(
-        eligible.groupBy(*owner).count().where(F.col("count") > fold_rows).select(*owner)
-    )
-    start = F.array().cast(_LIVE)
-
-    def decided(frame: DataFrame, state: Column) -> DataFrame:
-        verdicts = frame.withColumn("_fold", _fold_columns(fold, state))
-        return verdicts.select(
-            "principal", F.explode(F.arrays_zip("uploads", "_fold.admitted")).alias("_u")
-        ).select(
-            F.col("_u.uploads.asset_id").alias("asset_id"),
-            "principal",
-            F.col("_u.uploads.byte_count").alias("byte_count"),
-            F.timestamp_micros(F.col("_u.uploads.moment")).alias("created_at"),
-            F.when(F.col("_u.admitted"), ADMITTED).otherwise(F.lit(REFUSED)).alias("decision"),
+    marked = eligible
+    for group in ([*owner, "second", "salt"], [*owner, "second"]):
+        marked = _hopeless(marked, group, quota_count, quota_bytes)
+    marked = written(marked.drop("second", "salt"), "contenders")
+    rows = marked.where("NOT hopeless").drop("hopeless").withColumn("order", F.lit(1))
+    if held is not None:
+        expiry = F.coalesce(F.unix_micros("expires_at"), F.lit(NEVER))
+        stock = held.select(
+            *owner, F.lit("").alias("asset_id"), size, expiry.alias("moment"), F.lit(0).alias("order")
         )
-
-    def together(frame: DataFrame) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct("moment", "asset_id", "byte_count")))
-        return frame.groupBy(*owner).agg(ordered.alias("uploads"))
-
-    if hot.isEmpty():
-        return refused.unionByName(decided(together(eligible), start))
-
-    small = together(eligible.join(hot, owner, "left_anti"))
-    many = (
-        eligible.join(hot, owner, "left_semi")
-        .withColumn("second", F.floor(F.col("moment") / SECOND) * SECOND)
-        .withColumn("_salt", F.pmod(F.xxhash64("asset_id"), F.lit(SALTS)).cast("int"))
-    )
-    salted = _contenders(many, [*owner, "second", "_salt"], quota_count, quota_bytes)
-    contenders = cut_lineage(
-        _contenders(salted.drop("_salt"), [*owner, "second"], quota_count, quota_bytes)
+        rows = rows.unionByName(stock)
+    decided = _decided(rows, owner, ttl_seconds, quota_bytes, quota_count).unionByName(
+        marked.where("hopeless").select("asset_id", "principal", "byte_count", "moment", F.lit(False).alias("admitted"))
     )
-    chunks = cut_lineage(_chunked(contenders, owner, fold_rows))
-    starts = _settled_starts(chunks, owner, fold)
-    hopeless = many.join(contenders.select(*owner, "asset_id"), [*owner, "asset_id"], "left_anti")
-    return (
-        refused.unionByName(decided(small, start))
-        .unionByName(decided(chunks.join(starts, [*owner, "chunk"]), F.col("start")))
-        .unionByName(
-            hopeless.select(
-                "asset_id",
-                "principal",
-                "byte_count",
-                F.timestamp_micros("moment").alias("created_at"),
-                F.lit(REFUSED).alias("decision"),
-            )
+    return refused.unionByName(
+        decided.select(
+            "asset_id",
+            "principal",
+            "byte_count",
+            F.timestamp_micros("moment").alias("created_at"),
+            F.when(F.col("admitted"), ADMITTED).otherwise(F.lit(REFUSED)).alias("decision"),
         )
     )

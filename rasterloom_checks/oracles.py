@@ -333,15 +333,23 @@ ug AS (
   FROM up
 )"""
 
-ADMISSION = f"""WITH RECURSIVE {UPLOADS},
+def _admission(held: bool = False) -> str:
+    mine = "event_id % 10 <> 0" if held else "true"
+    begin = (
+        f"""(SELECT list(struct_pack(e := CASE WHEN event_id % 20 <> 0 THEN expires_at ELSE TIMESTAMP '9999-01-01' END,
+           b := byte_count)) FROM up WHERE up.principal = p.principal AND event_id % 10 = 0)"""
+        if held
+        else "NULL"
+    )
+    return f"""WITH RECURSIVE {UPLOADS},
 el AS (
   SELECT *, row_number() OVER (PARTITION BY principal ORDER BY created_at, asset_id) AS step
-  FROM ug WHERE error_code IS NULL
+  FROM ug WHERE error_code IS NULL AND {mine}
 ),
 fold AS (
   SELECT principal, CAST(0 AS BIGINT) AS step, CAST(NULL AS VARCHAR) AS asset_id, false AS fits,
-         CAST([] AS STRUCT(e TIMESTAMP, b BIGINT)[]) AS live
-  FROM (SELECT DISTINCT principal FROM el)
+         coalesce({begin}, CAST([] AS STRUCT(e TIMESTAMP, b BIGINT)[])) AS live
+  FROM (SELECT DISTINCT principal FROM el) p
   UNION ALL
   SELECT principal, step, asset_id, fits,
          CASE WHEN fits THEN list_append(kept, struct_pack(e := expires_at, b := byte_count)) ELSE kept END
@@ -355,7 +363,7 @@ fold AS (
     )
   )
 )
-SELECT asset_id, principal, byte_count, created_at, error_code AS decision FROM ug WHERE error_code IS NOT NULL
+SELECT asset_id, principal, byte_count, created_at, error_code AS decision FROM ug WHERE error_code IS NOT NULL AND {mine}
 UNION ALL
 SELECT el.asset_id, el.principal, el.byte_count, el.created_at,
        CASE WHEN fits THEN 'accepted' ELSE 'quota_exceeded' END
@@ -718,9 +726,10 @@ SELECT asset_id, principal, kind, byte_count FROM up WHERE expires_at > TIMESTAM
 SELECT asset_id, CAST(floor(epoch(TIMESTAMP '{AS_OF}' - created_at) / 86400) AS INTEGER) AS age_days
 FROM up WHERE floor(epoch(TIMESTAMP '{AS_OF}' - created_at) / 86400) > 1""",
     "orphan_blobs": f"WITH {UPLOADS} SELECT asset_id, principal, byte_count FROM up WHERE event_id % 5 = 0",
-    "quota_admission": ADMISSION,
+    "quota_admission": _admission(),
+    "quota_admission_held": _admission(held=True),
     "request_rollup": _rollup(False),
     "stream_intake": f"WITH {FILES} SELECT path, byte_count, content_type, error_code FROM pg",
-    "stream_quota": ADMISSION,
+    "stream_quota": _admission(),
     "stream_rollup": _rollup(True),
 }

@@ -582,6 +582,17 @@ def quota_admission(spark: SparkSession, folder: str) -> DataFrame:
     return decided.select("asset_id", "principal", "byte_count", _naive("created_at"), "decision")
 
 
+def quota_admission_held(spark: SparkSession, folder: str) -> DataFrame:
+    """Every tenth event is an asset that the store holds already, every twentieth an orphan that never expires."""
+    number = F.substring("asset_id", 2, 12).cast("long")
+    every = views.assets(spark, folder)
+    held = every.where(number % 10 == 0).withColumn("expires_at", F.when(number % 20 != 0, F.col("expires_at")))
+    decided = admission.quota_admission(
+        every.where(number % 10 != 0), TTL, QUOTA_BYTES, QUOTA_COUNT, MAX_UPLOAD, held=held
+    )
+    return decided.select("asset_id", "principal", "byte_count", _naive("created_at"), "decision")
+
+
 def request_rollup(spark: SparkSession, folder: str) -> DataFrame:
     rolled = requests.request_rollup(views.requests(views.table(spark, folder, "events")))
     return rolled.withColumn("window_start", _naive("window_start"))
@@ -677,6 +688,7 @@ _ALL: dict[str, Query] = {
     "retention": retention,
     "orphan_blobs": orphan_blobs,
     "quota_admission": quota_admission,
+    "quota_admission_held": quota_admission_held,
     "request_rollup": request_rollup,
     "stream_intake": stream_intake,
     "stream_quota": stream_quota,

@@ -79,12 +79,13 @@ def test_expiry_is_whole_seconds(spark):
     assert (row.kind, row.principal_bucket) == ("input", "x")
 
 
-def brute(rows, ttl, quota_bytes, quota_count, scope):
+def brute(rows, ttl, quota_bytes, quota_count, scope, stock):
     groups, decisions = {}, {}
     for row in rows:
         groups.setdefault(row[1] if scope == "principal" else row[1:3], []).append(row)
-    for group in groups.values():
-        live = []
+    for key, group in groups.items():
+        mine = [s for s in stock if (s[0] if scope == "principal" else s[:2]) == key]
+        live = [(float("inf") if s[3] is None else s[3], s[2]) for s in mine]
         for row in sorted(group, key=lambda r: (r[5], r[0])):
             live = [x for x in live if x[0] > row[5]]
             fits = len(live) + 1 <= quota_count and sum(x[1] for x in live) + row[4] <= quota_bytes
@@ -95,18 +96,19 @@ def brute(rows, ttl, quota_bytes, quota_count, scope):
 
 
 @pytest.mark.parametrize(
-    ("ttl", "quota_count", "quota_bytes", "span", "fold_rows", "scope"),
+    ("ttl", "quota_count", "quota_bytes", "span", "scope"),
     [
-        (60, 5, 400, 600, 200, "principal"),
-        (60, 3, 10**9, 30, 100, "container"),
-        (10, 50, 2000, 100, 300, "principal"),
-        (3600, 4, 500, 86_400 * 3, 150, "container"),
-        (5, 2, 10**9, 1, 50, "principal"),
-        (60, 5, 400, 600, 100_000, "principal"),
+        (60, 5, 400, 600, "principal"),
+        (60, 3, 10**9, 30, "container"),
+        (10, 50, 2000, 100, "principal"),
+        (3600, 4, 500, 86_400 * 3, "container"),
+        (5, 2, 10**9, 1, "principal"),
+        (60, 0, 400, 600, "principal"),
     ],
 )
-def test_admission_of_a_hot_principal(spark, ttl, quota_count, quota_bytes, span, fold_rows, scope):
-    """Two of three uploads belong to one principal; small folds send it through the chunks."""
+@pytest.mark.parametrize("stocked", [False, True])
+def test_admission_of_a_hot_principal(spark, ttl, quota_count, quota_bytes, span, scope, stocked):
+    """Two of three uploads belong to one principal; the store may hold assets before."""
     source = random.Random(f"{ttl}{span}")
     rows = [
         (
@@ -122,12 +124,19 @@ def test_admission_of_a_hot_principal(spark, ttl, quota_count, quota_bytes, span
     uploads = spark.createDataFrame(
         rows, "asset_id string, principal string, kind string, content_type string, byte_count long, us long"
     ).withColumn("created_at", F.timestamp_micros("us"))
+    stock = [
+        ("p_hot", "input", quota_bytes // 3, span // 3 * 10**6), ("p_hot", "artifact", 2, None),
+        ("p_7", "input", 1, 10**6), ("p_8", "artifact", 50, None),
+    ]
+    held = spark.createDataFrame(stock, "principal string, kind string, byte_count long, us long").withColumn(
+        "expires_at", F.timestamp_micros("us")
+    )
     decided = admission.quota_admission(
-        uploads, ttl, quota_bytes, quota_count, scope=scope, fold_rows=fold_rows
+        uploads, ttl, quota_bytes, quota_count, scope=scope, held=held if stocked else None
     ).collect()
     got = {r.asset_id: r.decision for r in decided}
     assert len(decided) == len(rows)
-    assert got == brute(rows, ttl, quota_bytes, quota_count, scope)
+    assert got == brute(rows, ttl, quota_bytes, quota_count, scope, stock if stocked else [])
 
 
 def test_refused_uploads_use_no_quota(spark):
