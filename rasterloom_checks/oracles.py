@@ -432,6 +432,26 @@ def _first(rules: str) -> str:
     return f"CASE WHEN len({rules}) > 0 THEN array_to_string(list_slice({rules}, 1, 5), '; ') END"
 
 
+_RESAMPLE = f"""WITH {CROPS},
+sm AS (SELECT * FROM ft WHERE scale < 1),
+cp AS (
+  SELECT request_id, sm.width, sm.height, output_width, output_height,
+         px.x - sm.x AS x, px.y - sm.y AS y, r, g, b
+  FROM sm JOIN px ON px.image_id = sm.image_id AND px.x >= sm.x AND px.x < sm.x + sm.width
+    AND px.y >= sm.y AND px.y < sm.y + sm.height
+),
+across AS (
+  SELECT request_id, height, output_height, y, o AS x, {_shrunk("r")}, {_shrunk("g")}, {_shrunk("b")}
+  FROM cp JOIN {_lanczos("sm", "width", "output_width")} k
+    ON k.size = cp.width AND k.target = cp.output_width AND k.i = cp.x
+  GROUP BY request_id, height, output_height, y, o
+)
+SELECT request_id, CAST(x AS INTEGER) AS x, CAST(o AS INTEGER) AS y, {_shrunk("r")}, {_shrunk("g")}, {_shrunk("b")}
+FROM across JOIN {_lanczos("sm", "height", "output_height")} k
+  ON k.size = across.height AND k.target = across.output_height AND k.i = across.y
+GROUP BY request_id, x, o"""
+
+
 ORACLES: dict[str, str] = {
     "compare_totals": f"WITH {_compared()} SELECT * FROM totals",
     "compare_totals_sparse": f"WITH {_compared(0.6)} SELECT * FROM totals",
@@ -516,24 +536,28 @@ FROM ft""",
 SELECT request_id, px.x - ok.x AS x, px.y - ok.y AS y, r, g, b
 FROM ok JOIN px ON px.image_id = ok.image_id AND px.x >= ok.x AND px.x < ok.x + ok.width
   AND px.y >= ok.y AND px.y < ok.y + ok.height""",
-    "resample": f"""WITH {CROPS},
-sm AS (SELECT * FROM ft WHERE scale < 1),
-cp AS (
-  SELECT request_id, sm.width, sm.height, output_width, output_height,
-         px.x - sm.x AS x, px.y - sm.y AS y, r, g, b
-  FROM sm JOIN px ON px.image_id = sm.image_id AND px.x >= sm.x AND px.x < sm.x + sm.width
-    AND px.y >= sm.y AND px.y < sm.y + sm.height
-),
-across AS (
-  SELECT request_id, height, output_height, y, o AS x, {_shrunk("r")}, {_shrunk("g")}, {_shrunk("b")}
-  FROM cp JOIN {_lanczos("sm", "width", "output_width")} k
-    ON k.size = cp.width AND k.target = cp.output_width AND k.i = cp.x
-  GROUP BY request_id, height, output_height, y, o
+    "resample": _RESAMPLE,
+    "region_rasters": _RESAMPLE + """
+UNION ALL
+SELECT request_id, px.x - ft.x AS x, px.y - ft.y AS y, r, g, b
+FROM ft JOIN px ON px.image_id = ft.image_id AND px.x >= ft.x AND px.x < ft.x + ft.width
+  AND px.y >= ft.y AND px.y < ft.y + ft.height WHERE scale = 1""",
+    "asset_ledger": f"""WITH {UPLOADS}
+SELECT asset_id, principal, kind, byte_count, date_trunc('second', created_at) AS created_at, expires_at FROM up""",
+    "content_sink": "WITH t AS (" + _content("string_agg(text, chr(10) ORDER BY position)") + "), c AS (" + _content(
+        f"'{CSV_HEADER}' || chr(10) || string_agg({CSV_LINE}, chr(10) ORDER BY position) || chr(10)"
+    ) + """)
+SELECT image_id, 'text' AS output_format, sha256(content) AS digest FROM t
+UNION ALL SELECT image_id, 'csv', sha256(content) FROM c""",
+    "decoder_hook": f"WITH {PIXELS} SELECT image_id, x, y, r, g, b FROM px WHERE image_id % 5 <> 4",
+    "engine_hook": """WITH l AS (
+  SELECT doc_id, list_transform(string_split(text, chr(10)), lambda v: trim(v, ' ' || chr(9) || chr(13))) AS lines
+  FROM documents
 )
-SELECT request_id, CAST(x AS INTEGER) AS x, CAST(o AS INTEGER) AS y, {_shrunk("r")}, {_shrunk("g")}, {_shrunk("b")}
-FROM across JOIN {_lanczos("sm", "height", "output_height")} k
-  ON k.size = across.height AND k.target = across.output_height AND k.i = across.y
-GROUP BY request_id, x, o""",
+SELECT doc_id AS image_id, CASE WHEN len(lines) > 40 THEN 0 ELSE 200 END AS status,
+       CASE WHEN len(lines) > 40 THEN 'timeout' END AS error_code,
+       CASE WHEN len(lines) <= 40 THEN CAST(len(list_filter(lines, lambda v: v <> '')) AS INTEGER) END AS block_count
+FROM l""",
     "optimize_regions": f"""WITH {CROPS}
 SELECT bx.request_id, bx.image_id, bx.iw AS image_width, bx.ih AS image_height, bx.width AS crop_width,
        bx.height AS crop_height, output_width, output_height,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,11 @@ from rasterloom.functions import pixels as px
 from rasterloom.operators import admission, assets, compare, layout, regions, requests, resample
 from rasterloom.operators.components import label_blocks, label_components, tile_adjacency
 from rasterloom.plans.extract import extract_layout as extract
-from rasterloom.plans.optimize import optimize_regions
+from rasterloom.plans.optimize import optimize_regions, region_rasters
 from rasterloom.session import apply_defaults, fresh_path
 from rasterloom.settings import MAX_DETAIL_ENTRIES, TILE
-from rasterloom.sources import payloads
+from rasterloom.sources import images as image_files
+from rasterloom.sources import payloads, sinks
 from rasterloom.streaming import jobs
 
 from . import views
@@ -207,6 +210,89 @@ def resample_crops(spark: SparkSession, folder: str) -> DataFrame:
     return resample.strip_pixels(resample.resample(fitted, views.tiles(spark, folder)))
 
 
+def requested_rasters(spark: SparkSession, folder: str) -> DataFrame:
+    """Pixels of all accepted requests, downscaled or not."""
+    strips = region_rasters(views.crops(spark, folder), views.images(spark, folder), views.tiles(spark, folder))
+    return resample.strip_pixels(strips)
+
+
+def asset_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Uploads written to the ledger in two runs and read back."""
+    path = fresh_path(spark, "ledger")
+    uploads = views.assets(spark, folder).drop("expires_at")
+    early = F.col("created_at") < AS_OF
+    for part in (uploads.where(early), uploads.where(~early)):
+        sinks.write_assets(part, path, TTL)
+    return sinks.read_assets(spark, path).select(
+        "asset_id", "principal", "kind", "byte_count", _naive("created_at"), _naive("expires_at")
+    )
+
+
+def content_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Extracted content written by output format and read back."""
+    path = fresh_path(spark, "content")
+    rows = [
+        _content(form)(spark, folder).withColumn("output_format", F.lit(form)) for form in ("text", "csv")
+    ]
+    sinks.write_content(rows[0].unionByName(rows[1]), path)
+    return spark.read.parquet(path).select(
+        F.col("image_id").cast("long").alias("image_id"), "output_format", F.sha2("content", 256).alias("digest")
+    )
+
+
+def _raw_raster(content: bytes) -> np.ndarray | None:
+    """A decoder as a caller would pass one in: a JSON list of image lines."""
+    lines = json.loads(content)
+    return np.array(lines, dtype=np.uint8) if lines else None
+
+
+def decoder_hook(spark: SparkSession, folder: str) -> DataFrame:
+    """Tiles through the caller's decoder, as pixels; every fifth content is nothing."""
+    pixels = F.transform(F.arrays_zip("r", "g", "b"), lambda z: F.array(z["r"], z["g"], z["b"]))
+    lines = (
+        views.raster_rows(spark, folder)
+        .groupBy("image_id")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("y", pixels.alias("p")))), lambda z: z["p"]).alias("l"))
+    )
+    empty = F.pmod("image_id", F.lit(5)) == 4
+    text = F.when(empty, "[]").otherwise(F.to_json("l"))
+    files = lines.select("image_id", F.encode(text, "UTF-8").alias("content"))
+    at = F.posexplode(F.arrays_zip("r", "g", "b")).alias("_i", "_p")
+    return image_files.decode_with(files, _raw_raster).select("image_id", "ty", "tx", "tw", at).select(
+        F.col("image_id").cast("long").alias("image_id"),
+        (F.col("tx") * TILE + F.pmod("_i", "tw")).alias("x"),
+        (F.col("ty") * TILE + F.floor(F.col("_i") / F.col("tw"))).cast("int").alias("y"),
+        *[F.col(f"_p.{c}").cast("int").alias(c) for c in ("r", "g", "b")],
+    )
+
+
+_TRIANGLE = [[0, 0], [9, 0], [9, 9]]
+
+
+def _line_engine(language: str) -> Callable[[bytes], str]:
+    """An engine as a caller would pass one in: it reads lines off a text and gives up on long ones."""
+
+    def engine(content: bytes) -> str:
+        lines = content.decode().split("\n")
+        if len(lines) > 40:
+            raise TimeoutError
+        return json.dumps({"res": {"rec_texts": lines, "rec_scores": [0.5] * len(lines), "rec_polys": [_TRIANGLE] * len(lines)}})
+
+    return engine
+
+
+def engine_hook(spark: SparkSession, folder: str) -> DataFrame:
+    """Payload rows through the caller's engine, parsed."""
+    files = views.documents(spark, folder).select(
+        F.col("doc_id").alias("image_id"), F.col("lang").alias("language"), F.encode("text", "UTF-8").alias("content")
+    )
+    saved = image_files.recognize_with(files, "local", _line_engine)
+    sized = saved.withColumns({"width": F.lit(640), "height": F.lit(600)})
+    return payloads.parse_local(sized).select(
+        F.col("image_id").cast("long").alias("image_id"), "status", "error_code", F.size("blocks").alias("block_count")
+    )
+
+
 def optimize_requests(spark: SparkSession, folder: str) -> DataFrame:
     return optimize_regions(views.crops(spark, folder), views.images(spark, folder)).select(
         "request_id",
@@ -653,6 +739,11 @@ _ALL: dict[str, Query] = {
     "fit_scale": fit_scale,
     "crop_pixels": crop_pixels,
     "resample": resample_crops,
+    "region_rasters": requested_rasters,
+    "asset_ledger": asset_ledger,
+    "content_sink": content_sink,
+    "decoder_hook": decoder_hook,
+    "engine_hook": engine_hook,
     "optimize_regions": optimize_requests,
     "changed_crops": changed_crops,
     "byte_savings": byte_savings,
