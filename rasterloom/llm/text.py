@@ -100,15 +100,24 @@ def word_bounds(
     return first, np.flatnonzero(ends) + 1, np.searchsorted(offsets, first, "right") - 1
 
 
+class SpanHashes:
+    """64-bit hashes of any spans of some bytes: equal bytes hash alike, wherever they lie."""
+
+    def __init__(self, data: np.ndarray):
+        power, self._inverse = _power(len(data) + 1)
+        self._total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self._total[1:])
+
+    def raw(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Distinct for distinct spans like the hash, but with its information in the low bits."""
+        return (self._total[last] - self._total[first]) * self._inverse[first]
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return mix(self.raw(first, last) + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def hash_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span, wherever it lies."""
-    if not len(first):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    value = (total[last] - total[first]) * inverse[first]
-    return mix(value + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return SpanHashes(data)(first, last) if len(first) else np.zeros(0, np.uint64)
 
 
 def chain(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,15 @@ NASTY = [
 ]
 
 
+def test_a_lost_byte_shows():
+    vocabulary = piece_sampling.Vocabulary(piece_sampling.MODEL, 0.3)
+    texts = pa.array(["one", "two words", None])
+    ids, counts = piece_sampling.encode_batch(texts, np.zeros(3, np.uint64), vocabulary)
+    assert piece_sampling.lossless(texts, ids, counts, vocabulary).all()
+    other = pa.array(["one", "two_words", ""])
+    assert piece_sampling.lossless(other, ids, counts, vocabulary).tolist() == [True, False, True]
+
+
 def encoded(frame):
     return {r["doc_id"]: r for r in piece_sampling.decode(piece_sampling.encode(frame)).collect()}
 
@@ -166,7 +176,7 @@ def test_pieces_decode_to_the_text_and_depend_on_the_row_only(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pieces", F.lit("old"))
     one, two = encoded(frame.coalesce(1)), encoded(frame.repartition(7))
     for doc_id, text in rows:
-        assert one[doc_id]["decoded"] == (text or "")
+        assert one[doc_id]["decoded"] == (text or "") and one[doc_id]["lossless"]
         assert one[doc_id]["pieces"] == two[doc_id]["pieces"]
     other = piece_sampling.encode(frame, seed=2).where("doc_id = 11").first()
     assert other["pieces"] != one[11]["pieces"]
@@ -175,7 +185,7 @@ def test_pieces_decode_to_the_text_and_depend_on_the_row_only(spark):
 
 def test_samples_follow_the_lattice():
     vocabulary = piece_sampling.Vocabulary(piece_sampling.MODEL, 0.3)
-    known = vocabulary.weight
+    known = {vocabulary.bytes[k].decode(): (k, w) for k, w in zip(vocabulary.ids, np.exp(vocabulary.log_weight), strict=True)}
 
     def paths(word):
         if not word:
@@ -190,9 +200,9 @@ def test_samples_follow_the_lattice():
     expected = dict(paths(" there"))
     total = sum(expected.values())
     n = 200_000
-    lattices = piece_sampling.Lattices(vocabulary)
-    ends = np.repeat(lattices.ends(["other", " there"])[1:], n)
-    ids, counts = lattices.sample(ends, piece_sampling.mix(np.arange(n, dtype=np.uint64)))
+    words = np.frombuffer("other there naïve".encode(), np.uint8)
+    lattices = piece_sampling.Lattices(words, np.array([0, 5, 11]), vocabulary)
+    ids, counts = lattices.sample(np.ones(n, np.int64), piece_sampling.mix(np.arange(n, dtype=np.uint64)))
     cuts = np.cumsum(counts)[:-1]
     seen = Counter(tuple(x.tolist()) for x in np.split(ids, cuts))
     assert set(seen) <= set(expected)
