@@ -74,8 +74,7 @@ def parse(html: str | None) -> tuple[list[Block], Counter]:
         return blocks, tokens
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, aside, article
     parts: list[str] = []
-    end = at = 0
-    n = len(html)
+    at, n = 0, len(html)
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
@@ -119,8 +118,8 @@ def parse(html: str | None) -> tuple[list[Block], Counter]:
                 if name in _SCOPES:
                     break
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+            closed = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            at = closed.end() if closed else n
             continue
         if tag in _VOID:
             continue
@@ -209,7 +208,6 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     )
     # A host has at most twice as many such tokens as its mean page, so its classes are few.
     valid = classes.groupBy("host").applyInPandas(_nest, "host long, v1 long, v2 long")
-    # A host whose pages hold nothing but the template has no slot: its pages are copies.
     return (
         wide.join(valid, ["host", "v1", "v2"])
         .where("token <> 0")
