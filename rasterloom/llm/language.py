@@ -25,7 +25,7 @@ SWITCH = 12.0
 #: A language writes in a script that holds this share of its letters.
 SCRIPT_SHARE = 0.01
 SMOOTHING = 0.5
-PIECE = 4 << 20
+PIECE = 2 << 20
 _OUTSIDE = -1e6
 _TOP = 0x32400
 # First code points of runs of scripts; 0: letters of no named script.

@@ -25,7 +25,7 @@ SHARPNESS = 0.3
 SEED = 1
 #: Weight of a character that has no piece and is spelled by its bytes.
 SPELLED = 1e-5
-PIECE = 3 << 20
+PIECE = 2 << 20
 DECODED_ROWS = 1_000
 WORDS = 16_384
 _HINTS = 22

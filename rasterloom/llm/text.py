@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space: blank, tab to carriage return.
 SPACE = np.zeros(256, dtype=bool)
@@ -23,7 +23,6 @@ NO_WORD = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def ascii_lower(text: Column | str) -> Column:
@@ -75,13 +74,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, step in enumerate((_BASE, _INVERSE)):
-            _powers[k] = np.cumprod(np.full(n, step, np.uint64)) * (_INVERSE if k == 0 else _BASE)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def word_bounds(
     data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,9 +96,13 @@ class SpanHashes:
     """64-bit hashes of any spans of some bytes: equal bytes hash alike, wherever they lie."""
 
     def __init__(self, data: np.ndarray):
-        power, self._inverse = _power(len(data) + 1)
-        self._total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self._total[1:])
+        n = len(data)
+        # Made for each piece: a cache would outlive its task in the reused workers.
+        self._inverse = np.cumprod(np.full(n + 1, _INVERSE, np.uint64))
+        self._total = np.zeros(n + 1, np.uint64)
+        power = np.cumprod(np.full(n, _BASE, np.uint64))
+        power *= data.astype(np.uint64) + np.uint64(1)
+        np.cumsum(power, out=self._total[1:])
 
     def raw(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Distinct for distinct spans like the hash, but with its information in the low bits."""
