@@ -124,7 +124,8 @@ def _hits(items: list[tuple[object, str]], kind: str, width: int, threshold: flo
         fields = [("item_id", identity), ("n_shared", pa.int32()), ("n_item", pa.int32())]
         return pa.array(found, pa.list_(pa.struct(fields)))
 
-    return F.arrow_udf(search, struct)
+    # Not to be computed twice, for a filter and for the result.
+    return F.arrow_udf(search, struct).asNondeterministic()
 
 
 def held_items(
