@@ -20,17 +20,16 @@ from pyspark.sql import types as T
 
 from rasterloom.session import written
 
-from .text import UPPER, documents
+from .text import ascii_lower, documents
 
-BLANKS = "[\\x20\\x09-\\x0D]"
+BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
 _STREAMED = "kind int, h1 long, h2 long, doc_id long, body long, pos int"
 _CERTAIN, _PENDING, _OWNER = 0, 1, 2
 
 
 def line_key(line: Column) -> Column:
-    bare = F.regexp_replace(line, f"^{BLANKS}+|{BLANKS}+\\z", "")
-    return F.translate(bare, UPPER, UPPER.lower())
+    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -192,22 +191,20 @@ def line_dedup(
     the empty text. Columns named like the two new ones are replaced.
     """
     bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars).select(
-        F.col("doc_id").alias("_id"),
-        F.col("body").alias("_body"),
-        F.col("n_dropped").alias("_n"),
-        F.col("bitmap").alias("_bitmap"),
+        F.struct("doc_id", "body", "n_dropped", "bitmap").alias("__line_dedup")
     )
+    mark, given = F.col("__line_dedup"), F.col(f"`{text_col}`")
     marked = docs.join(
         bitmaps,
-        (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_body")),
+        (F.col(f"`{id_col}`") == mark["doc_id"]) & (F.xxhash64(given) == mark["body"]),
         "left",
     )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    changed = F.when(F.col("_bitmap").isNull(), text).otherwise(_kept_text(text, F.col("_bitmap")))
+    text = F.coalesce(given, F.lit(""))
+    changed = F.when(mark.isNull(), text).otherwise(_kept_text(text, mark["bitmap"]))
     return marked.withColumns(
         {
             "n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-            "n_dropped": F.coalesce("_n", F.lit(0)).cast("long"),
+            "n_dropped": F.coalesce(mark["n_dropped"], F.lit(0)).cast("long"),
             text_col: changed,
         }
-    ).drop("_id", "_body", "_n", "_bitmap")
+    ).drop("__line_dedup")

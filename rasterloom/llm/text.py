@@ -25,10 +25,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
-def ascii_lower(text: Column | str) -> Column:
-    """The text in lower case, A-Z only; null counts as empty."""
-    column = F.col(text) if isinstance(text, str) else text
-    return F.translate(F.coalesce(column, F.lit("")), UPPER, UPPER.lower())
+def ascii_lower(text: Column) -> Column:
+    """The text in lower case, A-Z only. Where all characters are ASCII the faster ``lower`` does the same."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def remainder(doc_id: str, modulus: int) -> Column:

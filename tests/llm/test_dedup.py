@@ -29,7 +29,8 @@ ROWS = [
 @pytest.fixture(scope="module")
 def docs(spark):
     # Columns that clash with names the operators use.
-    return spark.createDataFrame(ROWS, "doc_id long, text string, h string, keep_id string").repartition(3)
+    frame = spark.createDataFrame(ROWS, "doc_id long, text string, h string, keep_id string").repartition(3)
+    return frame.withColumns({name: F.lit("clash") for name in ("fp", "body", "pos", "n_dropped", "root", "_id")})
 
 
 def lower(text):
