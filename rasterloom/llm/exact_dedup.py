@@ -36,7 +36,8 @@ def exact_dedup(
     ``hashed`` may be any shorter hash: texts that collide are told apart by their bytes.
     """
     best = {"smallest": F.min, "largest": F.max}[keep]
-    rows = documents(docs, id_col, text_col).withColumn("text", ascii_lower("text"))
+    rows = documents(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("text", ascii_lower(F.col("text")))
     rows = rows.withColumn("h", hashed(F.col("text")))
     # The text is part of the key: Spark compares it byte by byte.
     exact = rows.groupBy("h", "text").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n"))
