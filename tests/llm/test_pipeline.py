@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from check_oracles import connect, differences, entry
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rasterloom.llm.queries import ORACLES, QUERIES
@@ -65,6 +67,51 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs):
     assert set(texts(stage("near_duplicates")(spark, docs, FOLDER))) == kept
 
 
+def brute_near_copies(rows, width=5):
+    """The smallest position reachable over pairs that share 0.8 or more of their shingles."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set())
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if root[i] != root[j] and 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_duplicate_stage_finds_all_copies_of_four_fifths(spark):
+    random = np.random.default_rng(4)
+    rows = []
+    for k in range(12):
+        own = [f"w{n}" for n in random.integers(0, 5000, 100 + 20 * k)]
+        for share in (0, 0.01, 0.01, 0.015, 0.02, 0.02, 0.03, 0.05):
+            words = list(own)
+            for at in random.integers(0, len(own), int(share * len(own))):
+                words[at] = f"x{random.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(words)))
+    # A chain: each text is close to its neighbours only.
+    line = [f"c{n}" for n in range(220)]
+    rows += [(len(rows) + k, " ".join(line[12 * k : 12 * k + 120])) for k in (3, 0, 7, 4, 1, 6, 5, 2)]
+    rows += [(9000, None), (9001, " "), (9002, "one Two"), (9003, "one two"), (9004, "one two three"), (9005, "two one")]
+    rows = sorted(rows)
+    expected = {rows[k][0] for k in set(brute_near_copies(rows))}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("lang", "source", "n_chars"):
+        frame = frame.withColumn(name, F.lit(None).cast("long" if name == "n_chars" else "string"))
+    got = texts(stage("near_duplicates")(spark, frame.repartition(3), FOLDER))
+    assert set(got) == expected and len(expected) < len(rows) - 40
+
+
+def test_near_duplicate_stage_on_documents(spark, docs):
+    rows = sorted(texts(docs).items())
+    kept = {rows[k][0] for k in set(brute_near_copies(rows))}
+    assert set(texts(stage("near_duplicates")(spark, docs, FOLDER))) == kept
+
+
 def test_decontamination_stage(spark, docs):
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
     dirty = {r[0] for r in brute_contamination(list(texts(docs).items()), items)}
