@@ -47,9 +47,9 @@ _CLOSES = {
     "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead"),
 }
 _SCOPES = frozenset("ul ol dl table td th div article section body main".split())
-#: Elements, roles, and words of classes and ids that are not the article.
+#: Elements, roles, and whole classes and ids that are not the article; the last also joined with one another or with words of place.
 ASIDE_TAGS = frozenset(
-    "nav footer aside form button select input label menu dialog svg canvas audio video object math search".split()
+    "nav footer aside form button select input label menu dialog svg canvas audio video object search".split()
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 ASIDE_WORDS = frozenset(
@@ -60,6 +60,21 @@ ASIDE_WORDS = frozenset(
 )
 
 
+PLACE_WORDS = frozenset("site page main global primary secondary top bottom left right".split())
+#: What readers write can outweigh the article without being it.
+REPLY_WORDS = frozenset("comment comments disqus reply replies respond discussion".split())
+
+
+def _marks(names: str) -> set[str]:
+    """The aside words of those classes and ids that consist of nothing else but words of place."""
+    out: set[str] = set()
+    for name in names.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        if words <= ASIDE_WORDS | PLACE_WORDS:
+            out |= words & ASIDE_WORDS
+    return out
+
+
 class Block(NamedTuple):
     path: str
     text: str
@@ -67,30 +82,48 @@ class Block(NamedTuple):
 
 
 def parse(html: str | None) -> tuple[list[Block], Counter]:
-    """Text blocks outside of what a page itself marks as not the article, all blocks and elements counted by (path, hash)."""
+    """Text blocks outside of what a page itself marks as not the article, all blocks and elements counted by (path, hash).
+
+    Elements marked by class or id alone are left out only if they do not hold the page's only article or, on pages
+    without one, more than half of its text.
+    """
     tokens: Counter = Counter()
     blocks: list[Block] = []
+    marked: list[tuple[int, ...]] = []  # of each block the elements around it that a class or id marks
+    replies: set[int] = set()
     if not html:
         return blocks, tokens
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, aside, article
-    parts: list[str] = []
-    at, n = 0, len(html)
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, path, aside, article, marked elements
+    parts: list[tuple[str, tuple]] = []  # text and the element around it
+    at, n, opened = 0, len(html), 0
+    page = ("", "", False, False, ())
+
+    def inner() -> tuple:
+        return stack[-1] if stack else page
 
     def flush() -> None:
-        text = " ".join(unescape("".join(parts)).split())
+        # Inline elements that are set aside are blocks of their own; the text around them stays one block.
+        groups: dict[tuple, list[tuple[str, tuple]]] = {}
+        for part in parts:
+            groups.setdefault(part[1][2:], []).append(part)
         parts.clear()
-        if text:
-            _, path, aside, article = stack[-1] if stack else ("", "", False, False)
-            tokens[path, xxhash.xxh64_intdigest(text.encode()) >> 1] += 1
-            if not aside:
-                blocks.append(Block(path, text, article))
+        top = inner()
+        for state, found in groups.items():
+            text = " ".join(unescape("".join(p[0] for p in found)).split())
+            if text:
+                path = (top if state == top[2:] else found[0][1])[1]
+                aside, article, marks = state
+                tokens[path, xxhash.xxh64_intdigest(text.encode()) >> 1] += 1
+                if not aside:
+                    blocks.append(Block(path, text, article))
+                    marked.append(marks)
 
     while at < n:
         found = _TOKEN.search(html, at)
         if found is None:
-            parts.append(html[at:])
+            parts.append((html[at:], inner()))
             break
-        parts.append(html[at : found.start()])
+        parts.append((html[at : found.start()], inner()))
         at = found.end()
         tag = found[2]
         if tag is None:
@@ -105,7 +138,7 @@ def parse(html: str | None) -> tuple[list[Block], Counter]:
                     break
             continue
         if tag == "br":
-            parts.append(" ")
+            parts.append((" ", inner()))
             continue
         if tag in _BLOCKS:
             flush()
@@ -123,14 +156,18 @@ def parse(html: str | None) -> tuple[list[Block], Counter]:
             continue
         if tag in _VOID:
             continue
-        _, above, aside, article = stack[-1] if stack else ("", "", False, False)
+        _, above, aside, article, marks = inner()
         name, label = tag, ""
         if found[3].strip():
             known = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(found[3])}
             label = known.get("class", "")
-            marks = {w.lower() for w in _WORD.findall(f"{label} {known.get('id', '')}")}
+            words = _marks(f"{label} {known.get('id', '')}")
             role = known.get("role", "").lower()
-            aside |= bool(marks & ASIDE_WORDS) and tag not in ("html", "body", "main")
+            if words and tag not in ("html", "body", "main"):
+                opened += 1
+                marks = (*marks, opened)
+                if words & REPLY_WORDS:
+                    replies.add(opened)
             aside |= role in ASIDE_ROLES or "hidden" in found[3].lower().split() or known.get("aria-hidden") == "true"
             article |= role == "main" or known.get("itemprop") == "articleBody"
             name = f"{tag}.{label.split()[0]}" if label.split() else tag
@@ -138,13 +175,28 @@ def parse(html: str | None) -> tuple[list[Block], Counter]:
         article |= tag in ("article", "main")
         path = f"{above}/{name}"
         tokens[path, 0] += 1
-        stack.append((tag, path, aside, article))
+        stack.append((tag, path, aside, article, marks))
         if found[3].endswith("/") and tag == "svg":
             stack.pop()
     flush()
-    if any(b.article for b in blocks):
-        blocks = [b for b in blocks if b.article]
-    return blocks, tokens
+    return _unmarked(blocks, marked, replies), tokens
+
+
+def _unmarked(blocks: list[Block], marked: list[tuple[int, ...]], replies: set[int]) -> list[Block]:
+    """The blocks of the article, else of the page, outside of marked elements that may be set aside."""
+    pairs = list(zip(blocks, marked, strict=True))
+    inside = [(b, m) for b, m in pairs if b.article]
+    pairs = inside or pairs
+    if not any(m for _, m in pairs):
+        return [b for b, _ in pairs]
+    sizes: Counter = Counter()
+    for b, m in pairs:
+        sizes.update(dict.fromkeys(m, len(b.text)))
+    half = sum(len(b.text) for b, _ in pairs) / 2
+    kept = {k for k, size in sizes.items() if size > half and k not in replies}
+    found = [b for b, m in pairs if kept.issuperset(m)]
+    # Where all is marked, the outermost mark is a wrapper's.
+    return found or _unmarked([b for b, _ in pairs], [m[1:] for _, m in pairs], replies)
 
 
 def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:

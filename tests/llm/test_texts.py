@@ -105,6 +105,31 @@ def test_page_without_template(spark):
     assert html_template.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def own_text(html):
+    return [b.text for b in html_template.parse(html)[0]]
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['<div class="layout with-sidebar">', '<div id="content" class="no-comments">', "<div class=sidebar>", "<div id=comments>"],
+)
+@pytest.mark.parametrize("tag", ["article", 'article class="post comments-open"', "div class=text"])
+def test_a_class_of_the_wrapper_does_not_hide_the_article(wrapper, tag):
+    end = tag.split()[0]
+    html = f"<body>{wrapper}<{tag}><p>The text of it<p>Goes on</{end}></div><footer>(c)</footer></body>"
+    assert own_text(html) == ["The text of it", "Goes on"]
+
+
+def test_marked_elements_beside_the_article_are_left_out():
+    html = (
+        "<article><p>Body of a <math><mtable><tr><td>x</td></tr></mtable></math><p>Text <span class=share>Share it</span> goes on"
+        "<div><button>Share</button></div><div class='comments'><article><p>Nice and much longer than all of the text</article>"
+        "</div></article><article class=comment>No</article>"
+    )
+    assert own_text(html) == ["Body of a", "x", "Text goes on"]
+    assert own_text("<div class='site-footer'>Foot</div><p>Short text<div id=comments><p>A long, long comment</div>") == ["Short text"]
+
+
 def brute_base(text):
     """The patterns as the contract has them; failing matches are dropped afterwards."""
     keys = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])"
