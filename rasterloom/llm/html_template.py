@@ -3,8 +3,8 @@
 A token is a text block or an element at its path of tags. Its occurrence vector says how often each page of
 the host holds it; tokens of equal vectors form an equivalence class. Vectors are compared by their sums of hashes over
 the pages, so no host is ever collected: rows are folded before they move. Classes of enough tokens and pages whose paths nest
-in one another form the host's template; blocks of the template fall out of its pages, the remaining slots are the text. What a
-single page tells (navigation, forms, adverts, comments by tag, role or class) is left out in the same pass.
+in one another form the host's template; blocks of the template fall out of its pages, the remaining slots are the text. Equal
+pages count once, and blocks inside an article never are template text. What a single page tells (navigation, forms, adverts, comments by tag, role or class) is left out in the same pass.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from rasterloom.session import written
 from .text import documents, pieces
 
 MIN_TOKENS, MIN_PAGES, MIN_SHARE = 3, 3, 0.5
-#: Blocks inside an article are template text only if nearly all pages of a larger host have them.
-ARTICLE_PAGES, ARTICLE_SHARE = 8, 0.9
+#: Elements around everything: they belong to no class and give no scope.
+_ROOTS = ("/html", "/body", "/html/body", "/html/head")
 #: Template blocks that may be sent to every executor; beyond, pages and templates are joined by host.
 BROADCAST_BLOCKS = 200_000
 
@@ -227,7 +227,9 @@ def _nest(classes: pd.DataFrame) -> pd.DataFrame:
     chosen = []
     ordered = classes.sort_values(["pages", "size", "v1"], ascending=[False, False, True])
     for row in ordered.itertuples(index=False):
-        scope = commonprefix([row.low, row.high]).rpartition("/")[0]
+        # Of whole names: /a/b lies inside /a, not inside /a/bc.
+        names = commonprefix([row.low.split("/"), row.high.split("/")])
+        scope = "/".join([*names[: min(len(names), row.low.count("/"))], ""])
         if not kept or any(scope.startswith(k) for k in kept):
             kept.append(scope)
             chosen.append((row.host, row.v1, row.v2))
@@ -237,11 +239,13 @@ def _nest(classes: pd.DataFrame) -> pd.DataFrame:
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``host, path, token, pages, share``: the text blocks of each host's template (host and token as hashes)."""
     rows = _rows(pages, id_col, url_col, html_col).select("host", "text")
+    # Copies of a page do not vote; their hashes are compared, not their texts.
     seen = rows.mapInArrow(_tokens, "host long, path string, token long, page long, times int")
     mark = F.xxhash64("page", "times")
     # Two 32-bit sums tell occurrence vectors apart and cannot overflow.
     vectors = written(
-        seen.groupBy("host", "path", "token")
+        seen.distinct()
+        .groupBy("host", "path", "token")
         .agg(
             F.count("*").alias("pages"),
             F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("v1"),
@@ -254,7 +258,8 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     hosts = vectors.groupBy("host").agg(F.max("pages").alias("host_pages"))
     wide = vectors.join(hosts, "host").where(F.col("pages") >= MIN_SHARE * F.col("host_pages"))
     classes = (
-        wide.groupBy("host", "v1", "v2", "pages")
+        wide.where(~F.col("path").isin(*_ROOTS))
+        .groupBy("host", "v1", "v2", "pages")
         .agg(F.count("*").alias("size"), F.min("path").alias("low"), F.max("path").alias("high"))
         .where(F.col("size") >= MIN_TOKENS)
     )
@@ -272,12 +277,12 @@ def extract(
 ) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row: blocks of the main text in page order, joined by a blank line.
 
-    Null and empty pages have the empty text. Null urls count as one host. Repeated rows come back once each. Pages
-    that consist of template blocks alone (copies of each other) keep their blocks. Empty tables give none.
+    Null and empty pages have the empty text, and so have pages of template blocks alone. Null urls count as one host.
+    Repeated rows come back once each. Empty tables give none.
     """
     found = written(templates(pages, id_col, url_col, html_col), "page-templates")
     blocks = found.groupBy("host").agg(
-        F.collect_list(F.struct("path", "token", "pages", "share")).alias("template")
+        F.collect_list(F.struct("path", "token")).alias("template")
     )
     if found.count() <= BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
@@ -286,27 +291,20 @@ def extract(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
             texts = []
-            known: dict[int, tuple[set, set]] = {}
+            known: dict[int, set] = {}
             hosts = part.column("host").to_pylist()
             for k, html in enumerate(part.column("text").to_pylist()):
                 if hosts[k] not in known:
                     rows = part.column("template")[k].as_py() or []
-                    known[hosts[k]] = (
-                        {(r["path"], r["token"]) for r in rows},
-                        {
-                            (r["path"], r["token"])
-                            for r in rows
-                            if r["pages"] >= ARTICLE_PAGES and r["share"] >= ARTICLE_SHARE
-                        },
-                    )
-                outside, inside = known[hosts[k]]
+                    known[hosts[k]] = {(r["path"], r["token"]) for r in rows}
+                outside = known[hosts[k]]
                 held, _ = parse(html)
                 slots = [
                     b.text
                     for b in held
-                    if (b.path, xxhash.xxh64_intdigest(b.text.encode()) >> 1) not in (inside if b.article else outside)
+                    if b.article or (b.path, xxhash.xxh64_intdigest(b.text.encode()) >> 1) not in outside
                 ]
-                texts.append("\n\n".join(slots or [b.text for b in held]))
+                texts.append("\n\n".join(slots))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("url"), pa.array(texts, pa.string())], names=[id_col, "url", "text"]
             )

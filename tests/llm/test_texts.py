@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,32 @@ def test_marked_elements_beside_the_article_are_left_out():
     assert own_text("<div class='site-footer'>Foot</div><p>Short text<div id=comments><p>A long, long comment</div>") == ["Short text"]
 
 
+def extracted(spark, rows):
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {r["page_id"]: r["text"] for r in html_template.extract(frame).collect()}
+
+
+def test_copies_of_pages_and_articles_do_not_vote(spark):
+    rows = []
+    for k in range(12):  # the article is on each page of a host, whatever their number
+        rows.append((k, *page("d.example.org", k, f"<article><p>Same<p>words<p>everywhere</article><div>Seen {k}</div>")))
+    for k in range(20):  # 12 copies of one page beside 8 others
+        own = "<p>Often<p>copied<p>article" if k < 12 else f"<p>Article {k}"
+        rows.append((100 + k, *page("e.example.org", k, own)))
+    rows += [(200 + k, *page("f.example.org", k, f"<p>Page {k}" if k else "<p> ")) for k in range(5)]
+    got = extracted(spark, rows)
+    assert {got[k] for k in range(12)} == {"Same\n\nwords\n\neverywhere"}
+    assert {got[k] for k in range(100, 112)} == {"Often\n\ncopied\n\narticle"} and got[115] == "Article 15"
+    assert got[200] == "" and got[203] == "Page 3"
+
+
+def test_classes_outside_of_the_scope_of_wider_ones_are_no_template():
+    rows = [("h", 1, 1, 9, 4, "/html/body/div.x/p", "/html/body/div.x/ul"), ("h", 2, 2, 6, 3, "/html/body/div.x/p", "/html/body/div.x/p/b")]
+    rows.append(("h", 3, 3, 5, 3, "/html/body/div.xy/p", "/html/body/div.xy/p/b"))
+    classes = pd.DataFrame(rows, columns=["host", "v1", "v2", "pages", "size", "low", "high"])
+    assert html_template._nest(classes)["v1"].tolist() == [1, 2]
+
+
 def brute_base(text):
     """The patterns as the contract has them; failing matches are dropped afterwards."""
     keys = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])"
