@@ -14,9 +14,11 @@ from . import (
     katz,
     language,
     line_dedup,
+    periodic_runs,
     piece_sampling,
     secret_scan,
     simhash,
+    token_alignment,
     toxicity,
 )
 from .text import remainder
@@ -113,6 +115,46 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The documents; in every tenth by crc32 of its id the words from a place on repeat the first few of them. Null ids stay."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", h.alias("h"), g.alias("g")).withColumn(
+        "w", F.when((F.col("h") % 10 == 0), words)
+    )
+    n = F.size("w")
+    at = chosen.withColumn("n", n).withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    period = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    again = F.transform(
+        F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.get("w", F.col("a") + (i - F.col("a")) % F.col("p"))
+    )
+    changed = F.array_join(F.concat(F.slice("w", 1, F.col("a")), again), " ")
+    return at.withColumn("p", period).select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_repeats(_table(spark, folder, "documents")))
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    )
+    row = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed", best.alias("b")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("b.s")).alias("start"),
+        F.col("b.length").alias("length"),
+        (-F.col("b.p")).alias("period"),
+        F.floor(1000 * F.col("b.length") / -F.col("b.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(row, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.link_counts(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -124,6 +166,8 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_katz": op9_katz,
     "op10_simhash": op10_simhash,
+    "op12_runs": op12_runs,
+    "op13_alignment": op13_alignment,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
