@@ -14,6 +14,7 @@ from . import (
     katz,
     language,
     line_dedup,
+    ngram_join,
     periodic_runs,
     piece_sampling,
     secret_scan,
@@ -115,6 +116,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """The documents; in every tenth by crc32 of its id the words from a place on repeat the first few of them. Null ids stay."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -166,6 +171,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_katz": op9_katz,
     "op10_simhash": op10_simhash,
+    "op11_ngram_join": op11_ngram_join,
     "op12_runs": op12_runs,
     "op13_alignment": op13_alignment,
 }
