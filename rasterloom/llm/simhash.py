@@ -5,6 +5,9 @@ of tiles meets only if their counts differ by no more than the radius, since a b
 count by one. Inside a pair of tiles the same bound on the counts of the four 16-bit words skips blocks, the
 rest is exclusive-or and bit count over numpy arrays. A pair of tiles returns a spanning forest of its
 links, never the links themselves, and the forests are contracted by star rounds.
+
+``near_copies`` uses the same comparison as a first step: fingerprints of 128 bits over distinct shingles, with a radius wide enough
+for a given Jaccard similarity, propose components of documents, inside which the shingle sets themselves decide.
 """
 
 from __future__ import annotations
@@ -20,11 +23,18 @@ from pyspark.sql import functions as F
 from rasterloom.operators.components import contract
 from rasterloom.session import written
 
-from .text import documents, pieces
+from .shingles import set_keys, shingle_sets, verified
+from .text import documents, mix, pieces
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
+#: Of near copies: words of a shingle, shared shingles of all shingles, and the radii of the first and of both 64-bit words. At a
+#: similarity of 0.8 two fingerprints differ in 19.4 of 128 bits, give or take 4.1: of such pairs 0.1 % lie beyond the radii, of closer
+#: ones fewer. Unrelated texts lie within them with a probability of 1e-8.
+COPY_SHINGLE, COPY_SIMILAR, COPY_RADII = 5, (4, 5), (22, 32)
+#: Classes in a tile of near copies.
+LEAST_WIDE, MOST_WIDE = 1 << 15, 1 << 20
 #: Fingerprints in a tile: the distinct ones spread over TILES tiles, between these sizes.
 TILES, LEAST_TILE, MOST_TILE = 64, 1 << 13, 1 << 20
 _BLOCK = 128
@@ -188,3 +198,166 @@ def near_duplicates(
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = written(rooted.join(named, "root").select("fp", "component_id"), "fp-components")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def set_fingerprints(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit words for each set of distinct shingles: the majority of the bits of two hashes of each shingle."""
+    sizes = np.diff(cuts)
+    out = []
+    for values in (hashes, mix(hashes + np.uint64(1))):
+        found = np.zeros(len(sizes), np.uint64)
+        full = np.flatnonzero(sizes)
+        for bit in range(64 if len(full) else 0):
+            ones = np.add.reduceat(((values >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), cuts[full])
+            found[full] |= (2 * ones > sizes[full]).astype(np.uint64) << np.uint64(bit)
+        out.append(found)
+    return out[0], out[1]
+
+
+def wide_tile_links(
+    one: np.ndarray, two: np.ndarray | None, radii: tuple[int, int], similar: tuple[int, int]
+) -> np.ndarray:
+    """A spanning forest, as pairs of keys, of the links between two tiles, or inside one.
+
+    A tile has rows of two words, a key and a size. Rows come by size: a block meets the stretch of rows whose sizes allow a link.
+    """
+    part, of = similar
+    one = one[np.argsort(one[:, 3], kind="stable")]
+    other = one if two is None else two[np.argsort(two[:, 3], kind="stable")]
+    every = one if two is None else np.concatenate([one, other])
+    shift = 0 if two is None else len(one)
+    label = np.arange(len(every))
+    used: list[tuple[int, int]] = []
+    f1, f2, sizes = (np.ascontiguousarray(every[:, k]) for k in (0, 1, 3))
+    theirs = sizes[shift:]
+    for at in range(0, len(one), _BLOCK // 2):
+        a1 = f1[at : min(len(one), at + _BLOCK // 2), None]
+        least, most = int(sizes[at]), int(sizes[at + len(a1) - 1])
+        begin = int(np.searchsorted(theirs, np.uint64(-(-part * least // of))))
+        end = int(np.searchsorted(theirs, np.uint64(of * most // part), "right"))
+        for low in range(max(begin, at) if two is None else begin, end, 8 * _BLOCK):
+            high = min(end, low + 8 * _BLOCK) + shift
+            u, v = np.nonzero(np.bitwise_count(a1 ^ f1[None, low + shift : high]) <= radii[0])
+            u, v = u + at, v + low + shift
+            near = np.bitwise_count(f1[u] ^ f1[v]) + np.bitwise_count(f2[u] ^ f2[v]) <= radii[1]
+            near &= u != v
+            if near.any():
+                used += _join_labels(label, u[near], v[near])
+    return every[:, 2][np.array(used, dtype=np.int64).reshape(-1, 2)]
+
+
+def wide_links(classes: DataFrame, radii: tuple[int, int], similar: tuple[int, int]) -> DataFrame:
+    """``pair_id, u, v`` (u > v): forests over the keys of ``classes`` (``key, f1, f2, n``) within the radii, of like sizes."""
+    weighted = classes.select("key", "f1", "f2", "n", (F.bit_count("f1") + F.bit_count("f2")).alias("p"))
+    counts = {r["p"]: r["count"] for r in weighted.groupBy("p").count().collect()}  # 129 rows at most
+    size = min(MOST_WIDE, max(LEAST_WIDE, -(-sum(counts.values()) // TILES)))
+    # Neighbouring population counts share a tile until it is full; a count of more rows has several.
+    ranges: list[list[int]] = []  # least and greatest count, rows
+    for p, n in sorted(counts.items()):
+        if ranges and ranges[-1][2] + n <= size:
+            ranges[-1][1:] = [p, ranges[-1][2] + n]
+        else:
+            ranges.append([p, p, n])
+    slots = [-(-n // size) for _, _, n in ranges]
+    reach = [max(j for j in range(i, len(ranges)) if ranges[j][0] - high <= radii[1]) for i, (_, high, _) in enumerate(ranges)]
+    of = [(p, i, slots[i], reach[i]) for i, (low, high, _) in enumerate(ranges) for p in range(low, high + 1)]
+    per_count = classes.sparkSession.createDataFrame(of or [(-1, 0, 1, 0)], "p int, r int, m int, reach int")
+    spread = weighted.join(F.broadcast(per_count), "p").withColumn(
+        "s", F.pmod(F.xxhash64("key"), F.col("m")).cast("int")
+    )
+    rows = F.collect_list(F.array("f1", "f2", "key", "n"))
+    tiles = written(spread.groupBy("r", "s", "reach").agg(F.flatten(rows).alias("fps")), "wide-tiles")
+    left = tiles.select(F.col("r").alias("r1"), F.col("s").alias("s1"), F.explode(F.sequence("r", "reach")).alias("r"))
+    pairs = left.join(tiles.select("r", "s"), "r").where("r > r1 OR s >= s1")
+    number = sum(slots[i] * slots[j] for i in range(len(ranges)) for j in range(i, reach[i] + 1))
+    one = tiles.select(F.col("r").alias("r1"), F.col("s").alias("s1"), F.col("fps").alias("one"))
+    both = pairs.join(one, ["r1", "s1"]).join(tiles.select("r", "s", F.col("fps").alias("two")), ["r", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r1, s1, r, s = (batch.column(c)[k].as_py() for c in ("r1", "s1", "r", "s"))
+                a, b = (
+                    batch.column(c)[k].values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 4)
+                    for c in ("one", "two")
+                )
+                found = wide_tile_links(a, None if (r1, s1) == (r, s) else b, radii, similar).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], names=["u", "v"]
+                )
+
+    dealt = both.repartition(max(1, min(4096, number)), "r1", "s1", "r", "s")
+    links = dealt.select("r1", "s1", "r", "s", "one", "two").mapInArrow(run, "u long, v long")
+    return links.distinct().select(F.lit(0).alias("pair_id"), "u", "v")
+
+
+def _set_prints(rows: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            hashes, cuts = shingle_sets(part.column("text"), width)
+            numbers = [set_keys(hashes, cuts), *set_fingerprints(hashes, cuts), np.diff(cuts)]
+            columns = [pa.array(x.view(np.int64)) for x in numbers]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "key", "f1", "f2", "n"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, f1 long, f2 long, n long")
+
+
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = COPY_SHINGLE,
+    similar: tuple[int, int] = COPY_SIMILAR,
+    radii: tuple[int, int] = COPY_RADII,
+) -> DataFrame:
+    """``doc_id, key, root, component_id`` of every row: hash of its shingle set, of its component, and the smallest id reachable over
+    links, which are pairs of near fingerprints that share at least the fraction ``similar`` of their shingles.
+
+    Null and texts without words have one empty set and are copies of each other. Null ids take part, but never name a
+    component unless it has no other id (then null). Repeated rows come back once each. Empty tables give none.
+    """
+    rows = documents(docs, id_col, text_col)
+    prints = written(_set_prints(rows, width), "set-prints")
+    classes = prints.groupBy("key").agg(
+        F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("f1", "f2", "n")]
+    )
+    classes = written(classes, "set-classes")
+    links = wide_links(classes.where("n > 0"), radii, similar)
+    components = verified(rows, classes, links, width, similar, "copies")
+    return prints.select("doc_id", "key").join(components, "key")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = COPY_SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component one row stays, that of the smallest id (null is greater than any),
+    then of the smallest set hash, then of the smallest row.
+
+    Rows are judged by id and text, so rows of one id with different texts stay or go each on its own.
+    """
+    found = near_copies(docs, id_col, text_col, width)
+    rows = found.groupBy("doc_id", "key", "root").agg(F.count("*").alias("c"))
+    rows = written(rows, "copy-rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("b"))
+    marked = rows.join(best, "root").withColumn(
+        "stays", F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("key") == F.col("b.key"))
+    )
+    # Few rows go, and fewer still stay but come several times; the others are not looked up by text.
+    marks = marked.where("not stays OR c > 1").select(F.col("doc_id").alias("_of"), F.col("key").alias("_key"), "stays")
+    marks = written(marks, "copy-marks")
+
+    @F.arrow_udf("long")
+    def key_of(texts: pa.Array) -> pa.Array:
+        return pa.array(set_keys(*shingle_sets(texts, width)).view(np.int64))
+
+    def kept(state: DataFrame, how: str) -> DataFrame:
+        keyed = docs.withColumn("_key_of", key_of(F.col(f"`{text_col}`")))
+        same = F.col(f"`{id_col}`").eqNullSafe(F.col("_of")) & (F.col("_key_of") == F.col("_key"))
+        return keyed.join(state.select("_of", "_key"), same, how)
+
+    out = kept(marks, "left_anti").drop("_key_of")
+    again = marks.where("stays")
+    if again.isEmpty():
+        return out
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept(again, "left_semi").groupBy(F.col(f"`{id_col}`").alias("_i"), "_key_of").agg(F.min(row).alias("_row"))
+    return out.unionByName(once.select("_row.*"))
