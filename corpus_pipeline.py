@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import decontaminate, language, line_dedup, near_copies, piece_sampling
+from rasterloom.llm import decontaminate, language, line_dedup, piece_sampling, simhash
 from rasterloom.session import fresh_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,9 +30,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, linked by 0.8 or more of their five-word shingles, the smallest id stays."""
-    groups = near_copies.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates one row stays, that of the smallest id. Near fingerprints propose links, and texts that share
+    0.8 or more of their five-word shingles are linked. Rows of one id with different texts are judged apart; null ids count as
+    greatest; of repeated rows one stays."""
+    return simhash.drop_near_copies(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
