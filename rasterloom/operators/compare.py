@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import pixels as px
 from ..functions.errors import capped_warnings, present
 from ..functions.gates import compare_param_errors
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..settings import (
     MAX_COMPONENTS,
     MAX_REGIONS,
@@ -19,10 +19,11 @@ from ..settings import (
     TILE,
 )
 from .components import label_components
-from .pixelwise import measure_tiles, paint_tiles
+from .digests import CHANNELS, POSITION, differing_tiles, tile_digests
+from .key_filter import only_keys
+from .pixelwise import grey_tiles, measure_tiles, paint_tiles
 from .spread import ROWS_PER_SLOT, hot_keys, spread_join
 
-CHANNELS = ("r", "g", "b")
 TOTALS = (
     "pair_id",
     "before_width",
@@ -79,47 +80,32 @@ def gated_pairs(pairs: DataFrame, images: DataFrame) -> DataFrame:
 def align_tiles(
     tiles: DataFrame, pairs: DataFrame, rows_per_slot: int = ROWS_PER_SLOT
 ) -> DataFrame:
-    """Both rasters of every pair on one canvas: a full outer join on the tile position.
+    """The tiles of every pair that differ, both sides on one canvas, found by digests.
 
-    Both sides share the table of hot images, so they also share one shuffle of the tiles.
+    Only tiles that lie in both images and differ bring their pixels; others are tested against a filter of those where they
+    are read, before any exchange. A tile in one image alone has null channels on both sides.
     """
-    used = pairs.select(F.explode(F.array("before_id", "after_id")).alias("image_id"))
-    hot = hot_keys(used, ["image_id"], rows_per_slot)
-
-    def side(name: str) -> DataFrame:
-        wanted = pairs.select("pair_id", "threshold", F.col(f"{name}_id").alias("image_id"))
-        placed = spread_join(wanted, tiles, ["image_id"], F.col("pair_id"), hot)
-        return placed.select(
-            "pair_id",
-            "ty",
-            "tx",
-            F.col("threshold").alias(f"{name}_threshold"),
-            *[F.col(c).alias(f"{name}_{c}") for c in ("tw", "th", *CHANNELS)],
+    digests = written(tile_digests(tiles), "tile-digests")
+    found = differing_tiles(digests, pairs, rows_per_slot)
+    asked = pairs.select("pair_id", "threshold", "before_id", "after_id")
+    found = written(found.join(asked, "pair_id"), "differing-tiles")
+    met = F.col("before_tw").isNotNull() & F.col("after_tw").isNotNull()
+    both = found.where(met)
+    for name in ("before", "after"):
+        key = [f"{name}_id", *POSITION]
+        side = tiles.select(
+            F.col("image_id").alias(f"{name}_id"), *POSITION, *[F.col(c).alias(f"{name}_{c}") for c in CHANNELS]
         )
-
-    return (
-        side("before")
-        .join(side("after"), ["pair_id", "ty", "tx"], "full_outer")
-        .withColumn("threshold", F.coalesce("before_threshold", "after_threshold"))
-        .drop("before_threshold", "after_threshold")
-    )
+        keys = found.where(met).select(*key)
+        hot = hot_keys(keys, key, rows_per_slot)
+        both = spread_join(both, only_keys(side, keys, key), key, F.col("pair_id"), hot)
+    channels = [f"{name}_{c}" for name in ("before", "after") for c in CHANNELS]
+    lone = found.where(~met).select("*", *[F.lit(None).cast("array<smallint>").alias(c) for c in channels])
+    return both.unionByName(lone).drop("before_id", "after_id")
 
 
 def tile_stats(aligned: DataFrame) -> DataFrame:
-    """Changed count, bounds of the changed pixels and channel sum per tile that differs at all.
-
-    Tiles with equal pixels are dropped by Spark; only the others travel to the pixel arithmetic,
-    and those that lie in one image alone travel without their pixels.
-    """
-    both = F.col("before_tw").isNotNull() & F.col("after_tw").isNotNull()
-    same = both
-    for name in ("tw", "th", *CHANNELS):
-        same = same & (F.col(f"before_{name}") == F.col(f"after_{name}"))
-    # A missing side is not the same.
-    different = aligned.where(~F.coalesce(same, F.lit(False)))
-    slim = different.withColumns(
-        {f"{s}_{c}": F.when(both, F.col(f"{s}_{c}")) for s in ("before", "after") for c in CHANNELS}
-    )
+    """Changed count, bounds of the changed pixels and channel sum per tile that differs at all."""
     schema = T.StructType(
         [
             aligned.schema["pair_id"],
@@ -130,7 +116,7 @@ def tile_stats(aligned: DataFrame) -> DataFrame:
             T.StructField("channel_sum", T.LongType()),
         ]
     )
-    measured = slim.mapInArrow(measure_tiles(TILE), schema)
+    measured = aligned.mapInArrow(measure_tiles(TILE), schema)
     return measured.where((F.col("n") > 0) | (F.col("channel_sum") > 0))
 
 
@@ -279,16 +265,13 @@ def diff_raster(
 ) -> DataFrame:
     """Diff tiles on the bounding canvas: grey after-image, changed positions red, corners black.
 
-    Only pairs that ask for a diff and changed at all get one, so the pixel work of the raster runs
-    for these pairs alone.
+    Only pairs that ask for a diff and changed at all get one. Tiles that differ are measured and painted in one pass;
+    the others are the grey after-image alone.
     """
-    asked = pairs.where("include_diff")
-    totals = compare_totals(tiles, images, asked, rows_per_slot)
-    drawn = pair_dims(asked, images).join(
-        totals.where("changed_pixels > 0").select("pair_id"), "pair_id", "left_semi"
-    )
-    canvas = drawn.select(
+    asked = pair_dims(pairs.where("include_diff"), images).where("union_area IS NOT NULL")
+    canvas = asked.select(
         "pair_id",
+        "after_id",
         F.greatest("before_width", "after_width").alias("canvas_width"),
         F.greatest("before_height", "after_height").alias("canvas_height"),
         "before_width",
@@ -297,20 +280,26 @@ def diff_raster(
         "after_height",
     )
     size = canvas.select("pair_id", "canvas_width", "canvas_height")
-    aligned = align_tiles(tiles, drawn, rows_per_slot).join(size, "pair_id")
     shape = (
         F.least(F.lit(TILE), F.col("canvas_width") - F.col("tx") * TILE).alias("tw"),
         F.least(F.lit(TILE), F.col("canvas_height") - F.col("ty") * TILE).alias("th"),
     )
     channel = T.ArrayType(T.ShortType())
-    schema = T.StructType(
-        [
-            aligned.schema["pair_id"],
-            *[T.StructField(c, T.IntegerType()) for c in ("ty", "tx", "tw", "th")],
-            *[T.StructField(c, channel) for c in CHANNELS],
-        ]
+    aligned = align_tiles(tiles, asked, rows_per_slot).join(size, "pair_id").select("*", *shape)
+    head = [aligned.schema["pair_id"], *[T.StructField(c, T.IntegerType()) for c in ("ty", "tx", "tw", "th")]]
+    planes = [T.StructField(c, channel) for c in CHANNELS]
+    painted = aligned.mapInArrow(paint_tiles, T.StructType([*head, *planes, T.StructField("n", T.LongType())]))
+    painted = written(painted, "painted-tiles")
+    changed = painted.groupBy("pair_id").agg(F.sum("n").alias("n")).where("n > 0").select("pair_id")
+    canvas = written(canvas.join(changed, "pair_id", "left_semi"), "drawn-pairs")
+    coloured = painted.drop("n").join(changed, "pair_id", "left_semi")
+
+    drawn = canvas.select("pair_id", F.col("after_id").alias("image_id"))
+    hot = hot_keys(drawn, ["image_id"], rows_per_slot)
+    rest = spread_join(drawn, tiles, ["image_id"], F.col("pair_id"), hot).join(
+        painted.select("pair_id", *POSITION), ["pair_id", *POSITION], "left_anti"
     )
-    coloured = aligned.select("*", *shape).mapInArrow(paint_tiles, schema)
+    rest = rest.select("pair_id", *POSITION, "tw", "th", *CHANNELS).mapInArrow(grey_tiles, T.StructType([*head, *planes]))
     none = F.lit(0).cast("short")
     rows = F.sequence(F.lit(0), F.floor((F.col("canvas_height") - 1) / TILE).cast("int"))
     cols = F.sequence(F.lit(0), F.floor((F.col("canvas_width") - 1) / TILE).cast("int"))
@@ -326,4 +315,4 @@ def diff_raster(
         .select("pair_id", "ty", "tx", *shape)
         .select("*", black.alias("r"), black.alias("g"), black.alias("b"))
     )
-    return coloured.unionByName(corners)
+    return coloured.unionByName(rest).unionByName(corners)

@@ -104,20 +104,24 @@ def luma(raster: np.ndarray) -> np.ndarray:
 
 
 def paint_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Diff tiles of size ``(th, tw)``: grey after-image, changed positions red, the rest black."""
+    """Diff tiles of size ``(th, tw)``: grey after-image, changed positions red, the rest black; and how many changed.
+
+    Where one image has no such tile, all of the other's positions are changed, so no pixel is read.
+    """
     for batch in batches:
         canvas = np.stack([_numbers(batch, name) for name in ("th", "tw")], axis=1)
-        order, planes = [], [[], [], []]
+        order, planes, counts = [], [[], [], []], []
         for rows, shape in _geometries(batch):
             sizes, which = np.unique(canvas[rows], axis=0, return_inverse=True)
             for number, size in enumerate(sizes):
                 some = rows[which.ravel() == number]
                 mask, _ = _changed(batch, some, shape, (int(size[0]), int(size[1])))
                 grey = np.zeros(mask.shape, np.int16)
-                if shape[2]:
+                if shape[0] and shape[2]:
                     after = _stack(batch, "after", some, shape[2], shape[3])
                     grey[:, : shape[2], : shape[3]] = luma(after)
                 order.append(some)
+                counts.append(mask.sum(axis=(1, 2), dtype=np.int64))
                 planes[0].append(np.where(mask, 255, grey).astype(np.int16).ravel())
                 for i in (1, 2):
                     planes[i].append(np.where(mask, 0, grey).astype(np.int16).ravel())
@@ -129,5 +133,17 @@ def paint_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = [batch.column(c).take(pa.array(picked)) for c in ("pair_id", "ty", "tx", "tw", "th")]
         lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(p))) for p in planes]
         yield pa.RecordBatch.from_arrays(
-            [*head, *lists], names=["pair_id", "ty", "tx", "tw", "th", *CHANNELS]
+            [*head, *lists, pa.array(np.concatenate(counts))],
+            names=["pair_id", "ty", "tx", "tw", "th", *CHANNELS, "n"],
         )
+
+
+def grey_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same tiles in grey."""
+    for batch in batches:
+        channels = [batch.column(c) for c in CHANNELS]
+        flat = np.stack([c.flatten().to_numpy(zero_copy_only=False) for c in channels])[None]
+        ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(channels[0]).to_numpy())])
+        grey = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(luma(flat)[0].astype(np.int16)))
+        head = [batch.column(c) for c in ("pair_id", "ty", "tx", "tw", "th")]
+        yield pa.RecordBatch.from_arrays([*head, grey, grey, grey], names=["pair_id", "ty", "tx", "tw", "th", *CHANNELS])

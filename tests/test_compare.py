@@ -5,8 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 from rasters import change_mask, components, pairs, solid, tables
 
-from rasterloom.operators import compare
+from rasterloom.operators import compare, key_filter
 from rasterloom.operators.components import contract, label_components
+from rasterloom.operators.digests import differing_tiles, tile_digests
+from rasterloom.operators.key_filter import only_keys
+from rasterloom.session import written
 
 
 def square():
@@ -228,3 +231,62 @@ def test_region_limits_are_applied_before_the_shuffle(spark):
     )
     plan = compare.changed_regions(labelled)._jdf.queryExecution().sparkPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_pixels_travel_for_differing_tiles_only(spark):
+    """A pair of 32 x 32 tiles of which one in ten differs, and tiles in one image alone."""
+    random = np.random.default_rng(5)
+    before = random.integers(0, 256, (512, 512, 3))
+    after = np.concatenate([before, solid(16, 512)], axis=1)
+    places = random.choice(32 * 32, 102, replace=False)
+    for place in places:
+        after[place // 32 * 16, place % 32 * 16, 0] ^= 1
+    tiles, images = tables(spark, {"a": before, "b": after})
+    tiles = written(tiles, "tiles")
+    manifest = pairs(spark, [(1, "a", "b", 0.0, 5, True), (2, "b", "b", 0.0, 5, True)])
+    aligned = compare.align_tiles(tiles, manifest)
+    rows = aligned.select("pair_id", "ty", "tx", F.col("before_r").isNotNull().alias("pixels")).collect()
+    assert {r.pair_id for r in rows} == {1}
+    assert sorted(r.ty * 32 + r.tx for r in rows if r.pixels) == sorted(places.tolist())
+    assert sorted(r.ty for r in rows if not r.pixels) == list(range(32)) and len(rows) == 102 + 32
+
+    # What passes the filter, and with it every exchange with channels, is a tenth of the tiles.
+    keys = aligned.where("before_r IS NOT NULL").select(F.lit("a").alias("image_id"), "ty", "tx")
+    passed = only_keys(tiles, keys, ["image_id", "ty", "tx"]).where("image_id = 'a'").count()
+    assert 102 <= passed <= 112
+    plan = aligned._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert plan.count("ArrowEvalPython") == 2 and joins
+    for part in plan.split("ArrowEvalPython")[1:]:
+        # Between the filter and the scan it tests there is no join.
+        head = part[: part.index("Relation")]
+        assert "Join" not in head
+
+
+def test_digests_tell_geometry_and_order(spark):
+    flat, tall = solid(16, 8, (1, 2, 3)), solid(8, 16, (1, 2, 3))
+    turned = solid(16, 8, (3, 2, 1))
+    tiles, _ = tables(spark, {"flat": flat, "tall": tall, "turned": turned, "again": flat})
+    found = {r.image_id: (r.d1, r.d2) for r in tile_digests(tiles).collect()}
+    assert found["flat"] == found["again"] and len(set(found.values())) == 3
+    stored = tile_digests(tiles.withColumns({"d1": F.lit(1), "d2": F.lit(2)})).select("d1", "d2").distinct().collect()
+    assert [tuple(r) for r in stored] == [(1, 2)]
+
+
+def test_swapped_tiles_of_a_block_differ(spark):
+    one = np.concatenate([solid(16, 16, (1, 1, 1)), solid(16, 16, (2, 2, 2))], axis=1)
+    tiles, _ = tables(spark, {"a": one, "b": one[:, ::-1].copy()})
+    manifest = pairs(spark, [(1, "a", "b", 0.0, 5, True)])
+    assert differing_tiles(tile_digests(tiles), manifest, 10).count() == 2
+
+
+def test_a_full_key_filter_only_lets_more_rows_pass(spark, monkeypatch):
+    keys = spark.range(5000).select((F.col("id") * 7).alias("k"))
+    rows = spark.range(40_000).select(F.col("id").alias("k"))
+    few = only_keys(rows, keys, ["k"])
+    assert few.join(keys, "k").count() == 5000 and few.count() < 6000
+    monkeypatch.setattr(key_filter, "MOST_BITS", key_filter.LEAST_BITS // 8)
+    monkeypatch.setattr(key_filter, "LEAST_BITS", key_filter.LEAST_BITS // 8)
+    many = only_keys(rows, keys, ["k"])
+    assert many.join(keys, "k").count() == 5000 and many.count() > 6000
+    assert only_keys(rows, keys.limit(0), ["k"]).count() == 0
