@@ -14,6 +14,8 @@ DEFAULTS = {
     # A row can hold a whole image or a pixel column, so batches are cut by bytes as well.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    # Lets the image data source see filters; without it Spark applies them to the rows.
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

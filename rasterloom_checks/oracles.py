@@ -550,6 +550,24 @@ SELECT asset_id, principal, kind, byte_count, date_trunc('second', created_at) A
 SELECT image_id, 'text' AS output_format, sha256(content) AS digest FROM t
 UNION ALL SELECT image_id, 'csv', sha256(content) FROM c""",
     "decoder_hook": f"WITH {PIXELS} SELECT image_id, x, y, r, g, b FROM px WHERE image_id % 5 <> 4",
+    "scan_gate": f"""WITH {FILES}
+SELECT path, byte_count, CASE WHEN byte_count <= {MAX_BYTES} THEN content_type END AS content_type, error_code FROM pg""",
+    "scan_images": f"WITH {FILES} SELECT path, byte_count, error_code FROM pg WHERE byte_count > 0",
+    "stream_files": f"WITH {FILES} SELECT path, byte_count, error_code FROM pg WHERE byte_count > 0",
+    "decode_tiles": f"WITH {PIXELS} SELECT image_id, x, y, r, g, b FROM px WHERE image_id % 5 <> 4",
+    "image_rgb": f"WITH {PIXELS} SELECT image_id, x, y, r, g, b FROM px WHERE image_id % 5 <> 4",
+    "decoded_files": f"""WITH {PIXELS}
+SELECT image_id, 'image/png' AS content_type, CASE WHEN image_id % 5 <> 4 THEN width END AS width,
+       CASE WHEN image_id % 5 <> 4 THEN height END AS height, CASE WHEN image_id % 5 = 4 THEN 'invalid_input' END AS error_code
+FROM im""",
+    "stored_assets": """WITH u AS (
+  SELECT user_id, count(*) AS n, date_trunc('second', max(ts)) AS created_at, user_id % 7 = 3 AS broken FROM events
+  WHERE true GROUP BY user_id
+)
+SELECT 'i' || lpad(CAST(user_id AS VARCHAR), 32, '0') AS asset_id, CAST(user_id AS VARCHAR) AS principal_bucket,
+       CASE WHEN NOT broken THEN n END AS byte_count, n AS stored_bytes,
+       CASE WHEN NOT broken THEN created_at END AS created_at, broken AS orphan
+FROM u WHERE user_id % 5 <> 2""",
     "engine_hook": """WITH l AS (
   SELECT doc_id, list_transform(string_split(text, chr(10)), lambda v: trim(v, ' ' || chr(9) || chr(13))) AS lines
   FROM documents

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -17,8 +19,8 @@ from rasterloom.plans.extract import extract_layout as extract
 from rasterloom.plans.optimize import optimize_regions, region_rasters
 from rasterloom.session import apply_defaults, fresh_path
 from rasterloom.settings import MAX_DETAIL_ENTRIES, TILE
+from rasterloom.sources import catalogue, image_source, payloads, sinks
 from rasterloom.sources import images as image_files
-from rasterloom.sources import payloads, sinks
 from rasterloom.streaming import jobs
 
 from . import views
@@ -266,6 +268,159 @@ def decoder_hook(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _numbered(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"(\d+)(\.[a-z]+)?$", 1).cast("long")
+
+
+def _header_files(spark: SparkSession, folder: str) -> str:
+    """A file per document, behind the first bytes of an image format; some are empty or too large."""
+    path = fresh_path(spark, "uploads")
+    named = views.headers(views.documents(spark, folder)).select(F.substring_index("path", "/", -1).alias("name"), "content")
+    sinks.write_files(named, path)
+    return path
+
+
+def scan_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Real files through the image data source and the gate; too large ones are listed, not opened."""
+    files = image_source.image_files(spark, [_header_files(spark, folder)], MAX_BYTES)
+    return image_source.gated(files, MAX_BYTES).select(
+        F.concat(F.lit("/uploads/"), _numbered()).alias("path"), "byte_count", "content_type", "error_code"
+    )
+
+
+def scan_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files through Spark's file source, which does not list empty ones."""
+    path = _header_files(spark, folder)
+    good = image_files.gate_files(image_files.scan_images(spark, [path], MAX_BYTES), MAX_BYTES)
+    large = image_files.oversized_files(spark, [path], MAX_BYTES)
+    return good.select("path", "byte_count", "error_code").unionByName(large).withColumn(
+        "path", F.concat(F.lit("/uploads/"), _numbered())
+    )
+
+
+def stream_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files as they arrive in a folder, a few hundred per micro-batch."""
+    target, mark = fresh_path(spark, "arrived"), fresh_path(spark, "arrived-mark")
+    files = jobs.stream_images(spark, _header_files(spark, folder), MAX_BYTES, 300)
+    jobs.start_intake(jobs.gated_intake(files, MAX_BYTES), target, mark).awaitTermination()
+    columns = ("path", "byte_count", "error_code")
+    good = spark.read.parquet(f"{target}/accepted").withColumn("error_code", F.lit(None).cast("string"))
+    bad = spark.read.parquet(f"{target}/quarantine")
+    return good.select(*columns).unionByName(bad.select(*columns)).withColumn(
+        "path", F.concat(F.lit("/uploads/"), _numbered())
+    )
+
+
+def _png_bytes(lines: list) -> bytes:
+    raster = np.array(lines, dtype=np.uint8)
+    rows = b"".join(b"\0" + line.tobytes() for line in raster)
+    parts = [
+        (b"IHDR", struct.pack(">IIBBBBB", raster.shape[1], raster.shape[0], 8, 2, 0, 0, 0)),
+        (b"IDAT", zlib.compress(rows)),
+        (b"IEND", b""),
+    ]
+    chunks = [struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in parts]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(chunks)
+
+
+def _plain_png(content: bytes) -> tuple[np.ndarray, int]:
+    """A decoder as a caller would pass one in: 8-bit RGB without line filters."""
+    width, height = struct.unpack(">II", content[16:24])
+    data = content[content.index(b"IDAT") + 4 :]
+    rows = np.frombuffer(zlib.decompressobj().decompress(data), np.uint8).reshape(height, 1 + 3 * width)
+    return rows[:, 1:].reshape(height, width, 3), 1
+
+
+def _png_files(spark: SparkSession, folder: str) -> str:
+    """Every raster as a PNG file; of every fifth the end is missing."""
+
+    @F.udf("binary")
+    def encode(lines: list, whole: bool) -> bytes:
+        content = _png_bytes(lines)
+        return content if whole else content[:60]
+
+    pixels = F.transform(F.arrays_zip("r", "g", "b"), lambda z: F.array(z["r"], z["g"], z["b"]))
+    lines = views.raster_rows(spark, folder).groupBy("image_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("y", pixels.alias("p")))), lambda z: z["p"]).alias("l")
+    )
+    path = fresh_path(spark, "rasters")
+    named = lines.select(
+        F.concat("image_id", F.lit(".png")).alias("name"), encode("l", F.pmod("image_id", F.lit(5)) != 4).alias("content")
+    )
+    sinks.write_files(named, path)
+    return path
+
+
+def _tile_pixels(tiles: DataFrame) -> DataFrame:
+    at = F.posexplode(F.arrays_zip("r", "g", "b")).alias("_i", "_p")
+    return tiles.select(_numbered("image_id").alias("image_id"), "ty", "tx", "tw", at).select(
+        "image_id",
+        (F.col("tx") * TILE + F.pmod("_i", "tw")).alias("x"),
+        (F.col("ty") * TILE + F.floor(F.col("_i") / F.col("tw"))).cast("int").alias("y"),
+        *[F.col(f"_p.{c}").cast("int").alias(c) for c in ("r", "g", "b")],
+    )
+
+
+def decode_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Pixels of PNG files: read, gated, decoded and cut in one task."""
+    files = image_source.image_files(spark, [_png_files(spark, folder)])
+    return _tile_pixels(image_source.decode_files(image_source.gated(files), _plain_png))
+
+
+def decoded_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Dimensions of the same files, or why there are none."""
+    files = image_source.image_files(spark, [_png_files(spark, folder)])
+    found = image_source.decoded_dimensions(image_source.gated(files), _plain_png)
+    return found.select(_numbered().alias("image_id"), "content_type", "width", "height", "error_code")
+
+
+def image_rgb(spark: SparkSession, folder: str) -> DataFrame:
+    """Pixels of the same files through Spark's image source, whose bytes are turned to RGB."""
+    return _tile_pixels(image_files.raster_tiles(image_files.decode_images(spark, [_png_files(spark, folder)])))
+
+
+def stored_assets(spark: SparkSession, folder: str) -> DataFrame:
+    """A file store with an asset per user: metadata, payloads, a broken record in seven and a lost payload in five."""
+    root = fresh_path(spark, "store")
+    users = views.table(spark, folder, "events").groupBy("user_id").agg(
+        F.count("*").alias("n"), F.max("ts").alias("created")
+    )
+    owned = users.select(
+        "user_id",
+        "n",
+        F.concat(F.lit("i"), F.lpad(F.col("user_id").cast("string"), 32, "0")).alias("id"),
+        F.concat(F.col("user_id").cast("string"), F.lit("/")).alias("at"),
+        F.date_trunc("second", "created").alias("created"),
+    )
+    written = F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    fields = {
+        "assetId": F.col("id"),
+        "principal": F.concat(F.lit("p_"), F.col("user_id").cast("string")),
+        "contentType": F.lit("image/png"),
+        "byteCount": F.col("n"),
+        "createdAt": F.when(F.pmod("user_id", F.lit(7)) != 3, written),
+        "expiresAt": written,
+    }
+    about = owned.select(
+        F.concat("at", "id", F.lit(".json")).alias("name"),
+        F.encode(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])), "UTF-8").alias("content"),
+    )
+    held = owned.where(F.pmod("user_id", F.lit(5)) != 2).select(
+        F.concat("at", "id", F.lit(".bin")).alias("name"),
+        F.encode(F.repeat(F.lit("x"), F.col("n").cast("int")), "UTF-8").alias("content"),
+    )
+    sinks.write_files(about.unionByName(held), root)
+    good = catalogue.scan_assets(spark, root).select(
+        "asset_id", "principal_bucket", "byte_count", "stored_bytes", _naive("created_at"), F.lit(False).alias("orphan")
+    )
+    none = F.lit(None)
+    lost = catalogue.orphan_files(spark, root).select(
+        F.col("file_id").alias("asset_id"), "principal_bucket", none.cast("long").alias("byte_count"),
+        F.col("byte_count").alias("stored_bytes"), none.cast("timestamp_ntz").alias("created_at"), F.lit(True).alias("orphan"),
+    )
+    return good.unionByName(lost)
+
+
 _TRIANGLE = [[0, 0], [9, 0], [9, 9]]
 
 
@@ -743,6 +898,13 @@ _ALL: dict[str, Query] = {
     "asset_ledger": asset_ledger,
     "content_sink": content_sink,
     "decoder_hook": decoder_hook,
+    "scan_gate": scan_gate,
+    "scan_images": scan_images,
+    "stream_files": stream_files,
+    "decode_tiles": decode_tiles,
+    "decoded_files": decoded_files,
+    "image_rgb": image_rgb,
+    "stored_assets": stored_assets,
     "engine_hook": engine_hook,
     "optimize_regions": optimize_requests,
     "changed_crops": changed_crops,
