@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.operators.key_filter import only_keys
 from rasterloom.session import written
 
 from .shingles import Filtered, Test, linked, part_counts, set_keys, shingle_sets, verified
@@ -126,7 +127,9 @@ def ngram_join(
     classes = written(classes, "ngram-classes")
     entries = classes.select("key", "n", "counts", F.posexplode("prefix").alias("pos", "g"))
     shared = entries.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    members = written(entries.join(shared, "g"), "ngram-members")
+    shared = written(shared, "ngram-shared")
+    # Most n-grams of a prefix are in one set alone; they are told off where they are read.
+    members = written(only_keys(entries, shared, ["g"]).join(shared, "g"), "ngram-members")
 
     def prepare(tile: pa.Table) -> Test:
         n, pos = (tile.column(c).to_numpy().astype(np.int64) for c in ("n", "pos"))
