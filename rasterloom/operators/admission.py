@@ -3,7 +3,8 @@
 The rule depends on every earlier decision: expired assets are dropped, then an upload is refused if
 it would exceed the count or the bytes; a refused upload uses nothing.
 
-Uploads that no state could admit are refused first, spread over salted groups: an asset expires on a whole
+Uploads that no state could admit are refused first: those larger than the quota by a column test, and in seconds with more
+uploads of one owner than the quota allows, found by a count, those of salted groups of rows: an asset expires on a whole
 second, so within one second nothing is freed, and an upload behind ``quota_count`` earlier ones of the same second
 that are no larger can never be admitted. The others are decided in one pass over partitions sorted by owner and time; all
 that is carried from row to row, and from batch to batch, is the owner's live assets, ``quota_count`` at most
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -37,31 +38,8 @@ NEVER = 2**62
 ADMITTED = "accepted"
 REFUSED = "quota_exceeded"
 
-def admit(
-    moments: Iterable[int],
-    sizes: Iterable[int],
-    live: deque[tuple[int, int]],
-    ttl_seconds: int,
-    quota_bytes: int,
-    quota_count: int,
-) -> list[bool]:
-    """Decide uploads in time order (microseconds); ``live`` is the state and is updated."""
-    used = sum(size for _, size in live)
-    decisions = []
-    for now, size in zip(moments, sizes, strict=True):
-        while live and live[0][0] <= now:
-            used -= live.popleft()[1]
-        fits = len(live) < quota_count and used + size <= quota_bytes
-        if fits:
-            live.append((now // SECOND * SECOND + ttl_seconds * SECOND, size))
-            used += size
-        decisions.append(fits)
-    return decisions
-
-
-def _hopeless(
-    uploads: DataFrame, group: Sequence[str], quota_count: int, quota_bytes: int
-) -> DataFrame:
+
+def _hopeless(uploads: DataFrame, group: Sequence[str], quota_count: int) -> DataFrame:
     """Mark uploads that no state admits; ``group`` lies within one second of one owner.
 
     Sorted partitions are streamed; only the smallest ``quota_count`` sizes of a group are kept. Rows marked
@@ -79,9 +57,7 @@ def _hopeless(
                     current, smallest = owner, []
                 if lost[row]:
                     continue
-                if size > quota_bytes:
-                    lost[row] = True
-                elif len(smallest) < quota_count:
+                if len(smallest) < quota_count:
                     heapq.heappush(smallest, -size)
                 elif quota_count and size < -smallest[0]:
                     heapq.heapreplace(smallest, -size)
@@ -163,11 +139,16 @@ def quota_admission(
         moment.alias("moment"),
         (F.floor(moment / SECOND) * SECOND).alias("second"),
         F.pmod(F.xxhash64("asset_id"), F.lit(SALTS)).cast("int").alias("salt"),
-        F.lit(False).alias("hopeless"),
+        (size > quota_bytes).alias("hopeless"),
     )
-    marked = eligible
-    for group in ([*owner, "second", "salt"], [*owner, "second"]):
-        marked = _hopeless(marked, group, quota_count, quota_bytes)
+    # A refusal by number takes more uploads of one owner in one second than the quota allows: only such crowds are looked at.
+    place = [*owner, "second"]
+    crowds = eligible.groupBy(*place).agg(F.count("*").alias("crowd")).where(F.col("crowd") > quota_count)
+    known = eligible.join(crowds, place, "left")
+    marked = known.where("crowd IS NOT NULL").drop("crowd")
+    for group in ([*place, "salt"], place):
+        marked = _hopeless(marked, group, quota_count)
+    marked = marked.unionByName(known.where("crowd IS NULL").drop("crowd"))
     marked = written(marked.drop("second", "salt"), "contenders")
     rows = marked.where("NOT hopeless").drop("hopeless").withColumn("order", F.lit(1))
     if held is not None:

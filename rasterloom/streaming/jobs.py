@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.media import payload_gate, sniff_content_type, upload_gate
-from ..operators.admission import ADMITTED, REFUSED, admit
+from ..functions.media import payload_gate, sniff_content_type
+from ..operators.admission import ADMITTED, quota_admission
+from ..operators.assets import asset_kind, expires_at
 from ..operators.requests import request_rollup
 from ..settings import (
     ADMISSIONS,
@@ -84,79 +80,83 @@ def start_intake(gated: DataFrame, target: str, checkpoint: str, once: bool = Tr
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-_STATE = "expires array<long>, bytes array<long>"
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def stream_admission(
-    uploads: DataFrame,
-    ttl_seconds: int = DEFAULT_TTL_SECONDS,
-    quota_bytes: int = DEFAULT_QUOTA_BYTES,
-    quota_count: int = DEFAULT_QUOTA_COUNT,
-    max_bytes: int = DEFAULT_MAX_IMAGE_BYTES,
-    drop_idle: bool = False,
-) -> DataFrame:
-    """Admission decisions with the live uploads of a principal as state.
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+_HELD = "principal string, kind string, byte_count long, expires_at timestamp"
+
 
-    The state holds at most ``quota_count`` entries. A principal's rows of one micro-batch meet in
-    one task, where they are put in order; the trigger limit of the source bounds them. Expiry is
-    judged on the upload's own time. ``drop_idle`` removes the state of principals that stay away;
-    it belongs to streams that run on, since its timers keep a stream from ending.
+class AdmissionLedger:
+    """Quota admission of a stream, with tables as its state.
+
+    Micro-batch ``n`` is decided by the batch operator against the assets that are live after batch ``n - 1``, and writes its decisions
+    to ``decisions/batch=n`` and what is live now to ``live/batch=n``. Both folders are replaced when a batch runs again, and what a
+    batch reads is older than itself, so a replay gives the same decisions. Nothing is grouped by owner: an owner's uploads
+    are a stream of rows in one task, as in the batch operator, and its state is rows of a table.
+
+    Snapshots older than the last two are deleted. Assets that expired before the newest upload seen are left out of a snapshot:
+    uploads that arrive later with an older time do not meet them. ``held`` is what the store has before the stream begins.
     """
-    fields = ADMISSIONS.fieldNames()
-
-    def decide(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows = rows.sort_values(["moment", "asset_id"], kind="stable")
-        expires, held = state.get if state.exists else ([], [])
-        live = deque(zip(expires, held, strict=True))
-        refusal = rows["refusal"]
-        open_rows = rows[refusal.isna()]
-        verdicts = admit(
-            open_rows["moment"].tolist(),
-            open_rows["byte_count"].tolist(),
-            live,
-            ttl_seconds,
-            quota_bytes,
-            quota_count,
-        )
-        decision = refusal.astype(object).copy()
-        decision[open_rows.index] = [ADMITTED if v else REFUSED for v in verdicts]
-        state.update(([e for e, _ in live], [b for _, b in live]))
-        if drop_idle:
-            state.setTimeoutDuration(2 * ttl_seconds * 1000)
-        yield pd.DataFrame(
-            {
-                "asset_id": rows["asset_id"],
-                "principal": key[0],
-                "byte_count": rows["byte_count"],
-                "created_at": pd.to_datetime(rows["moment"], unit="us"),
-                "decision": decision,
-            }
-        )[fields]
-
-    refusal = upload_gate(F.col("content_type"), F.col("byte_count"), max_bytes)
-    return (
-        uploads.select(
+
+    def __init__(
+        self,
+        path: str,
+        ttl_seconds: int = DEFAULT_TTL_SECONDS,
+        quota_bytes: int = DEFAULT_QUOTA_BYTES,
+        quota_count: int = DEFAULT_QUOTA_COUNT,
+        max_bytes: int = DEFAULT_MAX_IMAGE_BYTES,
+        scope: str = "principal",
+        held: DataFrame | None = None,
+    ):
+        self.path, self.scope, self.held = path.rstrip("/"), scope, held
+        self.rules = (ttl_seconds, quota_bytes, quota_count, max_bytes)
+
+    def _live(self, spark: SparkSession, number: int) -> DataFrame:
+        """What is live after a batch; the store's own stock after none."""
+        if number >= 0 and _exists(spark, f"{self.path}/live/batch={number}"):
+            return spark.read.schema(_HELD).parquet(f"{self.path}/live/batch={number}")
+        if self.held is None:
+            return spark.createDataFrame([], _HELD)
+        return self.held.select("principal", "kind", F.col("byte_count").cast("long"), "expires_at")
+
+    def decide(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = self._live(spark, number - 1)
+        uploads = batch.select("asset_id", "principal", "kind", "content_type", "byte_count", "created_at")
+        owner = ["principal"] if self.scope == "principal" else ["principal", "kind"]
+        # Only owners that upload in this batch bring their stock to it.
+        stock = before.join(uploads.select(*owner).distinct(), owner, "left_semi")
+        decided = quota_admission(uploads, *self.rules, scope=self.scope, held=stock)
+        target = f"{self.path}/decisions/batch={number}"
+        decided.write.mode("overwrite").parquet(target)
+        decided = spark.read.schema(decided.schema).parquet(target)
+        admitted = decided.where(F.col("decision") == ADMITTED).select(
             "principal",
-            "asset_id",
-            F.col("byte_count").cast("long").alias("byte_count"),
-            F.unix_micros("created_at").alias("moment"),
-            refusal.alias("refusal"),
-        )
-        .groupBy("principal")
-        .applyInPandasWithState(
-            decide,
-            ADMISSIONS,
-            _STATE,
-            "append",
-            GroupStateTimeout.ProcessingTimeTimeout if drop_idle else GroupStateTimeout.NoTimeout,
+            asset_kind(F.col("asset_id")).alias("kind"),
+            "byte_count",
+            expires_at(F.col("created_at"), self.rules[0]).alias("expires_at"),
         )
-    )
+        newest = uploads.agg(F.max("created_at").alias("t")).first()["t"]
+        live = before.unionByName(admitted)
+        if newest is not None:
+            live = live.where(F.coalesce(F.col("expires_at") > F.lit(newest), F.lit(True)))
+        live.write.mode("overwrite").parquet(f"{self.path}/live/batch={number}")
+        _delete(spark, f"{self.path}/live/batch={number - 2}")
+
+    def start(self, uploads: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
+        writer = uploads.writeStream.foreachBatch(self.decide).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+
+    def decisions(self, spark: SparkSession) -> DataFrame:
+        rows = spark.read.schema(ADMISSIONS).parquet(f"{self.path}/decisions")
+        return rows.select(*ADMISSIONS.fieldNames())
 
 
 def stream_rollup(

@@ -773,5 +773,6 @@ FROM up WHERE floor(epoch(TIMESTAMP '{AS_OF}' - created_at) / 86400) > 1""",
     "request_rollup": _rollup(False),
     "stream_intake": f"WITH {FILES} SELECT path, byte_count, content_type, error_code FROM pg",
     "stream_quota": _admission(),
+    "stream_quota_held": _admission(held=True),
     "stream_rollup": _rollup(True),
 }

@@ -860,14 +860,45 @@ def stream_intake(spark: SparkSession, folder: str) -> DataFrame:
     return good.select(*columns).unionByName(bad.select(*columns))
 
 
+def _in_time_order(spark: SparkSession, folder: str, parts: int = 6) -> DataFrame:
+    """The event log as a stream of files, written one after the other by time; a file per micro-batch."""
+    events = views.table(spark, folder, "events")
+    path = fresh_path(spark, "event-files")
+    cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).approxQuantile(
+        "t", [k / parts for k in range(1, parts)], 0.01
+    )
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = events.where(F.lit(low is None) | (at > low)).where(F.lit(high is None) | (at <= high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def stream_quota(spark: SparkSession, folder: str) -> DataFrame:
-    target, mark = fresh_path(spark, "quota"), fresh_path(spark, "quota-mark")
-    uploads = views.uploads(_stream(spark, folder, "events"))
-    decided = jobs.stream_admission(uploads, TTL, QUOTA_BYTES, QUOTA_COUNT, MAX_UPLOAD)
-    jobs.start_table(decided, target, mark).awaitTermination()
-    return spark.read.parquet(target).select(
-        "asset_id", "principal", "byte_count", _naive("created_at"), "decision"
+    """Six micro-batches, each of them replayed."""
+    ledger = jobs.AdmissionLedger(fresh_path(spark, "quota"), TTL, QUOTA_BYTES, QUOTA_COUNT, MAX_UPLOAD)
+    uploads = views.uploads(_in_time_order(spark, folder))
+    def twice(batch: DataFrame, number: int) -> None:
+        """As if the query broke off after each batch and before its commit."""
+        ledger.decide(batch, number)
+        ledger.decide(batch, number)
+
+    writer = uploads.writeStream.foreachBatch(twice).option("checkpointLocation", fresh_path(spark, "quota-mark"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return ledger.decisions(spark).select("asset_id", "principal", "byte_count", _naive("created_at"), "decision")
+
+
+def stream_quota_held(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a store that holds every tenth event already, every twentieth as an orphan that never expires."""
+    number = F.substring("asset_id", 2, 12).cast("long")
+    held = views.assets(spark, folder).where(number % 10 == 0)
+    held = held.withColumn("expires_at", F.when(number % 20 != 0, F.col("expires_at")))
+    ledger = jobs.AdmissionLedger(
+        fresh_path(spark, "quota"), TTL, QUOTA_BYTES, QUOTA_COUNT, MAX_UPLOAD, held=held
     )
+    uploads = views.uploads(_in_time_order(spark, folder)).where(number % 10 != 0)
+    ledger.start(uploads, fresh_path(spark, "quota-mark")).awaitTermination()
+    return ledger.decisions(spark).select("asset_id", "principal", "byte_count", _naive("created_at"), "decision")
 
 
 def stream_rollup(spark: SparkSession, folder: str) -> DataFrame:
@@ -945,6 +976,7 @@ _ALL: dict[str, Query] = {
     "request_rollup": request_rollup,
     "stream_intake": stream_intake,
     "stream_quota": stream_quota,
+    "stream_quota_held": stream_quota_held,
     "stream_rollup": stream_rollup,
 }
 

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import random
-from collections import deque
 from datetime import datetime, timedelta
 
 import pytest
@@ -146,13 +145,6 @@ def test_refused_uploads_use_no_quota(spark):
     assert got == {"i1": "unsupported_media", "i2": "invalid_input", "i3": "payload_too_large", "i4": "accepted"}
 
 
-def test_admit_carries_its_state():
-    live = deque([(10_000_000, 5)])
-    assert admission.admit([1, 2], [5, 1], live, 60, 10, 2) == [True, False]
-    assert list(live) == [(10_000_000, 5), (60_000_000, 5)]
-    assert admission.admit([10_000_000], [5], live, 60, 10, 2) == [True]
-
-
 def test_ledger_round_trip(spark, held, tmp_path):
     path = str(tmp_path / "ledger")
     sinks.write_assets(held.drop("expires_at"), path, 60)

@@ -11,7 +11,7 @@ from rasterloom.functions.errors import error_struct
 from rasterloom.operators.admission import quota_admission
 from rasterloom.operators.requests import request_rollup
 from rasterloom.sources import images as sources
-from rasterloom.sources import payloads, sinks
+from rasterloom.sources import image_source, payloads, sinks
 from rasterloom.streaming import jobs
 
 
@@ -119,27 +119,111 @@ def test_intake_stream(spark, folder, tmp_path):
 
 
 def test_quota_stream_equals_the_batch(spark, tmp_path):
-    """Three micro-batches in time order decide like one batch."""
+    """Six micro-batches in time order, some replayed, decide like one batch; a third of the uploads has one owner."""
+    number = F.col("id")
     rows = spark.range(3000).select(
-        F.concat(F.lit("i"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("asset_id"),
+        F.concat(F.lit("i"), F.lpad(number.cast("string"), 8, "0")).alias("asset_id"),
         F.lit("input").alias("kind"),
-        F.concat(F.lit("p_"), (F.col("id") % 7).cast("string")).alias("principal"),
+        F.concat(F.lit("p_"), F.when(number % 3 == 0, 0).otherwise(number % 7).cast("string")).alias("principal"),
         F.lit("image/png").alias("content_type"),
         (1 + F.pmod(F.xxhash64("id"), F.lit(90))).alias("byte_count"),
-        F.timestamp_micros(F.col("id") * 350_000 + F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("created_at"),
+        F.timestamp_micros(number * 350_000 + F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("created_at"),
     )
+    held = spark.createDataFrame(
+        [("p_0", "input", 200, None), ("p_1", "input", 390, 500), ("p_2", "input", 5, 10)],
+        "principal string, kind string, byte_count long, second long",
+    ).withColumn("expires_at", F.timestamp_seconds("second")).drop("second")
     source = str(tmp_path / "uploads")
-    for part in range(3):
-        rows.where(F.floor(F.col("asset_id").substr(2, 8).cast("int") / 1000) == part).coalesce(1).write.mode(
+    for part in range(6):
+        rows.where(F.floor(F.col("asset_id").substr(2, 8).cast("int") / 500) == part).coalesce(1).write.mode(
             "append"
         ).parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    decided = jobs.stream_admission(stream, 60, 400, 6)
-    jobs.start_table(decided, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
-    got = {r.asset_id: r.decision for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    wanted = {r.asset_id: r.decision for r in quota_admission(rows, 60, 400, 6).collect()}
+    ledger = jobs.AdmissionLedger(str(tmp_path / "ledger"), 60, 400, 6, held=held)
+    numbers = []
+
+    def decide(batch, n):
+        numbers.append(n)
+        ledger.decide(batch, n)
+        if n in (2, 5):
+            ledger.decide(batch, n)
+
+    query = stream.writeStream.foreachBatch(decide).option("checkpointLocation", str(tmp_path / "mark"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    got = {r.asset_id: r.decision for r in ledger.decisions(spark).collect()}
+    wanted = {r.asset_id: r.decision for r in quota_admission(rows, 60, 400, 6, held=held).collect()}
+    assert numbers == [0, 1, 2, 3, 4, 5]
     assert len(wanted) == 3000 and set(wanted.values()) == {"accepted", "quota_exceeded"}
     assert got == wanted
+    # Snapshots do not pile up, and hold what is live alone.
+    assert sorted(p.name for p in (tmp_path / "ledger" / "live").iterdir()) == ["batch=4", "batch=5"]
+    assert spark.read.parquet(str(tmp_path / "ledger" / "live" / "batch=5")).count() <= 7 * 6 + 3
+
+
+def test_files_are_planned_by_bytes():
+    files = [(f"/f{k}", size) for k, size in enumerate([10, 90, 5, 200, 1, 1, 1])]
+    parts = [[path for path, _ in p.files] for p in image_source.planned(files, 100, 0)]
+    assert parts == [["/f0", "/f1"], ["/f2"], ["/f3"], ["/f4", "/f5", "/f6"]]
+    assert [len(p.files) for p in image_source.planned(files, 100, 60)] == [1] * 7
+    assert image_source.planned([], 100) == []
+
+
+def test_image_source_decodes_what_passed_the_gate_alone(spark, folder, tmp_path):
+    root, raster = folder
+    (root / "empty.png").write_bytes(b"")
+    (root / "_skipped").mkdir()
+    (root / "_skipped" / "x.png").write_bytes(b"x")
+    log = str(tmp_path / "decoded")
+
+    def decoder(content):
+        with open(log, "a") as file:
+            file.write(f"{len(content)}\n")
+        if len(content) < 100:
+            raise ValueError("cut off")
+        return raster.astype(np.uint8), 6
+
+    files = image_source.image_files(spark, [str(root)], 5000, 1)
+    assert files.rdd.getNumPartitions() == 5
+    verdicts = image_source.gated(files, 5000)
+    codes = {r.path.rpartition("/")[2]: (r.byte_count > 0, r.error_code) for r in verdicts.collect()}
+    assert codes == {
+        "a.png": (True, None),
+        "b.png": (True, None),
+        "c.gif": (True, "unsupported_media"),
+        "big.png": (True, "payload_too_large"),
+        "empty.png": (False, "invalid_input"),
+    }
+    tiles = image_source.decode_files(verdicts, decoder)
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    rows = tiles.collect()
+    wanted = sources.upright(raster, 6)
+    assert np.array_equal(assembled(rows, wanted.shape), wanted)
+    # The file that was cut off passed the gate; neither the refused ones nor the large one came to the decoder.
+    with open(log) as file:
+        assert sorted(map(int, file)) == [60, len((root / "a.png").read_bytes())]
+    sized = {r.path.rpartition("/")[2]: r for r in image_source.decoded_dimensions(verdicts, decoder).collect()}
+    assert (sized["a.png"].width, sized["a.png"].height, sized["a.png"].error_code) == (20, 40, None)
+    assert sized["b.png"].error_code == "invalid_input" and sized["a.png"].content_type == "image/png"
+    few = image_source.decoded_dimensions(verdicts, decoder, 100).where("path LIKE '%a.png'").first()
+    assert few.error_code == "payload_too_large"
+
+
+def test_image_source_applies_filters_to_the_listing(spark, folder):
+    root, _ = folder
+    conf = "spark.sql.python.filterPushdown.enabled"
+    usual = spark.conf.get(conf)
+    for pushed in ("true", "false"):
+        spark.conf.set(conf, pushed)
+        files = image_source.image_files(spark, [str(root)], partition_bytes=1)
+        some = files.where(F.col("path").startswith(f"{root}/sub"))
+        assert [r.path for r in some.collect()] == [f"{root}/sub/b.png"]
+        large = image_source.image_files(spark, [str(root)], partition_bytes=1).where("byte_count >= 9000")
+        assert [r.path for r in large.collect()] == [f"{root}/big.png"]
+        assert large.rdd.getNumPartitions() == (1 if pushed == "true" else 4)
+        either = files.where(F.col("path").isin(f"{root}/a.png", f"{root}/c.gif") & (F.col("byte_count") < 9))
+        assert [r.path for r in either.collect()] == [f"{root}/c.gif"]
+    spark.conf.set(conf, usual)
 
 
 def test_rollup_stream_equals_the_batch(spark, tmp_path):
