@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import gates, media
 from ..functions.errors import error_struct
-from ..settings import DEFAULT_TTL_SECONDS
+from ..session import written
+from ..settings import DEFAULT_MAX_IMAGE_BYTES, DEFAULT_MAX_IMAGE_PIXELS, DEFAULT_TTL_SECONDS
+from .key_filter import only_keys
+
+#: Hash folders of a content store.
+CONTENT_BUCKETS = 256
 
 
 def asset_kind(asset_id: Column) -> Column:
@@ -149,6 +154,50 @@ def resolve_references(
     return bad.unionByName(by_path).unionByName(by_id)
 
 
+def reference_contents(
+    references: DataFrame,
+    files: DataFrame,
+    assets: DataFrame,
+    contents: DataFrame,
+    roots: Sequence[str],
+    as_of: datetime | str,
+    max_bytes: int = DEFAULT_MAX_IMAGE_BYTES,
+    max_pixels: int = DEFAULT_MAX_IMAGE_PIXELS,
+) -> DataFrame:
+    """References with the content they name: ``content_type``, ``byte_count`` and ``content``, or an error.
+
+    ``contents(content_id, content, bucket)`` is a store as ``write_contents`` lays it out; ids are paths and asset ids. All rules
+    are applied to the keys first. Then only buckets that a good reference names are scanned, and only rows that may be
+    named, by a filter tested at the scan, are exchanged. A content that the store lacks is ``not_found``.
+    """
+    found = written(resolve_references(references, files, assets, roots, as_of), "references")
+    bucket = F.pmod(F.xxhash64("content_id"), F.lit(CONTENT_BUCKETS)).cast("int")
+    good = found.where("error_code IS NULL").withColumn("content_id", F.coalesce("path", "asset_id"))
+    good = good.withColumn("bucket", bucket)
+    named = [row["bucket"] for row in good.select("bucket").distinct().collect()]  # 256 at most
+    keys = good.select("content_id").distinct()
+    held = only_keys(contents.where(F.col("bucket").isin(named)), keys, ["content_id"])
+    met = good.drop("error_code", "byte_count").join(held, ["bucket", "content_id"], "left")
+    content = F.col("content")
+    code = F.when(content.isNull(), "not_found").otherwise(media.payload_gate(content, max_bytes, max_pixels))
+    kept = ["reference_id", "principal", "source_kind", "path", "asset_id"]
+    judged = met.withColumn("error_code", code).select(
+        *kept,
+        media.sniff_content_type(content).alias("content_type"),
+        F.length(content).cast("long").alias("byte_count"),
+        F.when(F.col("error_code").isNull(), content).alias("content"),
+        "error_code",
+    )
+    bad = found.where("error_code IS NOT NULL").select(
+        *kept,
+        F.lit(None).cast("string").alias("content_type"),
+        "byte_count",
+        F.lit(None).cast("binary").alias("content"),
+        "error_code",
+    )
+    return judged.unionByName(bad)
+
+
 def contained_paths(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """``paths(path)`` that are or lie below one of ``roots(root)``; relative paths and paths with a NUL never do.
 

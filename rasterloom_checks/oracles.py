@@ -452,6 +452,34 @@ FROM across JOIN {_lanczos("sm", "height", "output_height")} k
 GROUP BY request_id, x, o"""
 
 
+RESOLVED = f"""WITH {UPLOADS}, {PATHS},
+files AS (SELECT rtrim(path, '/') AS path, max(page_id) AS byte_count FROM np WHERE present AND form > 4 GROUP BY 1),
+raw AS (
+  SELECT page_id, form,
+         CASE form WHEN 0 THEN rtrim(substr(clean, 2), '/') WHEN 1 THEN clean || chr(0)
+              ELSE rtrim(path, '/') END AS path
+  FROM pp JOIN np USING (page_id, present, form)
+),
+asked AS (
+  SELECT page_id, form, path, 'a' || lpad(CAST(page_id AS VARCHAR), 12, '0') AS asset_id,
+         'p_' || CAST(user_id AS VARCHAR) AS principal
+  FROM raw JOIN events ON event_id = page_id
+)
+SELECT page_id AS reference_id, 'local_path' AS source_kind,
+       CASE form WHEN 0 THEN '/' || asked.path ELSE asked.path END AS path, CAST(NULL AS VARCHAR) AS asset_id,
+       files.byte_count,
+       CASE WHEN form <= 1 THEN 'invalid_input' WHEN files.path IS NULL THEN 'not_found'
+            WHEN asked.path IN ('/en', '/es') OR asked.path LIKE '/en/%' OR asked.path LIKE '/es/%' THEN NULL
+            ELSE 'forbidden' END AS error_code
+FROM asked LEFT JOIN files ON files.path = CASE form WHEN 0 THEN '/' || asked.path ELSE asked.path END
+WHERE page_id % 2 = 0
+UNION ALL
+SELECT page_id, 'asset', NULL, asked.asset_id, up.byte_count,
+       CASE WHEN up.asset_id IS NULL THEN 'not_found' END
+FROM asked LEFT JOIN up ON up.asset_id = asked.asset_id AND up.principal = asked.principal
+  AND up.expires_at > TIMESTAMP '2024-01-01 18:00:00'
+WHERE page_id % 2 = 1"""
+
 ORACLES: dict[str, str] = {
     "compare_totals": f"WITH {_compared()} SELECT * FROM totals",
     "compare_totals_sparse": f"WITH {_compared(0.6)} SELECT * FROM totals",
@@ -725,33 +753,15 @@ SELECT event_id AS request_id, asset_id,
        CASE WHEN event_id % 4 <> 0 AND expires_at > TIMESTAMP '{AS_OF}' THEN byte_count END AS byte_count,
        CASE WHEN NOT (event_id % 4 <> 0 AND expires_at > TIMESTAMP '{AS_OF}') THEN 'not_found' END AS error_code
 FROM up""",
-    "resolve_references": f"""WITH {UPLOADS}, {PATHS},
-files AS (SELECT rtrim(path, '/') AS path, max(page_id) AS byte_count FROM np WHERE present AND form > 4 GROUP BY 1),
-raw AS (
-  SELECT page_id, form,
-         CASE form WHEN 0 THEN rtrim(substr(clean, 2), '/') WHEN 1 THEN clean || chr(0)
-              ELSE rtrim(path, '/') END AS path
-  FROM pp JOIN np USING (page_id, present, form)
-),
-asked AS (
-  SELECT page_id, form, path, 'a' || lpad(CAST(page_id AS VARCHAR), 12, '0') AS asset_id,
-         'p_' || CAST(user_id AS VARCHAR) AS principal
-  FROM raw JOIN events ON event_id = page_id
-)
-SELECT page_id AS reference_id, 'local_path' AS source_kind,
-       CASE form WHEN 0 THEN '/' || asked.path ELSE asked.path END AS path, CAST(NULL AS VARCHAR) AS asset_id,
-       files.byte_count,
-       CASE WHEN form <= 1 THEN 'invalid_input' WHEN files.path IS NULL THEN 'not_found'
-            WHEN asked.path IN ('/en', '/es') OR asked.path LIKE '/en/%' OR asked.path LIKE '/es/%' THEN NULL
-            ELSE 'forbidden' END AS error_code
-FROM asked LEFT JOIN files ON files.path = CASE form WHEN 0 THEN '/' || asked.path ELSE asked.path END
-WHERE page_id % 2 = 0
-UNION ALL
-SELECT page_id, 'asset', NULL, asked.asset_id, up.byte_count,
-       CASE WHEN up.asset_id IS NULL THEN 'not_found' END
-FROM asked LEFT JOIN up ON up.asset_id = asked.asset_id AND up.principal = asked.principal
-  AND up.expires_at > TIMESTAMP '2024-01-01 18:00:00'
-WHERE page_id % 2 = 1""",
+    "resolve_references": RESOLVED,
+    "reference_contents": f"""WITH rr AS ({RESOLVED}),
+named AS (SELECT *, CASE WHEN error_code IS NULL THEN coalesce(path, asset_id) END AS id FROM rr),
+held AS (SELECT *, id IS NOT NULL AND length(id) % 7 <> 3 AS there, id IS NOT NULL AND length(id) % 5 = 0 AS gif FROM named)
+SELECT reference_id, source_kind, CASE WHEN there AND NOT gif THEN 'image/jpeg' END AS content_type,
+       CASE WHEN there THEN CAST(strlen(id) + CASE WHEN gif THEN 6 ELSE 3 END AS BIGINT) WHEN id IS NULL THEN byte_count END AS byte_count,
+       CASE WHEN there AND NOT gif THEN id END AS says,
+       CASE WHEN id IS NULL THEN error_code WHEN NOT there THEN 'not_found' WHEN gif THEN 'unsupported_media' END AS error_code
+FROM held""",
     "quota_usage": f"""WITH {UPLOADS}
 SELECT principal, count(*) AS asset_count, CAST(sum(byte_count) AS BIGINT) AS total_bytes
 FROM up WHERE expires_at > TIMESTAMP '{AS_OF}' GROUP BY 1""",
@@ -762,6 +772,10 @@ FROM up WHERE expires_at > TIMESTAMP '{AS_OF}' GROUP BY 1, 2""",
 SELECT kind, count(*) FILTER (expires_at <= TIMESTAMP '{AS_OF}') AS removed,
        count(*) FILTER (expires_at > TIMESTAMP '{AS_OF}') AS kept
 FROM up GROUP BY 1""",
+    "purge_rewrite": f"""WITH {UPLOADS}
+SELECT asset_id, principal, kind, byte_count FROM up WHERE expires_at > TIMESTAMP '{AS_OF}'""",
+    "purge_manifest": f"""WITH {UPLOADS}
+SELECT kind, count(*) AS removed FROM up WHERE expires_at <= TIMESTAMP '{AS_OF}' GROUP BY kind""",
     "purge_survivors": f"""WITH {UPLOADS}
 SELECT asset_id, principal, kind, byte_count FROM up WHERE expires_at > TIMESTAMP '{AS_OF}'""",
     "retention": f"""WITH {UPLOADS}

@@ -749,8 +749,8 @@ def visible_assets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def resolve_references(spark: SparkSession, folder: str) -> DataFrame:
-    """References of pages to other pages' paths and to the event log's assets."""
+def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """References of pages to other pages' paths and to the event log's assets, and the files there are."""
     page = F.col("page_id")
     files = (
         views.page_paths(spark, folder)
@@ -777,9 +777,55 @@ def resolve_references(spark: SparkSession, folder: str) -> DataFrame:
         .join(owners, "page_id")
         .select(page.alias("reference_id"), "principal", wanted.alias("reference"))
     )
-    return assets.resolve_references(
-        asked, files, views.assets(spark, folder), ROOTS, "2024-01-01 18:00:00"
-    ).select("reference_id", "source_kind", "path", "asset_id", "byte_count", "error_code")
+    return asked, files
+
+
+REFERENCED_AT = "2024-01-01 18:00:00"
+
+
+def resolve_references(spark: SparkSession, folder: str) -> DataFrame:
+    asked, files = _references(spark, folder)
+    return assets.resolve_references(asked, files, views.assets(spark, folder), ROOTS, REFERENCED_AT).select(
+        "reference_id", "source_kind", "path", "asset_id", "byte_count", "error_code"
+    )
+
+
+def reference_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """The same references with contents: every file and asset has one, of which some are no image and some are lost."""
+    asked, files = _references(spark, folder)
+    owned = views.assets(spark, folder)
+    ids = files.select(F.col("path").alias("content_id")).unionByName(owned.select(F.col("asset_id").alias("content_id")))
+    size = F.length("content_id")
+    head = F.when(size % 5 == 0, F.unhex(F.lit("474946383961"))).otherwise(F.unhex(F.lit("FFD8FF")))
+    held = ids.where(size % 7 != 3).select("content_id", F.concat(head, F.encode("content_id", "UTF-8")).alias("content"))
+    path = fresh_path(spark, "contents")
+    sinks.write_contents(held, path)
+    found = assets.reference_contents(asked, files, owned, spark.read.parquet(path), ROOTS, REFERENCED_AT)
+    return found.select(
+        "reference_id",
+        "source_kind",
+        "content_type",
+        "byte_count",
+        F.decode(F.substring("content", 4, 1000), "UTF-8").alias("says"),
+        "error_code",
+    )
+
+
+def purge_rewrite(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger after a purge that rewrote it, run twice."""
+    path = fresh_path(spark, "purged")
+    sinks.write_assets(views.assets(spark, folder).drop("expires_at"), path, TTL)
+    for _ in range(2):
+        sinks.purge_ledger(spark, path, AS_OF, "first")
+    return sinks.read_assets(spark, path).select("asset_id", "principal", "kind", "byte_count")
+
+
+def purge_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """What that purge says of each kind of asset in the partitions it replaced."""
+    path = fresh_path(spark, "purged")
+    sinks.write_assets(views.assets(spark, folder).drop("expires_at"), path, TTL)
+    counted = sinks.purge_ledger(spark, path, AS_OF, "first")
+    return counted.groupBy("kind").agg(F.sum("removed").alias("removed"))
 
 
 def quota_usage(spark: SparkSession, folder: str) -> DataFrame:
@@ -965,10 +1011,13 @@ _ALL: dict[str, Query] = {
     "asset_expiry": asset_expiry,
     "visible_assets": visible_assets,
     "resolve_references": resolve_references,
+    "reference_contents": reference_contents,
     "quota_usage": quota_usage,
     "container_usage": container_usage,
     "purge_expired": purge_expired,
     "purge_survivors": purge_survivors,
+    "purge_rewrite": purge_rewrite,
+    "purge_manifest": purge_manifest,
     "retention": retention,
     "orphan_blobs": orphan_blobs,
     "quota_admission": quota_admission,
