@@ -347,7 +347,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     @F.arrow_udf("long")
     def key_of(texts: pa.Array) -> pa.Array:
-        return pa.array(set_keys(*shingle_sets(texts, width)).view(np.int64))
+        # A few megabytes at a time: hashing takes many times the bytes of a text.
+        parts = pieces(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))
+        keys = [set_keys(*shingle_sets(part.column("text"), width)) for part in parts]
+        return pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))
 
     def kept(state: DataFrame, how: str) -> DataFrame:
         keyed = docs.withColumn("_key_of", key_of(F.col(f"`{text_col}`")))
