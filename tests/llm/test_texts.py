@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -261,3 +262,84 @@ def test_samples_follow_the_lattice():
     for path, weight in expected.items():
         share = weight / total
         assert abs(seen[path] / n - share) < 5 * (share / n) ** 0.5 + 1e-4
+
+
+def neutral(html):
+    """The page without telling names: containers are div, and there are no classes, ids or roles."""
+    html = re.sub(r"<(/?)(article|main|nav|footer|header|aside|section|form)\b", r"<\1div", html)
+    return re.sub(r"\s(class|id|role)=\"[^\"]*\"", "", html)
+
+
+def page_tables():
+    return pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="driver tables are absent")
+
+
+@page_tables()
+def test_structure_alone_finds_the_text(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.collect()]
+    plain = spark.createDataFrame([(i, u, neutral(h)) for i, u, h in rows], pages.schema)
+    marked = {r["page_id"]: r["text"] for r in html_template.extract(pages).collect()}
+    found = {r["page_id"]: r["text"] for r in html_template.extract(plain).collect()}
+    assert sum(marked[i] == found[i] for i in marked) >= 0.95 * len(rows)
+    hosts = Counter(re.match(r"https?://([^/:?#]+)", u)[1] for _, u, _ in rows)
+    several = sum(n >= 5 for n in hosts.values())
+    assert html_template.templates(plain).select("host").distinct().count() >= 0.9 * several > 0
+
+
+def brute_classes(pages):
+    """Roles and text blocks of one host's pages, in classes of equal occurrence vectors, without sums of hashes."""
+    distinct = {tuple(sorted(html_template._read(html)[3].items())) for html in pages}
+    vectors = defaultdict(dict)
+    for number, tokens in enumerate(distinct):
+        for token, times in tokens:
+            vectors[token][number] = times
+    most = max(map(len, vectors.values()))
+    wide = {t: v for t, v in vectors.items() if len(v) >= max(3, 0.5 * most)}
+    classes = defaultdict(list)
+    for (path, token), vector in wide.items():
+        if path not in html_template._ROOTS:
+            classes[tuple(sorted(vector.items()))].append((path, token))
+    return {t for tokens in classes.values() if len(tokens) >= 3 for t in tokens}
+
+
+def test_templates_against_brute_force(spark):
+    random = np.random.default_rng(4)
+
+    def words(n):
+        return " ".join(random.choice(WORDS, n))
+
+    pages = []
+    for k in range(14):
+        menu = "".join(f"<li><a href=#>{words(1)}</a></li>" for _ in range(3 + k % 3))
+        body = "".join(f"<p>{words(20)}</p>" for _ in range(2 + k % 4))
+        news = f"<div><h3>News</h3><p>{words(2)}</p></div>" if k % 2 else ""
+        pages.append(
+            f"<html><body><div><ul>{menu}</ul></div><div><h2>{words(3)}</h2><div>{body}</div><div>Share <a>this</a></div></div>"
+            f"<div>All rights <b>reserved</b></div>{news}</body></html>"
+        )
+    pages += pages[:3]
+    frame = spark.createDataFrame([(k, f"http://h/{k}", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {(r["path"], r["token"]) for r in html_template.templates(frame).collect()}
+    expected = brute_classes(pages)
+    # Nesting can only reject classes; here all lie inside the page's body.
+    assert got == expected and any(token for _, token in got)
+    slot = html_template.entered(
+        {p: m for p, m in html_template.masses([b for h in pages for b in html_template._read(h)[0]]).items()}
+    )
+    assert slot == "/html/body/div[2]/div[1]"
+    texts = extracted(spark, [(k, f"http://h/{k}", h) for k, h in enumerate(pages)])
+    for k, html in enumerate(pages):
+        assert texts[k] == "\n\n".join(re.findall(r"<p>(.*?)</p>", html)[: 2 + (k if k < 14 else k - 14) % 4])
+
+
+def test_a_page_without_its_template_is_read_alone(spark):
+    rows = [
+        (k, f"http://h/{k}", f"<body><div>Ad {k}</div><div><h1>T{k}</h1><p>{'text ' * 30}{k}</div><div>Foot {k} of it</div></body>")
+        for k in range(6)
+    ]
+    # No advert here, so the article stands where others have their foot.
+    rows.append((9, "http://h/9", f"<body><p>x</p><table><tr><td><div><p>{'own words ' * 20}</p></div></table><div><div>Foot</div></div></body>"))
+    texts = extracted(spark, rows)
+    assert texts[9] == ("own words " * 20).strip()
+    assert all(texts[k] == f"T{k}\n\n{'text ' * 30}{k}" for k in range(6))
