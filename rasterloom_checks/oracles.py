@@ -434,11 +434,12 @@ def _first(rules: str) -> str:
 
 _RESAMPLE = f"""WITH {CROPS},
 sm AS (SELECT * FROM ft WHERE scale < 1),
-cp AS (
-  SELECT request_id, sm.width, sm.height, output_width, output_height,
-         px.x - sm.x AS x, px.y - sm.y AS y, r, g, b
-  FROM sm JOIN px ON px.image_id = sm.image_id AND px.x >= sm.x AND px.x < sm.x + sm.width
-    AND px.y >= sm.y AND px.y < sm.y + sm.height
+pt AS MATERIALIZED (SELECT * FROM px),
+ln AS (SELECT *, unnest(range(CAST(height AS BIGINT))) AS dy FROM sm),
+sp AS (SELECT *, unnest(range(CAST(width AS BIGINT))) AS dx FROM ln),
+cp AS MATERIALIZED (
+  SELECT request_id, sp.width, sp.height, output_width, output_height, dx AS x, dy AS y, r, g, b
+  FROM sp JOIN pt ON pt.image_id = sp.image_id AND pt.x = sp.x + dx AND pt.y = sp.y + dy
 ),
 across AS (
   SELECT request_id, height, output_height, y, o AS x, {_shrunk("r")}, {_shrunk("g")}, {_shrunk("b")}
@@ -567,9 +568,10 @@ FROM ok JOIN px ON px.image_id = ok.image_id AND px.x >= ok.x AND px.x < ok.x +
     "resample": _RESAMPLE,
     "region_rasters": _RESAMPLE + """
 UNION ALL
-SELECT request_id, px.x - ft.x AS x, px.y - ft.y AS y, r, g, b
-FROM ft JOIN px ON px.image_id = ft.image_id AND px.x >= ft.x AND px.x < ft.x + ft.width
-  AND px.y >= ft.y AND px.y < ft.y + ft.height WHERE scale = 1""",
+SELECT request_id, CAST(dx AS INTEGER) AS x, CAST(dy AS INTEGER) AS y, r, g, b
+FROM (SELECT *, unnest(range(CAST(width AS BIGINT))) AS dx
+      FROM (SELECT *, unnest(range(CAST(height AS BIGINT))) AS dy FROM ft WHERE scale = 1)) AS f
+  JOIN pt ON pt.image_id = f.image_id AND pt.x = f.x + dx AND pt.y = f.y + dy""",
     "asset_ledger": f"""WITH {UPLOADS}
 SELECT asset_id, principal, kind, byte_count, date_trunc('second', created_at) AS created_at, expires_at FROM up""",
     "content_sink": "WITH t AS (" + _content("string_agg(text, chr(10) ORDER BY position)") + "), c AS (" + _content(
