@@ -21,6 +21,8 @@ from .text import documents, flat, mix, pieces
 
 UNKNOWN = "und"
 BITS = 16
+#: How far a text's trigrams may be, on average, on the way from those of its language (0) to ones that it never has (1).
+FAR = 0.6
 SWITCH = 12.0
 #: A language writes in a script that holds this share of its letters.
 SCRIPT_SHARE = 0.01
@@ -270,20 +272,48 @@ def identify(
     return rows.mapInArrow(run, shape)
 
 
+def learned_share(texts: pa.Array, model: Model, switch: float, far: float) -> np.ndarray:
+    """Of every text the share of its letters in its main language, where that is a learned one.
+
+    Words in a script that no learned language writes are in none. A text is in none if the log probability of the trigrams of the
+    words in its main language lies, on average, beyond ``far`` of the way from that language's own to that of an unseen trigram.
+    """
+    n, n_lang = len(texts), len(model.languages)
+    w = _words(texts, model.tables)
+    keep = np.flatnonzero(w.letters > 0)
+    if not n_lang or not len(keep):
+        return np.zeros(n)
+    doc, letters = w.doc[keep], w.letters[keep]
+    scores = _scores(w, model)[keep]
+    found = viterbi(scores, doc, n, switch)
+    written_ = model.allowed[w.script[keep]].any(axis=1)
+    weight = np.bincount(doc * n_lang + found, letters * written_, n * n_lang).reshape(n, n_lang)
+    best = weight.argmax(axis=1)
+    share = weight.max(axis=1) / np.maximum(np.bincount(doc, letters, n), 1)
+    grams = np.add.reduceat(w.inside.astype(np.int64), w.first)[keep]
+    own = written_ & (found == best[doc])
+    likely = np.bincount(doc[own], scores[own, found[own]], n)
+    count = np.bincount(doc[own], grams[own], n)
+    usual = (np.exp(model.logp.astype(np.float64)) * model.logp).sum(axis=0)
+    least = usual - far * (usual - model.logp.min(axis=0))
+    return np.where(likely >= count * least[best], share, 0.0)
+
+
 def filter_languages(
-    docs: DataFrame, model: Model, min_share: float, text_col: str = "text", switch: float = SWITCH
+    docs: DataFrame, model: Model, min_share: float, text_col: str = "text", switch: float = SWITCH, far: float = FAR
 ) -> DataFrame:
-    """The rows, all columns kept, whose text has a language with ``min_share`` of its letters at least.
+    """The rows, all columns kept, whose text has a learned language with ``min_share`` of all its letters at least.
 
-    Texts that ``identify`` gives ``und`` go. Decided row by row, without a shuffle.
+    Texts without letters go, and those that ``learned_share`` finds in no learned language: in another script, or unlike any of
+    them. Decided row by row, without a shuffle; repeated rows stay or go together, texts are read whole.
     """
 
     def keep(texts: pa.Array) -> pa.Array:
         kept = []
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
         for part in pieces(iter([batch]), limit=PIECE):
-            _, best, score = label(part.column("text"), model, switch)
-            kept.append((best < len(model.languages)) & (score >= min_share))
+            share = learned_share(part.column("text"), model, switch, far)
+            kept.append((share > 0) & (share >= min_share))
         return pa.array(np.concatenate([*kept, np.zeros(0, bool)]))
 
     return docs.where(F.arrow_udf(keep, "boolean")(F.col(f"`{text_col}`")))

@@ -27,7 +27,8 @@ BASE_KINDS = ("assign", "access", "hex")
 #: Weaker candidates, reported only if they look live.
 MORE_KINDS = ("vendor", "header", "login", "opaque")
 KINDS = BASE_KINDS + MORE_KINDS
-MAX_OWNERS = 2
+#: A value that more owners or more repositories hold is a copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 20
 MIN_BITS = 3.0
 
 ASSIGN = re.compile(
@@ -38,7 +39,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 MORE = {
     "vendor": re.compile(r"\b(?:gh[pousr]_|glpat-|xox[abprs]-|sk-|npm_|AIza)[A-Za-z0-9_-]{16,}|\beyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}", re.A),
     "header": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*"),
-    "login": re.compile(r"://[^\s/:@]{1,64}:[^\s/:@]{6,128}@"),
+    "login": re.compile(r"://[^\s/:@]+:[^\s/:@]{6,}@"),
     "opaque": re.compile(r"[A-Za-z0-9+/_=-]{24,}"),
 }
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -126,11 +127,12 @@ def secret_scan(
     text_col: str = "text",
     owner_col: str = "source",
     max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """``doc_id, spans`` of every row; a span has ``start, rank, kind, end, owners, repositories, live`` (code points, end exclusive).
 
     A repository is a row's id, its owner the value of ``owner_col``. ``live`` means that at most ``max_owners`` owners
-    hold the value. Base kinds are always listed, weaker kinds only if live. Null and empty texts have no span; null
+    and ``max_repositories`` repositories hold the value: one copied into many is an example, also within one owner. Base kinds are always listed, weaker kinds only if live. Null and empty texts have no span; null
     owners count as one owner, null ids as one repository each owner. Repeated rows come back once each and count once.
     """
     rows = docs.select(
@@ -155,7 +157,7 @@ def secret_scan(
     )
     held = written(counted, "secret-owners")
     listed = each.withColumn("value", F.col("span.value")).join(held, "value")
-    live = F.col("owners") <= max_owners
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("span.kind")).cast("int")
     shown = listed.where(F.col("span.kind").isin(*BASE_KINDS) | live).select(
         "row",

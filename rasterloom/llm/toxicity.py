@@ -13,12 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.session import written
+
 from .text import LOWER, NO_WORD, documents, flat, hash_spans, mix, pieces, word_bounds
 
 #: Labelled rows of each label that the model sees at most, those with the least hash of their id.
 SAMPLE = 6_000
 BITS = 20
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 15.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 40.0, 1.0
+#: How often an equal row can count.
+MOST_TIMES = 100
 EPOCHS = 4
 #: Pairs of words at these distances: 1 is the bigram, others are skip-grams.
 DISTANCES = (1, 2, 3)
@@ -49,8 +53,10 @@ def _by_text(keys: np.ndarray, docs: np.ndarray, bits: int) -> tuple[np.ndarray,
     return both & ((1 << bits) - 1), both >> bits
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Weights and bias of FTRL-proximal with a learning rate per coordinate; rows: features, label."""
+def fit_ftrl(
+    rows: list[tuple[np.ndarray, int]], bits: int = BITS, times: list[int] | None = None
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of FTRL-proximal with a learning rate per coordinate; rows: features, label; how often each counts."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias_z = bias_n = 0.0
     positive = max(1, sum(y for _, y in rows))
@@ -67,7 +73,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS) -> tuple[np.n
             w = weight(zi, ni)
             b = -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA)
             p = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35)))
-            g = (p - y) * (balance if y else 1.0)
+            g = (p - y) * (balance if y else 1.0) * (times[k] if times else 1)
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
             z[x] = zi + g - sigma * w
             n[x] = ni + g * g
@@ -89,8 +95,9 @@ def train(
     """Numbers of the features with a weight, their weights, and the bias.
 
     ``usable`` says which labels may be learned (a condition on the labels' ``doc_id``). Null labels, ids and texts
-    teach nothing; other labels than 0 and 1 neither; repeated rows teach as often as they appear, within the
-    bound. Without any row all weights are zero.
+    teach nothing; other labels than 0 and 1 neither. Equal rows of one id, text and label are one row that counts as often as it
+    appears, up to ``MOST_TIMES``. The fitting task gets ``sample`` rows of each label at most, whatever the join with ``docs`` gives.
+    Without any row all weights are zero.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.where("_id IS NOT NULL AND y IN (0, 1)")
@@ -121,10 +128,10 @@ def train(
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
         for batch in batches:
-            rows = zip(batch.column("doc_id"), batch.column("y"), batch.column("x"), strict=True)
-            seen += [(i.as_py(), y.as_py(), x.as_py()) for i, y, x in rows]
-        seen.sort(key=lambda r: (r[0], r[2]))
-        weights, bias = fit_ftrl([(np.frombuffer(x, np.int32), y) for _, y, x in seen])
+            seen += list(zip(*[batch.column(c).to_pylist() for c in ("doc_id", "x", "y", "times")], strict=True))
+        seen.sort(key=lambda r: r[:3])
+        rows = [(np.frombuffer(x, np.int32), y) for _, x, y, _ in seen]
+        weights, bias = fit_ftrl(rows, times=[min(t, MOST_TIMES) for *_, t in seen])
         kept = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays(
             [pa.array([kept.astype(np.int32).tobytes()]), pa.array([weights[kept].tobytes()]), pa.array([bias])],
@@ -133,7 +140,12 @@ def train(
 
     kind = docs.schema[id_col].dataType.simpleString()
     packed = rows.mapInArrow(extract, f"doc_id {kind}, y int, x binary")
-    fitted = packed.repartition(1).mapInArrow(fit, "keys binary, weights binary, bias double").first()
+    folded = written(packed.groupBy("doc_id", "y", "x").agg(F.count("*").alias("times")), "labelled-features")
+    place = (F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("x"))
+    bounded = folded.where("y = 1").orderBy(*place).limit(sample).unionByName(
+        folded.where("y = 0").orderBy(*place).limit(sample)
+    )
+    fitted = bounded.repartition(1).mapInArrow(fit, "keys binary, weights binary, bias double").first()
     if fitted is None:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
     return np.frombuffer(fitted[0], np.int32).astype(np.int64), np.frombuffer(fitted[1]), fitted[2]

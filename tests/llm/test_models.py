@@ -208,3 +208,92 @@ def test_discounts_fall_back_where_counts_of_counts_do_not_allow_them():
     assert katz.discounts(np.zeros(8)).tolist() == [0, *[1 - 0.5 / r for r in range(1, 6)], 1]
     usual = katz.discounts(np.array([0, 1000, 300, 150, 90, 60, 40, 200]))
     assert all(0 < d < 1 for d in usual[1:6])
+
+
+def plain_ftrl(rows, times):
+    """FTRL-proximal coordinate by coordinate, as it is published."""
+    z, n, bias_z, bias_n = defaultdict(float), defaultdict(float), 0.0, 0.0
+    ones = max(1, sum(y for _, y in rows))
+    balance = min(10.0, max(1.0, (len(rows) - ones) / ones))
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for epoch in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            x, y = rows[k]
+            bias = -bias_z / ((toxicity.BETA + math.sqrt(bias_n)) / toxicity.ALPHA)
+            own = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(own.values()) + bias))))
+            g = (p - y) * (balance if y else 1.0) * times[k]
+            for i, w in own.items():
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - sigma * w
+                n[i] += g * g
+            sigma = (math.sqrt(bias_n + g * g) - math.sqrt(bias_n)) / toxicity.ALPHA
+            bias_z += g - sigma * bias
+            bias_n += g * g
+    return {i: weight(i) for i in z}, -bias_z / ((toxicity.BETA + math.sqrt(bias_n)) / toxicity.ALPHA)
+
+
+def test_ftrl_equals_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 1.5)
+    random = np.random.default_rng(2)
+    rows = [(np.unique(random.integers(0, 60, 12)), int(random.random() < 0.3)) for _ in range(150)]
+    times = random.integers(1, 4, 150).tolist()
+    weights, bias = toxicity.fit_ftrl(rows, bits=6, times=times)
+    plain, plain_bias = plain_ftrl([(x.tolist(), y) for x, y in rows], times)
+    assert bias == pytest.approx(plain_bias)
+    assert {i: w for i, w in plain.items() if w} == pytest.approx({i: weights[i] for i in np.flatnonzero(weights)})
+    assert 0 < np.count_nonzero(weights) < 60
+
+
+def test_the_fitting_task_is_bounded_after_the_join(spark, monkeypatch):
+    sizes = []
+    fit = toxicity.fit_ftrl
+
+    def noted(rows, bits=toxicity.BITS, times=None):
+        raise ValueError(f"rows {len(rows)} {sorted(times)}")
+
+    monkeypatch.setattr(toxicity, "fit_ftrl", noted)
+    # One id has many texts, another one text many times over, a third a very long one.
+    docs = [(1, f"text number {k}") for k in range(40)] + [(2, "always the same")] * 30 + [(3, "long words " * 30_000)]
+    labels = [(1, 1), (1, 1), (2, 0), (3, 0), (4, 1), (None, 1), (3, None)]
+    frames = (
+        spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, y string"),
+        spark.createDataFrame(labels, "doc_id long, toxic int"),
+    )
+    with pytest.raises(Exception, match=r"rows 7 \[1, 2, 2, 2, 2, 2, 30\]"):
+        toxicity.train(*frames, sample=5)
+    monkeypatch.setattr(toxicity, "fit_ftrl", fit)
+    scored = toxicity.toxicity(frames[0], toxicity.train(*frames, sample=5))
+    assert scored.count() == len(docs) and not sizes
+
+
+def test_texts_of_unlearned_languages_are_filtered_out(spark):
+    words = {
+        "en": "the quick brown fox jumps over lazy dogs and runs away with many other things".split(),
+        "de": "der schnelle braune fuchs springt über faule hunde und läuft mit anderen dingen davon".split(),
+    }
+    random = np.random.default_rng(3)
+    rows = [(k, " ".join(random.choice(words[lang], 60)), lang) for k, lang in enumerate(["en", "de"] * 60)]
+    learned = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    others = [
+        (1, "the dogs and the fox"),
+        (2, "быстрая коричневая лиса прыгает через ленивых собак"),
+        (3, "the fox быстрая коричневая лиса прыгает через собак"),
+        (4, "the quick brown fox jumps over лиса"),
+        (5, "wszyscy ludzie rodzą się wolni i równi pod względem swej godności"),
+        (6, None),
+        (7, "12 34"),
+        (1, "the dogs and the fox"),
+        (8, "der fuchs läuft " * 30_000),
+        (9, ""),
+    ]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in others], "doc_id long, text string, share string")
+    kept = language.filter_languages(frame, language.train(learned), 0.5)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 4, 8]
+    assert language.filter_languages(frame, language.train(learned.limit(0)), 0.5).count() == 0

@@ -343,3 +343,15 @@ def test_a_page_without_its_template_is_read_alone(spark):
     texts = extracted(spark, rows)
     assert texts[9] == ("own words " * 20).strip()
     assert all(texts[k] == f"T{k}\n\n{'text ' * 30}{k}" for k in range(6))
+
+
+def test_examples_copied_within_one_owner_are_not_live(spark):
+    key = "AKIA" + "Q7" * 8
+    rows = [(k, f"key {key} here", "one") for k in range(30)] + [(100, "key AKIA" + "X9" * 8, "one"), (101, None, None)]
+    rows.append((102, "https://" + "user" * 40 + ":" + "Pa55w0rd9x" * 30 + "@host/", "two"))
+    found = secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r["doc_id"]: [(s["kind"], s["live"], s["end"] - s["start"]) for s in r["spans"]] for r in found.collect()}
+    assert all(got[k] == [("access", False, 20)] for k in range(30))
+    assert got[100] == [("access", True, 20)] and got[101] == []
+    # Names and passwords have no greatest length.
+    assert [s for s in got[102] if s[0] == "login"] == [("login", True, 3 + 160 + 1 + 300 + 1)]
