@@ -534,6 +534,14 @@ SELECT pair_id, x, y,
        CASE WHEN changed THEN 0 ELSE (ar * 19595 + ag * 38470 + ab * 7471 + 32768) >> 16 END AS g,
        CASE WHEN changed THEN 0 ELSE (ar * 19595 + ag * 38470 + ab * 7471 + 32768) >> 16 END AS b
 FROM cv WHERE pair_id IN (SELECT pair_id FROM totals WHERE changed_pixels > 0)""",
+    "diff_artifacts": f"""WITH {_compared()},
+answers AS (
+  SELECT pair_id, changed_pixels > 0 AS has_diff,
+         CASE WHEN changed_pixels > 0 THEN CAST(ceil(greatest(bw, aw) / 16.0) * ceil(greatest(bh, ah) / 16.0) AS BIGINT) END AS n
+  FROM totals JOIN sized USING (pair_id)
+)
+SELECT CAST(run AS INTEGER) AS run, pair_id + shift AS pair_id, CASE WHEN has_diff THEN pair_id END AS first_pair, n AS stored_tiles, has_diff
+FROM answers, (VALUES (1, 0), (2, 0), (2, 1000)) AS runs(run, shift)""",
     "orient_pixels": f"""WITH {PIXELS},
 o AS (SELECT px.*, width, height, image_id % 8 + 1 AS turn FROM px JOIN im USING (image_id))
 SELECT image_id,
@@ -787,6 +795,16 @@ FROM up WHERE floor(epoch(TIMESTAMP '{AS_OF}' - created_at) / 86400) > 1""",
     "quota_admission": _admission(),
     "quota_admission_held": _admission(held=True),
     "request_rollup": _rollup(False),
+    "rollup_days": """WITH rq AS (
+  SELECT ts, '/tools/' || event_type AS path, value AS duration_ms,
+         [200, 200, 200, 200, 400, 404, 413, 429, 503, 504][event_id % 10 + 1] AS status
+  FROM events
+)
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, path, status, count(*) AS calls,
+       avg(CASE WHEN status >= 400 THEN 1 ELSE 0 END) AS error_share,
+       avg(CASE WHEN status IN (503, 504) THEN 1 ELSE 0 END) AS retryable_share,
+       max(duration_ms) AS max_ms, true AS p50_near, true AS p95_near, true AS mean_near
+FROM rq GROUP BY 1, 2, 3""",
     "stream_intake": f"WITH {FILES} SELECT path, byte_count, content_type, error_code FROM pg",
     "stream_quota": _admission(),
     "stream_quota_held": _admission(held=True),

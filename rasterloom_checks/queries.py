@@ -15,9 +15,10 @@ from rasterloom.functions import errors, gates, media
 from rasterloom.functions import pixels as px
 from rasterloom.operators import admission, assets, compare, layout, regions, requests, resample
 from rasterloom.operators.components import label_blocks, label_components, tile_adjacency
+from rasterloom.plans import compare as stored_compare
 from rasterloom.plans.extract import extract_layout as extract
 from rasterloom.plans.optimize import optimize_regions, region_rasters
-from rasterloom.session import apply_defaults, fresh_path
+from rasterloom.session import apply_defaults, fresh_path, written
 from rasterloom.settings import MAX_DETAIL_ENTRIES, TILE
 from rasterloom.sources import catalogue, image_source, payloads, sinks
 from rasterloom.sources import images as image_files
@@ -157,6 +158,21 @@ def diff_raster(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def diff_artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs that store diffs, the second over each pair twice: what each answers, and what is stored after both."""
+    path = fresh_path(spark, "artifacts")
+    tiles, images, pairs = views.tiles(spark, folder), views.images(spark, folder), views.pairs(spark, folder)
+    again = pairs.unionByName(pairs.withColumn("pair_id", F.col("pair_id") + 1000))
+    tiles = written(tiles, "tiles")
+    first = written(stored_compare.compare_and_store(tiles, images, pairs, path, "one"), "first").withColumn("run", F.lit(1))
+    second = stored_compare.compare_and_store(tiles, images, again, path, "two").withColumn("run", F.lit(2))
+    held = stored_compare.read_diffs(spark, path).groupBy("artifact_id").agg(F.count("*").alias("stored_tiles"))
+    of = first.where("diff_artifact_id IS NOT NULL").select("diff_artifact_id", F.col("pair_id").alias("first_pair"))
+    both = first.unionByName(second).join(of, "diff_artifact_id", "left")
+    held = held.withColumnRenamed("artifact_id", "diff_artifact_id")
+    return both.join(held, "diff_artifact_id", "left").select("run", "pair_id", "first_pair", "stored_tiles", "has_diff")
+
+
 def orient_pixels(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.raster_rows(spark, folder).join(
         views.images(spark, folder).select("image_id", "width", "height"), "image_id"
@@ -392,14 +408,14 @@ def stored_assets(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.col("user_id").cast("string"), F.lit("/")).alias("at"),
         F.date_trunc("second", "created").alias("created"),
     )
-    written = F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    shown = F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     fields = {
         "assetId": F.col("id"),
         "principal": F.concat(F.lit("p_"), F.col("user_id").cast("string")),
         "contentType": F.lit("image/png"),
         "byteCount": F.col("n"),
-        "createdAt": F.when(F.pmod("user_id", F.lit(7)) != 3, written),
-        "expiresAt": written,
+        "createdAt": F.when(F.pmod("user_id", F.lit(7)) != 3, shown),
+        "expiresAt": shown,
     }
     about = owned.select(
         F.concat("at", "id", F.lit(".json")).alias("name"),
@@ -885,6 +901,26 @@ def request_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return rolled.withColumn("window_start", _naive("window_start"))
 
 
+def rollup_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Days from stored hours; quantiles are near if their ranks among all requests of the day are within one in a hundred."""
+    asked = views.requests(views.table(spark, folder, "events"))
+    path = fresh_path(spark, "hours")
+    requests.request_sketches(asked).write.parquet(path)
+    days = requests.merged_rollup(spark.read.parquet(path))
+    keys = ["window_start", "path", "status"]
+    raw = asked.select(F.date_trunc("day", "ts").alias("window_start"), "path", "status", "duration_ms")
+    ranks = raw.join(days.select(*keys, "p50_ms", "p95_ms", "mean_ms"), keys).groupBy(*keys)
+    found = {}
+    for name, rank in (("p50", 0.5), ("p95", 0.95)):
+        below = F.avg((F.col("duration_ms") < F.col(f"{name}_ms")).cast("int"))
+        upto = F.avg((F.col("duration_ms") <= F.col(f"{name}_ms")).cast("int"))
+        found[f"{name}_near"] = (below <= rank + 0.01) & (upto >= rank - 0.01)
+    # Sums of hours and of requests differ in their last bits, so means are compared up to their rounding.
+    exact = F.abs(F.avg("duration_ms") - F.first("mean_ms")) <= 0.0000501
+    near = ranks.agg(*[c.alias(name) for name, c in found.items()], exact.alias("mean_near"))
+    return days.drop("p50_ms", "p95_ms", "mean_ms").join(near, keys).withColumn("window_start", _naive("window_start"))
+
+
 # -- streams ------------------------------------------------------------------
 
 
@@ -965,6 +1001,7 @@ _ALL: dict[str, Query] = {
     "compare_images_wide": compare_images_wide,
     "tile_adjacency": adjacent_tiles,
     "diff_raster": diff_raster,
+    "diff_artifacts": diff_artifacts,
     "orient_pixels": orient_pixels,
     "box_gate": box_gate,
     "gated_requests": gated_requests,
@@ -1023,6 +1060,7 @@ _ALL: dict[str, Query] = {
     "quota_admission": quota_admission,
     "quota_admission_held": quota_admission_held,
     "request_rollup": request_rollup,
+    "rollup_days": rollup_days,
     "stream_intake": stream_intake,
     "stream_quota": stream_quota,
     "stream_quota_held": stream_quota_held,
