@@ -196,17 +196,24 @@ def largest_regions(regions: DataFrame, max_regions: int) -> DataFrame:
 
 
 def compare_images(
-    tiles: DataFrame, images: DataFrame, pairs: DataFrame, rows_per_slot: int = ROWS_PER_SLOT
+    tiles: DataFrame,
+    images: DataFrame,
+    pairs: DataFrame,
+    rows_per_slot: int = ROWS_PER_SLOT,
+    aligned: DataFrame | None = None,
 ) -> DataFrame:
     """One row per pair: totals, ordered regions, truncation flag and warnings.
 
     Pixels are read once: tile statistics feed both the totals and the regions. Both ranks are filters, so
     Spark cuts every group before its shuffle. A pair whose parameters break a rule, or whose image was refused
-    (``images.error_code``, where that column exists), answers with that code and nothing else.
+    (``images.error_code``, where that column exists), answers with that code and nothing else. ``aligned`` may hand in
+    what ``align_tiles`` found for these pairs.
     """
     pairs = gated_pairs(pairs, images)
     usable = pairs.where("error_code IS NULL").drop("error_code")
-    stats = tile_stats(align_tiles(tiles, usable, rows_per_slot))
+    if aligned is None:
+        aligned = align_tiles(tiles, usable, rows_per_slot)
+    stats = tile_stats(aligned)
     components = cut_lineage(component_stats(label_components(stats)))
     limit = usable.select("pair_id", F.col("max_regions").alias("_limit"))
     listed = (
@@ -261,12 +268,16 @@ def compare_images(
 
 
 def diff_raster(
-    tiles: DataFrame, images: DataFrame, pairs: DataFrame, rows_per_slot: int = ROWS_PER_SLOT
+    tiles: DataFrame,
+    images: DataFrame,
+    pairs: DataFrame,
+    rows_per_slot: int = ROWS_PER_SLOT,
+    aligned: DataFrame | None = None,
 ) -> DataFrame:
     """Diff tiles on the bounding canvas: grey after-image, changed positions red, corners black.
 
     Only pairs that ask for a diff and changed at all get one. Tiles that differ are measured and painted in one pass;
-    the others are the grey after-image alone.
+    the others are the grey after-image alone. ``aligned`` as in ``compare_images``.
     """
     asked = pair_dims(pairs.where("include_diff"), images).where("union_area IS NOT NULL")
     canvas = asked.select(
@@ -285,7 +296,9 @@ def diff_raster(
         F.least(F.lit(TILE), F.col("canvas_height") - F.col("ty") * TILE).alias("th"),
     )
     channel = T.ArrayType(T.ShortType())
-    aligned = align_tiles(tiles, asked, rows_per_slot).join(size, "pair_id").select("*", *shape)
+    if aligned is None:
+        aligned = align_tiles(tiles, asked, rows_per_slot)
+    aligned = aligned.join(size, "pair_id").select("*", *shape)
     head = [aligned.schema["pair_id"], *[T.StructField(c, T.IntegerType()) for c in ("ty", "tx", "tw", "th")]]
     planes = [T.StructField(c, channel) for c in CHANNELS]
     painted = aligned.mapInArrow(paint_tiles, T.StructType([*head, *planes, T.StructField("n", T.LongType())]))

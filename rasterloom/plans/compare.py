@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.compare import compare_images, diff_raster
+from ..operators.compare import align_tiles, compare_images, diff_raster
 from ..operators.digests import tile_digests
 from ..session import written
 
@@ -58,7 +58,8 @@ def read_diffs(spark: SparkSession, path: str) -> DataFrame:
 
 def compare_and_store(tiles: DataFrame, images: DataFrame, pairs: DataFrame, path: str, run: str) -> DataFrame:
     """``compare_images`` with ``diff_artifact_id``: the stored diff of each pair that asked for one and changed."""
-    ids = store_diffs(written(diff_raster(tiles, images, pairs), "diffs"), path, run)
+    aligned = written(align_tiles(tiles, pairs), "aligned")
+    ids = store_diffs(written(diff_raster(tiles, images, pairs, aligned=aligned), "diffs"), path, run)
     named = ids.withColumnRenamed("artifact_id", "diff_artifact_id")
-    found = compare_images(tiles, images, pairs).join(named, "pair_id", "left")
+    found = compare_images(tiles, images, pairs, aligned=aligned).join(named, "pair_id", "left")
     return found.withColumn("diff_artifact_id", F.when(F.col("has_diff"), F.col("diff_artifact_id")))

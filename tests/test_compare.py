@@ -9,6 +9,7 @@ from rasterloom.operators import compare, key_filter
 from rasterloom.operators.components import contract, label_components
 from rasterloom.operators.digests import differing_tiles, tile_digests
 from rasterloom.operators.key_filter import only_keys
+from rasterloom.plans import compare as stored_compare
 from rasterloom.session import written
 
 
@@ -290,3 +291,27 @@ def test_a_full_key_filter_only_lets_more_rows_pass(spark, monkeypatch):
     many = only_keys(rows, keys, ["k"])
     assert many.join(keys, "k").count() == 5000 and many.count() > 6000
     assert only_keys(rows, keys.limit(0), ["k"]).count() == 0
+
+
+def test_stored_diffs_are_kept_once_and_a_broken_run_goes_on(spark, tmp_path, monkeypatch):
+    random = np.random.default_rng(9)
+    one = random.integers(0, 256, (40, 40, 3))
+    two, three = one.copy(), one.copy()
+    two[5, 5] = 255 - two[5, 5]
+    three[20:30, 3:9] = 0
+    tiles, images = tables(spark, {"a": one, "b": two, "c": three})
+    first = pairs(spark, [(1, "a", "b", 0.0, 5, True), (2, "a", "b", 0.0, 5, True), (3, "a", "a", 0.0, 5, True), (4, "a", "c", 0.0, 5, False)])
+    later = pairs(spark, [(7, "a", "b", 0.0, 5, True), (8, "a", "c", 0.0, 5, True)])
+    path = str(tmp_path / "diffs")
+    answers = {r.pair_id: r.diff_artifact_id for r in stored_compare.compare_and_store(tiles, images, first, path, "r1").collect()}
+    assert answers[1] == answers[2] and answers[1].startswith("a") and len(answers[1]) == 33
+    assert answers[3] is None and answers[4] is None
+    for _ in range(2):  # the second time as a run that was repeated
+        more = {r.pair_id: r.diff_artifact_id for r in stored_compare.compare_and_store(tiles, images, later, path, "r2").collect()}
+    assert more[7] == answers[1] and more[8] not in (None, answers[1])
+    held = stored_compare.read_diffs(spark, path).groupBy("artifact_id").count().collect()
+    assert {(r.artifact_id, r["count"]) for r in held} == {(answers[1], 9), (more[8], 9)}
+    # Tiles of a run that broke off before its ids are not read.
+    stored = spark.read.parquet(f"{path}/tiles/run=r1").withColumn("artifact_id", F.lit("a" + "0" * 32))
+    stored.write.parquet(f"{path}/tiles/run=r3")
+    assert stored_compare.read_diffs(spark, path).count() == 18

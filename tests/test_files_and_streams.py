@@ -9,7 +9,7 @@ from rasters import png, solid
 
 from rasterloom.functions.errors import error_struct
 from rasterloom.operators.admission import quota_admission
-from rasterloom.operators.requests import request_rollup
+from rasterloom.operators.requests import merged_rollup, request_rollup, request_sketches
 from rasterloom.sources import images as sources
 from rasterloom.sources import image_source, payloads, sinks
 from rasterloom.streaming import jobs
@@ -241,3 +241,29 @@ def test_rollup_stream_equals_the_batch(spark, tmp_path):
     columns = ["window_start", "path", "status", "calls", "error_share", "retryable_share", "mean_ms", "max_ms", "p50_ms", "p95_ms"]
     got = set(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()))
     assert got == set(map(tuple, request_rollup(rows).select(*columns).collect()))
+
+
+def test_merged_sketches_stand_for_the_requests(spark, tmp_path):
+    rows = spark.range(60_000).select(
+        F.timestamp_seconds(F.col("id") * 3).alias("ts"),
+        F.lit("/tools/x").alias("path"),
+        F.when(F.col("id") % 10 == 0, 503).otherwise(200).alias("status"),
+        F.pmod(F.xxhash64("id"), F.lit(100_000)).cast("double").alias("duration_ms"),
+    )
+    rows = rows.withColumn("duration_ms", F.when(F.col("ts") < "1970-01-02", F.col("duration_ms")))
+    request_sketches(rows).write.parquet(str(tmp_path / "hours"))
+    stored = spark.read.parquet(str(tmp_path / "hours"))
+    assert stored.count() == 2 * 50
+    days = merged_rollup(stored).orderBy("window_start", "status").collect()
+    day = F.date_trunc("day", "ts")
+    for row in days:
+        mine = rows.where((day == F.lit(row.window_start)) & (F.col("status") == row.status))
+        exact = sorted(r[0] for r in mine.select("duration_ms").where("duration_ms IS NOT NULL").collect())
+        assert row.calls == mine.count() and row.error_share == (row.status == 503)
+        if not exact:
+            assert row.p50_ms is None and row.mean_ms is None
+            continue
+        assert row.max_ms == exact[-1] and row.mean_ms == pytest.approx(np.mean(exact), abs=1e-3)
+        for value, rank in ((row.p50_ms, 0.5), (row.p95_ms, 0.95)):
+            assert abs(np.searchsorted(exact, value) / len(exact) - rank) < 0.005
+    assert len(days) == 6 and merged_rollup(stored.limit(0)).count() == 0
