@@ -6,12 +6,19 @@ image dimensions, and needs no shuffle of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import layout as lay
 from ..functions.errors import capped_warnings
-from ..settings import MAX_BLOCKS, MSG_BLOCKS_TRUNCATED, MSG_CONTENT_TRUNCATED
+from ..operators.layout import fall_back
+from ..settings import FALLBACK_CODES, MAX_BLOCKS, MSG_BLOCKS_TRUNCATED, MSG_CONTENT_TRUNCATED
+
+#: Parts of a run that are stored one after the other.
+SLICES = 16
+Step = Callable[[DataFrame], DataFrame]
 
 
 def extract_layout(
@@ -65,3 +72,39 @@ def extract_layout(
             F.coalesce(code, F.col("error_code")).alias("error_code"),
         )
     )
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def staged(inputs: DataFrame, step: Step, path: str, slices: int = SLICES) -> DataFrame:
+    """``step`` over ``inputs``, stored slice by slice of their ``image_id``: a run that broke off goes on with the next slice."""
+    spark = inputs.sparkSession
+    for k in range(slices):
+        target = f"{path}/slice={k}"
+        if not _finished(spark, target):
+            part = inputs.where(F.pmod(F.xxhash64("image_id"), F.lit(slices)) == k)
+            step(part).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(path).drop("slice")
+
+
+def fallback_run(
+    files: DataFrame,
+    primary: Step,
+    secondary: Step,
+    parse_primary: Step,
+    parse_secondary: Step,
+    path: str,
+    slices: int = SLICES,
+) -> DataFrame:
+    """Text of ``files`` in two phases: the second engine sees only what the first failed on in a way that may be retried.
+
+    ``primary`` and ``secondary`` turn files into payload rows, as ``recognize_with`` does. Both phases are stored below ``path``, and
+    a repeated run calls no engine again for a slice that is stored. The answer is that of ``fall_back``.
+    """
+    managed = parse_primary(staged(files, primary, f"{path}/primary", slices))
+    failed = managed.where(F.col("error_code").isin(*FALLBACK_CODES)).select("image_id")
+    again = files.withColumn("image_id", F.col("image_id").cast("string")).join(failed, "image_id", "left_semi")
+    return fall_back(managed, parse_secondary(staged(again, secondary, f"{path}/secondary", slices)))

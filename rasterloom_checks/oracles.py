@@ -606,6 +606,13 @@ SELECT 'i' || lpad(CAST(user_id AS VARCHAR), 32, '0') AS asset_id, CAST(user_id
        CASE WHEN NOT broken THEN n END AS byte_count, n AS stored_bytes,
        CASE WHEN NOT broken THEN created_at END AS created_at, broken AS orphan
 FROM u WHERE user_id % 5 <> 2""",
+    "fallback_run": """WITH l AS (
+  SELECT doc_id, list_transform(string_split(text, chr(10)), lambda v: trim(v, ' ' || chr(9) || chr(13))) AS lines
+  FROM documents
+)
+SELECT doc_id AS image_id, len(lines) > 40 AS fallback_used, CAST(NULL AS VARCHAR) AS error_code,
+       CAST(len(list_filter(lines, lambda v: v <> '')) AS INTEGER) AS block_count
+FROM l""",
     "engine_hook": """WITH l AS (
   SELECT doc_id, list_transform(string_split(text, chr(10)), lambda v: trim(v, ' ' || chr(9) || chr(13))) AS lines
   FROM documents

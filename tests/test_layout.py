@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from rasterloom.functions import layout as lay
 from rasterloom.functions.numeric import round_exact
 from rasterloom.operators import layout
+from rasterloom.plans import extract as extraction
 from rasterloom.plans.extract import extract_layout
 from rasterloom.settings import BLOCK
 from rasterloom.sources import payloads
+from rasterloom.sources.images import recognize_with
 
 PAYLOAD = "image_id int, provider string, status int, error_code string, body string"
 
@@ -295,3 +297,47 @@ def test_block_limit_is_applied_before_the_shuffle(spark):
     ordered = layout.reading_order(blocks_frame(spark, [(1, i, *FIRST) for i in range(9)]))
     plan = ordered._jdf.queryExecution().sparkPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_a_fallback_run_goes_on_and_calls_each_engine_once(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def engine(name, fails):
+        def make(language):
+            def run(content):
+                with open(log, "a") as file:
+                    file.write(f"{name} {content.decode()}\n")
+                if fails(content):
+                    raise TimeoutError
+                return json.dumps({"res": {"rec_texts": [name], "rec_scores": [1], "rec_polys": [[[0, 0], [9, 0], [9, 9]]]}})
+
+            return run
+
+        return lambda rows: recognize_with(rows, name, make)
+
+    files = spark.createDataFrame([(str(k), "en", str(k).encode()) for k in range(40)], "image_id string, language string, content binary")
+    primary = engine("first", lambda content: int(content) % 4 == 0)
+    secondary = engine("second", lambda content: content == b"8")
+
+    def parsed(rows):
+        return payloads.parse_local(rows.withColumns({"width": F.lit(100), "height": F.lit(100)}))
+
+    broken = iter([False, False, True])
+
+    def interrupted(rows):
+        if next(broken):
+            raise RuntimeError("lost")
+        return primary(rows)
+
+    path = str(tmp_path / "run")
+    with pytest.raises(RuntimeError):
+        extraction.fallback_run(files, interrupted, secondary, parsed, parsed, path, 4)
+    for _ in range(2):
+        found = extraction.fallback_run(files, primary, secondary, parsed, parsed, path, 4)
+        rows = {r.image_id: r for r in found.collect()}
+    assert {k for k, r in rows.items() if r.fallback_used} == {str(k) for k in range(0, 40, 4)}
+    assert rows["3"].blocks[0].text == "first" and rows["4"].blocks[0].text == "second"
+    assert rows["8"].error_code == "timeout"
+    with open(log) as file:
+        calls = sorted(line.strip() for line in file)
+    assert calls == sorted([f"first {k}" for k in range(40)] + [f"second {k}" for k in range(0, 40, 4)])
