@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.session import written
+
 from .text import NO_WORD, chain, documents, flat, hash_spans, pieces, word_bounds
 
 WIDTH = 5
@@ -128,41 +131,69 @@ def _hits(items: list[tuple[object, str]], kind: str, width: int, threshold: flo
     return F.arrow_udf(search, struct).asNondeterministic()
 
 
-def held_items(
-    text: Column,
-    items: DataFrame,
-    id_col: str = "item_id",
-    text_col: str = "text",
-    width: int = WIDTH,
-    threshold: float = THRESHOLD,
-) -> Column:
-    """Array of the items a text holds: ``item_id, n_shared, n_item``; empty for null and empty texts.
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
+    """Distinct ``doc_id, text`` of the items in blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` of text.
 
-    Words are compared in lower case, punctuation apart. An item of fewer than ``width`` words is one shingle of
-    all its words; one without words is held by no text. Null ids or texts of items are left out.
+    Blocks go by the hash of id and text, so an id that repeats with many texts is spread. Null ids and texts are left out.
     """
     known = documents(items, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL").distinct()
     n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, math.ceil(n / BLOCK_ITEMS), math.ceil(size / BLOCK_BYTES))
-    kind = known.schema["doc_id"].dataType.simpleString()
-    parts = []
-    for block in range(blocks):
-        mine = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block)
-        rows = sorted((r["doc_id"], r["text"]) for r in mine.collect())
-        parts.append(_hits(rows, kind, width, threshold)(text))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    if blocks == 1:
+        return [known]
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
+    stored = written(known.withColumn("block", number), "items")
+    return [stored.where(F.col("block") == k).drop("block") for k in range(blocks)]
+
+
+def held_items(text: Column, block: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> Column:
+    """Array of the items of a block that a text holds: ``item_id, n_shared, n_item``; empty for null and empty texts.
+
+    The block, bounded by ``item_blocks``, is gathered and goes to the tasks that search it.
+    """
+    rows = sorted((r["doc_id"], r["text"]) for r in block.collect())
+    return _hits(rows, block.schema["doc_id"].dataType.simpleString(), width, threshold)(text)
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``doc_id, item_id, n_shared, n_item, containment``, a row for each item a document holds.
 
-    Documents are taken whole, whatever their length; repeated rows report once each; documents that hold nothing
-    report nothing, and empty tables give none. Options are those of ``held_items``.
+    Words are compared in lower case, punctuation apart. An item of fewer than ``width`` words is one shingle of
+    all its words; one without words is held by no text. Null ids or texts of items are left out. Documents are taken
+    whole, whatever their length; repeated rows report once each; documents that hold nothing report nothing, and
+    empty tables give none. Every block of items is a pass over the documents, whose result is written before the next
+    block is gathered, so driver and tasks hold one block at a time.
     """
     rows = documents(docs, id_col, text_col)
-    found = rows.select("doc_id", held_items(F.col("text"), items, **options).alias("hits"))
-    return found.select("doc_id", F.explode("hits").alias("hit")).select(
-        "doc_id", "hit.*", (F.col("hit.n_shared") / F.col("hit.n_item")).alias("containment")
-    )
+    blocks = item_blocks(items)
+    parts = []
+    for block in blocks:
+        held = held_items(F.col("text"), block, width, threshold)
+        found = rows.select("doc_id", held.alias("hits"))
+        found = found.select("doc_id", F.explode("hits").alias("hit")).select(
+            "doc_id", "hit.*", (F.col("hit.n_shared") / F.col("hit.n_item")).alias("containment")
+        )
+        parts.append(found if len(blocks) == 1 else written(found, "contamination"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD
+) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, with all their columns; null and empty texts stay.
+
+    Blocks are passed as in ``contamination``, each over the rows that the ones before left.
+    """
+    blocks = item_blocks(items)
+    for block in blocks:
+        docs = docs.where(F.size(held_items(F.col(text_col), block, width, threshold)) == 0)
+        if len(blocks) > 1:
+            docs = written(docs, "uncontaminated")
+    return docs

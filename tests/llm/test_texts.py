@@ -58,6 +58,19 @@ def test_contamination_against_brute_force(spark, monkeypatch, block):
         spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, hits int"),
     )
     assert sorted(map(tuple, got.collect()), key=repr) == brute_contamination(docs, items)
+    clean = decontaminate.drop_contaminated(
+        spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, hits int"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    )
+    rows = {k: brute_contamination([doc], items) for k, doc in enumerate(docs)}
+    assert sorted(r.hits for r in clean.collect()) == [k for k, held in rows.items() if not held]
+
+
+def test_blocks_of_items_are_bounded_when_one_id_repeats(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 50)
+    items = spark.range(1000).selectExpr("7L AS item_id", "concat('item ', id) AS text")
+    sizes = [block.count() for block in decontaminate.item_blocks(items)]
+    assert len(sizes) == 20 and sum(sizes) == 1000 and max(sizes) < 100
 
 
 def test_contamination_of_empty_tables(spark):
@@ -66,6 +79,8 @@ def test_contamination_of_empty_tables(spark):
     assert decontaminate.contamination(docs, items).count() == 1
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
     assert decontaminate.contamination(docs, items.limit(0)).count() == 0
+    assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == 1
+    assert decontaminate.drop_contaminated(docs.limit(0), items).count() == 0
 
 
 def page(host, k, body, extra=""):
