@@ -39,8 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    held = decontaminate.held_items(F.col("text"), items)
-    return docs.withColumn("_held", held).where(F.size("_held") == 0).select(*COLUMNS)
+    return decontaminate.drop_contaminated(docs, items).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
