@@ -201,16 +201,18 @@ def reference_contents(
 def contained_paths(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """``paths(path)`` that are or lie below one of ``roots(root)``; relative paths and paths with a NUL never do.
 
-    Every path offers its ancestors as join keys, so the containment test is an equi semi-join.
+    Roots below other roots add nothing and go first. What is left are roots none of which is above another, so of the
+    ancestors that a path offers as join keys at most one is a root: every path comes out of one semi-join as often as it
+    went in. Ancestors that are no root, such as the file system's own, are filtered out before the exchange.
     """
+    clean = roots.select(gates.normalized_path(F.col("root")).alias("_root")).where("_root IS NOT NULL").distinct()
+    chain = gates.path_ancestors(F.col("_root"))
+    above = clean.select(F.col("_root").alias("_below"), F.explode(F.slice(chain, 1, F.size(chain) - 1)).alias("_root"))
+    nested = above.join(clean, "_root", "left_semi").select(F.col("_below").alias("_root"))
+    top = clean.join(nested, "_root", "left_anti")
     formed = paths.where(gates.path_form_gate(F.col("path")).isNull())
-    keyed = formed.withColumn("_clean", gates.normalized_path(F.col("path")))
-    offered = keyed.select(
-        "_clean", F.explode(gates.path_ancestors(F.col("_clean"))).alias("root")
-    ).distinct()
-    clean = roots.select(gates.normalized_path(F.col("root")).alias("root")).distinct()
-    inside = offered.join(clean, "root", "left_semi")
-    return keyed.join(inside.select("_clean").distinct(), "_clean", "left_semi").drop("_clean")
+    offered = formed.withColumn("_root", F.explode(gates.path_ancestors(gates.normalized_path(F.col("path")))))
+    return only_keys(offered, top, ["_root"]).join(top, "_root", "left_semi").drop("_root")
 
 
 def quota_usage(assets: DataFrame, as_of: datetime | str, scope: str = "principal") -> DataFrame:

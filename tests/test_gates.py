@@ -85,6 +85,18 @@ def test_contained_paths(spark):
     assert got == {"/a/b/c", "/a/b", "/x/../a/b/d"}
 
 
+def test_contained_paths_come_once_below_nested_roots_and_the_top(spark):
+    paths = spark.createDataFrame([("/a/b/c",), ("/a/b/c",), ("/q/r",), ("a/b",), (None,), ("/z",)], "path string")
+
+    def inside(*roots):
+        found = assets.contained_paths(paths, spark.createDataFrame([(r,) for r in roots], "root string"))
+        return sorted(r.path for r in found.collect())
+
+    assert inside("/a", "/a/b", "/a/b/c", None) == ["/a/b/c", "/a/b/c"]
+    assert inside("/", "/a", "/q") == ["/a/b/c", "/a/b/c", "/q/r", "/z"]
+    assert inside() == []
+
+
 @pytest.mark.parametrize(
     ("reference", "accepted"),
     [
