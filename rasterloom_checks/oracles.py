@@ -432,6 +432,11 @@ def _first(rules: str) -> str:
     return f"CASE WHEN len({rules}) > 0 THEN array_to_string(list_slice({rules}, 1, 5), '; ') END"
 
 
+_CROP_PIXELS = f"""WITH {CROPS}
+SELECT request_id, px.x - ok.x AS x, px.y - ok.y AS y, r, g, b
+FROM ok JOIN px ON px.image_id = ok.image_id AND px.x >= ok.x AND px.x < ok.x + ok.width
+  AND px.y >= ok.y AND px.y < ok.y + ok.height"""
+
 _RESAMPLE = f"""WITH {CROPS},
 sm AS (SELECT * FROM ft WHERE scale < 1),
 pt AS MATERIALIZED (SELECT * FROM px),
@@ -569,10 +574,8 @@ FROM rq""",
     "fit_scale": f"""WITH {CROPS}
 SELECT {FIT_COLUMNS}, scale < 1 AS downscaled, CASE WHEN scale < 1 THEN '{DOWNSCALED}' ELSE '' END AS warnings
 FROM ft""",
-    "crop_pixels": f"""WITH {CROPS}
-SELECT request_id, px.x - ok.x AS x, px.y - ok.y AS y, r, g, b
-FROM ok JOIN px ON px.image_id = ok.image_id AND px.x >= ok.x AND px.x < ok.x + ok.width
-  AND px.y >= ok.y AND px.y < ok.y + ok.height""",
+    "crop_pixels": _CROP_PIXELS,
+    "crop_stored": _CROP_PIXELS,
     "resample": _RESAMPLE,
     "region_rasters": _RESAMPLE + """
 UNION ALL

@@ -21,7 +21,7 @@ from rasterloom.plans.extract import extract_layout as extract
 from rasterloom.plans.optimize import optimize_regions, region_rasters
 from rasterloom.session import apply_defaults, fresh_path, written
 from rasterloom.settings import MAX_DETAIL_ENTRIES, TILE
-from rasterloom.sources import catalogue, image_source, payloads, sinks
+from rasterloom.sources import catalogue, image_source, payloads, sinks, tile_store
 from rasterloom.sources import images as image_files
 from rasterloom.streaming import jobs
 
@@ -224,6 +224,13 @@ def crop_pixels(spark: SparkSession, folder: str) -> DataFrame:
     return regions.crop_pixels(fitted, views.tiles(spark, folder))
 
 
+def crop_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same crops from tiles that were stored first, and read by folder, place and code."""
+    path = fresh_path(spark, "tiles")
+    tile_store.write_tile_store(views.tiles(spark, folder), path)
+    return tile_store.stored_crop_pixels(spark, path, regions.fit_sizes(_gated(spark, folder)))
+
+
 def resample_crops(spark: SparkSession, folder: str) -> DataFrame:
     fitted = regions.fit_sizes(_gated(spark, folder))
     return resample.strip_pixels(resample.resample(fitted, views.tiles(spark, folder)))
@@ -1040,6 +1047,7 @@ _ALL: dict[str, Query] = {
     "gated_requests": gated_requests,
     "fit_scale": fit_scale,
     "crop_pixels": crop_pixels,
+    "crop_stored": crop_stored,
     "resample": resample_crops,
     "region_rasters": requested_rasters,
     "asset_ledger": asset_ledger,

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from rasters import pairs, solid, tables
 
 from rasterloom.operators import compare, regions, resample
 from rasterloom.plans.optimize import optimize_regions, region_rasters
+from rasterloom.sources import tile_store
 
 SCHEMA = (
     "request_id int, image_id string, x int, y int, width int, height int, max_width int, "
@@ -162,3 +165,49 @@ def test_orientation_moves_every_pixel(spark):
         assert np.array_equal(got, wanted), turn
         size = points.select(*oriented_size(F.lit(turn), F.lit(40), F.lit(20))).first()
         assert (size[1], size[0]) == wanted.shape
+
+
+def test_morton_codes_take_bits_in_turn_and_never_fall(spark):
+    def plain(ty, tx):
+        return sum((ty >> k & 1) << (2 * k + 1) | (tx >> k & 1) << (2 * k) for k in range(16))
+
+    places = [(ty, tx) for ty in (0, 1, 2, 5, 255, 256, 40_000, 65_535) for tx in (0, 1, 3, 77, 1024, 65_535)]
+    frame = spark.createDataFrame(places, "ty int, tx int").withColumn("code", tile_store.morton(F.col("ty"), F.col("tx")))
+    codes = {(r.ty, r.tx): r.code for r in frame.collect()}
+    assert codes == {place: plain(*place) for place in places}
+    assert all(codes[a] <= codes[b] for a in places for b in places if a[0] <= b[0] and a[1] <= b[1])
+
+
+def test_small_boxes_meet_few_row_groups_of_a_store(spark, tmp_path):
+    random = np.random.default_rng(6)
+    rasters = {"big": random.integers(0, 256, (1200, 1200, 3)), "small": random.integers(0, 256, (40, 40, 3))}
+    tiles, _ = tables(spark, rasters)
+    path = str(tmp_path / "store")
+    tile_store.write_tile_store(tiles, path, row_group_bytes=64 << 10)
+    box = crops(spark, [(1, "big", 500, 330, 40, 30, 40, 30)])
+    read = tile_store.read_tiles_for(spark, path, box)
+    assert sorted((r.ty, r.tx) for r in read.collect()) == [(ty, tx) for ty in (20, 21, 22) for tx in (31, 32, 33)]
+    plan = spark._jvm.PythonSQLUtils.explainString(read._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [" in plan and "LessThanOrEqual(code" in plan and "GreaterThanOrEqual(ty" in plan
+    code = read.withColumn("code", tile_store.morton(F.col("ty"), F.col("tx"))).agg(F.min("code"), F.max("code")).first()
+    met = groups = 0
+    for file in Path(path).rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for k in range(meta.num_row_groups):
+            held = {meta.row_group(k).column(c).path_in_schema: meta.row_group(k).column(c).statistics for c in range(meta.num_columns)}
+            groups += 1
+            reach = {"code": code, "ty": (20, 22), "tx": (31, 33), "image_id": ("big", "big")}
+            met += all(held[c].min <= high and held[c].max >= low for c, (low, high) in reach.items())
+    assert groups >= 20 and met <= groups / 5
+    got = {(r.x, r.y): (r.r, r.g, r.b) for r in tile_store.stored_crop_pixels(spark, path, box).collect()}
+    assert got == {(x, y): tuple(rasters["big"][330 + y, 500 + x]) for x in range(40) for y in range(30)}
+
+
+def test_stores_without_tiles_and_without_crops(spark, tmp_path):
+    tiles, _ = tables(spark, {"a": solid(20, 20)})
+    tile_store.write_tile_store(tiles.limit(0), str(tmp_path / "none"))
+    tile_store.write_tile_store(tiles, str(tmp_path / "one"))
+    box = crops(spark, [(1, "a", 0, 0, 5, 5, 5, 5)])
+    assert tile_store.stored_crop_pixels(spark, str(tmp_path / "none"), box).count() == 0
+    assert tile_store.stored_crop_pixels(spark, str(tmp_path / "one"), box.limit(0)).count() == 0
+    assert tile_store.stored_crop_pixels(spark, str(tmp_path / "one"), box).count() == 25
