@@ -11,6 +11,7 @@ from rasterloom.operators.digests import differing_tiles, tile_digests
 from rasterloom.operators.key_filter import only_keys
 from rasterloom.plans import compare as stored_compare
 from rasterloom.session import written
+from rasterloom_checks import views
 
 
 def square():
@@ -315,3 +316,25 @@ def test_stored_diffs_are_kept_once_and_a_broken_run_goes_on(spark, tmp_path, mo
     stored = spark.read.parquet(f"{path}/tiles/run=r1").withColumn("artifact_id", F.lit("a" + "0" * 32))
     stored.write.parquet(f"{path}/tiles/run=r3")
     assert stored_compare.read_diffs(spark, path).count() == 18
+
+
+def test_wide_tiles_are_made_of_lines(spark, tmp_path):
+    """Pixels of the large pair against brute force; no expression counts through the pixels of a tile."""
+    rows = [(k, n, float(7 * k + 5 * n)) for k in (0, 1, 13, 250, 251) for n in (1, 2, 16, 17)]
+    rows += [(1, 3, -4.0), (1, 3, 2.0), (13, 5, None)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    wanted = {}
+    for key, number, quantity in rows:
+        if (key * 7 + key // 13 * 5) % 9 < 4:
+            spot = wanted.setdefault((key // 100, key % 100), {}).setdefault(number % 16, [])
+            spot += [] if quantity is None else [int(quantity)]
+    assert wanted
+    tiles = views.wide_tiles(spark, str(tmp_path))
+    assert "sequence(0, 255" not in tiles._jdf.queryExecution().analyzed().toString()
+    found = tiles.collect()
+    assert {(t.image_id, t.ty, t.tx) for t in found} == {(i, *place) for i in (0, 1) for place in wanted}
+    for t in found:
+        runs = {row: 1 + max(q) % 16 for row, q in wanted[t.ty, t.tx].items() if q}
+        red = [255 if t.image_id and x < runs.get(row, 0) else 0 for row in range(16) for x in range(16)]
+        assert (t.r, t.g, t.b) == (red, [0] * 256, [0] * 256)
