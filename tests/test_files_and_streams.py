@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from rasterloom.operators.requests import merged_rollup, request_rollup, request
 from rasterloom.sources import images as sources
 from rasterloom.sources import image_source, payloads, sinks
 from rasterloom.streaming import jobs
+from rasterloom_checks import queries as checks
 
 
 def assembled(rows, shape):
@@ -118,6 +120,82 @@ def test_intake_stream(spark, folder, tmp_path):
     assert bad == {f"{root}/c.gif": "unsupported_media", f"{root}/big.png": "payload_too_large"}
 
 
+def test_folders_are_taken_in_one_by_one(spark, folder, tmp_path):
+    """Every folder is a stream of its own; a later run takes new files and new folders alone."""
+    root, _ = folder
+    with pytest.raises(ValueError, match="3 files"):
+        jobs.intake_folders(spark, str(root), str(tmp_path / "out"), str(tmp_path / "mark"))
+    (root / "x[1]").mkdir()
+    for name in ("a.png", "c.gif", "big.png"):
+        (root / name).rename(root / "x[1]" / name)
+    target, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    (root / "_hidden").mkdir()
+    (root / "_hidden" / "x.png").write_bytes(b"x")
+    (root / "a b=1" / "deep").mkdir(parents=True)
+    for k in range(5):
+        (root / "a b=1" / "deep" / f"{k}.png").write_bytes(png(solid(3, 3)))
+    wanted = {f"{root}/x[1]/a.png", f"{root}/sub/b.png", *[f"{root}/a b=1/deep/{k}.png" for k in range(5)]}
+    for late in ((), ("sub/late.png", "new/late.png")):
+        for name in late:
+            (root / name).parent.mkdir(exist_ok=True)
+            (root / name).write_bytes(png(solid(3, 3)))
+        jobs.intake_folders(spark, str(root), target, mark, 5000, 2, 3)
+        good = [unquote(r.path) for r in spark.read.parquet(f"{target}/accepted").collect()]
+        bad = {unquote(r.path): r.error_code for r in spark.read.parquet(f"{target}/quarantine").collect()}
+        assert sorted(good) == sorted(wanted | {f"{root}/{name}" for name in late})
+        assert bad == {f"{root}/x[1]/c.gif": "unsupported_media", f"{root}/x[1]/big.png": "payload_too_large"}
+    numbers = sorted((tmp_path / "out" / "accepted").glob("part=a*/batch=*"))
+    assert [p.name for p in numbers] == ["batch=0", "batch=1", "batch=2"]
+
+
+def test_checked_files_lie_in_bounded_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(checks, "FOLDER_FILES", 10)
+    rows = [(k, f"text {k}", "en", "web", 6) for k in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    found = image_source.listed([checks._header_files(spark, str(tmp_path))])
+    assert sorted(int(path.rpartition("/")[2]) for path, _ in found) == list(range(100))
+    folders = [path.rpartition("/")[0] for path, _ in found]
+    assert max(folders.count(name) for name in folders) < 30
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Thousands of small files are a few tasks, through either source; large ones keep a task each."""
+    for k in range(400):
+        (tmp_path / f"{k}.png").write_bytes(b"x")
+    assert image_source.image_files(spark, [str(tmp_path)]).rdd.getNumPartitions() == 1
+    # Spark never plans fewer partitions than cores; 400 files at 4 MB each would be 13.
+    assert sources.scan_images(spark, [str(tmp_path)]).rdd.getNumPartitions() <= 9
+    large = [(f"/f{k}", 128 << 20) for k in range(3)]
+    assert [len(p.files) for p in image_source.planned(large, image_source.PARTITION_BYTES)] == [1, 1, 1]
+
+
+def test_parts_of_the_event_log_have_equal_numbers_of_files(spark, tmp_path):
+    """Many tasks write a part, and each micro-batch is one whole part."""
+    rows = spark.range(1200).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_seconds(F.col("id") * 60).alias("ts"),
+        (F.col("id") % 7).alias("user_id"),
+        F.lit("click").alias("event_type"),
+        F.lit(0.01).alias("value"),
+        F.lit("").alias("props"),
+    )
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    stream = checks._in_time_order(spark, str(tmp_path), 6, 50)
+
+    def note(batch, number):
+        rows = batch.withColumn("file", F.input_file_name())
+        seen.append(rows.agg(F.min("event_id"), F.max("event_id"), F.count("*"), F.countDistinct("file")).first())
+
+    writer = stream.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "mark"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 6 and sum(n for _, _, n, _ in seen) == 1200
+    assert all(high - low + 1 == n for low, high, n, _ in seen)
+    assert seen == sorted(seen) and {files for *_, files in seen} <= {3, 4}
+
+
 def test_quota_stream_equals_the_batch(spark, tmp_path):
     """Six micro-batches in time order, some replayed, decide like one batch; a third of the uploads has one owner."""
     number = F.col("id")
