@@ -12,7 +12,7 @@ from rasterloom.functions.errors import error_struct
 from rasterloom.operators.admission import quota_admission
 from rasterloom.operators.requests import merged_rollup, request_rollup, request_sketches
 from rasterloom.sources import images as sources
-from rasterloom.sources import image_source, payloads, sinks
+from rasterloom.sources import folders, image_source, payloads, sinks
 from rasterloom.streaming import jobs
 from rasterloom_checks import queries as checks
 
@@ -345,3 +345,40 @@ def test_merged_sketches_stand_for_the_requests(spark, tmp_path):
         for value, rank in ((row.p50_ms, 0.5), (row.p95_ms, 0.95)):
             assert abs(np.searchsorted(exact, value) / len(exact) - rank) < 0.005
     assert len(days) == 6 and merged_rollup(stored.limit(0)).count() == 0
+
+
+def test_scans_list_a_bounded_number_of_files(spark, tmp_path):
+    """Folders of any size, files beside them, names with signs of patterns: all is read once, a few files at a time."""
+    root = tmp_path / "root"
+    wanted = set()
+    for k in range(30):
+        part = root / ("x[1] {a,b}*" if k == 7 else "p=1 %20" if k == 8 else f"_k={k}" if k == 9 else f"f{k}") / "deep"
+        part.mkdir(parents=True)
+        for n in range(25 if k == 20 else 2):
+            (part / f"{n}.png").write_bytes(b"x")
+            wanted.add(f"{part}/{n}.png")
+    (root / "loose.png").write_bytes(b"x")
+    for name in ("_hidden/x.png", ".hidden/x.png", "_x.png"):
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_bytes(b"x")
+    seen = []
+
+    def scan(paths):
+        frame = sources.scan_images(spark, paths).select("path")
+        seen.append((len(paths), folders._listed(frame)))
+        return frame
+
+    usual = {key: spark.conf.get(key) for key in folders._OPTIONS}
+    plain = sources.scan_images(spark, [str(root)]).select("path")
+    for given in ([str(root)], [f"{tmp_path}/ro*"]):
+        found = folders.by_folders(spark, given, scan, "seen", 10)
+        assert sorted(r.path for r in found.collect()) == sorted(r.path for r in plain.collect())
+    assert {r.path for r in found.collect()} == wanted | {f"{root}/loose.png"}
+    # Two files a folder: rounds of two, then of four or five; the one of 25 is listed as a whole, and a round of one follows.
+    assert sum(n for _, n in seen) == 2 * (len(wanted) + 1)
+    assert max(n for _, n in seen) <= 25 + 2 * 4 and 1 in [n for n, _ in seen]
+    assert {key: spark.conf.get(key) for key in usual} == usual
+    (tmp_path / "empty").mkdir()
+    assert folders.by_folders(spark, [str(tmp_path / "empty")], scan, "seen", 10).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        folders.by_folders(spark, [str(tmp_path / "missing")], scan, "seen", 10)
