@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.assets import asset_kind
 from ..settings import ASSET_METADATA
+from .folders import by_folders, load
 from .images import plain_path
 
 
@@ -16,17 +19,16 @@ def _file_parts(path: str = "path") -> tuple:
     return name, bucket
 
 
-def scan_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """The JSON metadata files of a file store; ``readable`` tells whether all fields parse."""
-    raw = (
+def _metadata(spark: SparkSession, paths: list[str]) -> DataFrame:
+    reader = (
         spark.read.schema(ASSET_METADATA)
+        .format("json")
         .option("multiLine", True)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .json(root)
-        .withColumn("path", F.col("_metadata.file_path"))
     )
+    raw = load(reader, paths).withColumn("path", F.col("_metadata.file_path"))
     name, bucket = _file_parts()
     parsed = raw.select(
         name.alias("file_id"),
@@ -45,31 +47,46 @@ def scan_metadata(spark: SparkSession, root: str) -> DataFrame:
     return parsed.withColumn("readable", readable)
 
 
-def scan_blobs(spark: SparkSession, root: str) -> DataFrame:
-    """The payload files of a file store with their sizes; the contents are not read."""
+def scan_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """The JSON metadata files of a file store; ``readable`` tells whether all fields parse. Read once, some folders at a time."""
+    return by_folders(spark, [root], lambda paths: _metadata(spark, paths), "metadata")
+
+
+def _blobs(spark: SparkSession, paths: list[str]) -> DataFrame:
     name, bucket = _file_parts()
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.bin")
-        .load(root)
-        .select(
-            name.alias("file_id"),
-            bucket.alias("principal_bucket"),
-            F.col("length").alias("byte_count"),
-            plain_path(F.col("path")).alias("path"),
-        )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.bin")
+    return load(reader, paths).select(
+        name.alias("file_id"),
+        bucket.alias("principal_bucket"),
+        F.col("length").alias("byte_count"),
+        plain_path(F.col("path")).alias("path"),
     )
 
 
-def scan_assets(spark: SparkSession, root: str) -> DataFrame:
+def scan_blobs(spark: SparkSession, root: str) -> DataFrame:
+    """The payload files of a file store with their sizes, listed some folders at a time; the contents are not read."""
+    return by_folders(spark, [root], lambda paths: _blobs(spark, paths), "blobs")
+
+
+class Store(NamedTuple):
+    """Both scans of a file store, for several questions to one state of it."""
+
+    metadata: DataFrame
+    blobs: DataFrame
+
+
+def scan_store(spark: SparkSession, root: str) -> Store:
+    return Store(scan_metadata(spark, root), scan_blobs(spark, root))
+
+
+def scan_assets(spark: SparkSession, root: str, store: Store | None = None) -> DataFrame:
     """Assets of a file store: readable metadata whose payload file exists."""
-    blobs = scan_blobs(spark, root).select(
+    store = store or scan_store(spark, root)
+    blobs = store.blobs.select(
         "file_id", "principal_bucket", F.col("byte_count").alias("stored_bytes"), "path"
     )
     return (
-        scan_metadata(spark, root)
-        .where("readable")
+        store.metadata.where("readable")
         .join(blobs, ["file_id", "principal_bucket"])
         .select(
             "asset_id",
@@ -86,10 +103,11 @@ def scan_assets(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def orphan_files(spark: SparkSession, root: str) -> DataFrame:
+def orphan_files(spark: SparkSession, root: str, store: Store | None = None) -> DataFrame:
     """Payload files without readable metadata; they still use the quota of their bucket."""
-    readable = scan_metadata(spark, root).where("readable").select("file_id", "principal_bucket")
-    return scan_blobs(spark, root).join(readable, ["file_id", "principal_bucket"], "left_anti")
+    store = store or scan_store(spark, root)
+    readable = store.metadata.where("readable").select("file_id", "principal_bucket")
+    return store.blobs.join(readable, ["file_id", "principal_bucket"], "left_anti")
 
 
 def object_assets(listing: DataFrame) -> DataFrame:

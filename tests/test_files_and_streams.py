@@ -12,7 +12,7 @@ from rasterloom.functions.errors import error_struct
 from rasterloom.operators.admission import quota_admission
 from rasterloom.operators.requests import merged_rollup, request_rollup, request_sketches
 from rasterloom.sources import images as sources
-from rasterloom.sources import folders, image_source, payloads, sinks
+from rasterloom.sources import catalogue, folders, image_source, payloads, sinks
 from rasterloom.streaming import jobs
 from rasterloom_checks import queries as checks
 
@@ -382,3 +382,33 @@ def test_scans_list_a_bounded_number_of_files(spark, tmp_path):
     assert folders.by_folders(spark, [str(tmp_path / "empty")], scan, "seen", 10).count() == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         folders.by_folders(spark, [str(tmp_path / "missing")], scan, "seen", 10)
+
+
+def test_checked_scans_never_list_all_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(checks, "FOLDER_FILES", 10)
+    rows = [(k, f"text {k}", "en", "web", 6) for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    events = spark.range(120).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 60 AS user_id")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    usual, held = folders.by_folders, []
+
+    def watched(spark, roots, scan, name, files=0):
+        def noted(paths):
+            frame = scan(paths)
+            held.append(folders._listed(frame))
+            return frame
+
+        return usual(spark, roots, noted, name, 30)
+
+    monkeypatch.setattr(folders, "by_folders", watched)
+    monkeypatch.setattr(catalogue, "by_folders", watched)
+    found = checks.QUERIES["scan_images"](spark, str(tmp_path))
+    assert sorted(int(r.path.rpartition("/")[2]) for r in found.collect()) == [k for k in range(200) if k % 5 != 4]
+    # Each of two scans lists the files of a round.
+    assert sum(held) == 2 * 200 and max(held) <= 130
+    held.clear()
+    rows = checks.QUERIES["stored_assets"](spark, str(tmp_path)).collect()
+    assert {int(r.asset_id[1:]): r.orphan for r in rows} == {k: k % 7 == 3 for k in range(60) if k % 5 != 2}
+    assert sum(held) == 2 * (60 + 48) and max(held) <= 50
