@@ -412,3 +412,24 @@ def test_checked_scans_never_list_all_files(spark, tmp_path, monkeypatch):
     rows = checks.QUERIES["stored_assets"](spark, str(tmp_path)).collect()
     assert {int(r.asset_id[1:]): r.orphan for r in rows} == {k: k % 7 == 3 for k in range(60) if k % 5 != 2}
     assert sum(held) == 2 * (60 + 48) and max(held) <= 50
+
+
+def test_micro_batches_of_small_files_are_one_task(spark, folder, tmp_path):
+    """A file of each kind per micro-batch, however many cores there are; options of the caller's session hold, and stay as they are."""
+    root, _ = folder
+    (root / "one").mkdir()
+    for k in range(60):
+        (root / "one" / f"{k}.png").write_bytes(png(solid(3, 3)) if k % 2 else b"GIF89a..")
+    target = tmp_path / "out"
+    own = jobs._intake_session(spark)
+    assert own.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+    assert own.conf.get("spark.sql.files.openCostInBytes") == spark.conf.get("spark.sql.files.openCostInBytes")
+    before = spark.conf.getAll
+    for name in ("a.png", "c.gif", "big.png"):
+        (root / name).rename(root / "sub" / name)
+    jobs.intake_folders(spark, str(root), str(target), str(tmp_path / "mark"), 5000, 30, 2)
+    assert spark.conf.getAll == before
+    for kind in ("accepted", "quarantine"):
+        assert spark.read.parquet(str(target / kind / "part=one")).count() == 30
+        for number in (0, 1):
+            assert len(list((target / kind / "part=one" / f"batch={number}").glob("*.parquet"))) == 1
